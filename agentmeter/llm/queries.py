@@ -4,23 +4,69 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from agentmeter.llm import mixing, sharding
+from agentmeter.llm import decontaminate, langid, linededup, mixing, quality, secrets, sharding, simhash, topk, toxicity
 from agentmeter.llm.common import read
 
 
+def _labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return read(spark, sf_dir, "labels").selectExpr("doc_id", f"{name} AS label")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "toxic"))
+
+
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(read(spark, sf_dir, "documents"))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read(spark, sf_dir, "embeddings"))
+
+
+def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(read(spark, sf_dir, "documents")))
+
+
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.train_and_identify(read(spark, sf_dir, "documents"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(read(spark, sf_dir, "documents"))
+
+
+def op8_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(read(spark, sf_dir, "documents"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(read(spark, sf_dir, "documents"), _labels(spark, sf_dir, "quality"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_decontaminate": op2_decontaminate,
     "op3_sharding": op3_sharding,
+    "op4_topk": op4_topk,
+    "op5_secrets": op5_secrets,
+    "op6_langid": op6_langid,
+    "op7_simhash": op7_simhash,
+    "op8_linededup": op8_linededup,
+    "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
 }
 
 ORACLES = {
+    "op4_topk": topk.ORACLE,
+    "op8_linededup": linededup.ORACLE,
     "op10_mixing": mixing.ORACLE,
 }

@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 from agentmeter.llm.common import id_bucket, md5_key
 
 #: The bounds of what is learned: rows and bytes for each language, and bytes taken from one text.
-SAMPLE_ROWS, DICT_BYTES, PASSAGE = 256, 48_000, 512
-PIECE, LEVEL = 2000, 3
+SAMPLE_ROWS, DICT_BYTES, PASSAGE = 256, 48_000, 256
+#: Texts are compressed in pieces of PIECE bytes. Short ones are repeated up to LEAST bytes: zstandard stores what saves too
+#: little, and only the first copy's matches with the dictionary make a difference.
+PIECE, LEAST = 4000, 256
 #: The runner-up's size must be this share larger than the winner's.
 MARGIN = 0.004
 UNKNOWN = "und"
@@ -53,16 +55,21 @@ def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DIC
 class Models:
     """Compressors for each language; made anew in each task from the dictionaries' bytes."""
 
-    def __init__(self, dictionaries: dict[str, bytes], level: int = LEVEL):
+    def __init__(self, dictionaries: dict[str, bytes]):
         self.langs = sorted(dictionaries)
         self.compressors = []
         for lang in self.langs:
             content = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            content.precompute_compress(level=level)
-            self.compressors.append(zstandard.ZstdCompressor(dict_data=content, write_content_size=False, write_checksum=False, write_dict_id=False))
+            settings = zstandard.ZstdCompressionParameters.from_level(
+                6, source_size=PIECE, dict_size=len(dictionaries[lang]), min_match=4, strategy=zstandard.STRATEGY_GREEDY, write_content_size=False, write_checksum=False
+            )
+            content.precompute_compress(compression_params=settings)
+            self.compressors.append(zstandard.ZstdCompressor(dict_data=content, compression_params=settings))
 
     def sizes(self, text: str) -> list[int]:
         data = plain(text)
+        if 0 < len(data) < LEAST:
+            data = (data + b"\n") * -(-LEAST // len(data))
         pieces = [data[i : i + PIECE] for i in range(0, len(data), PIECE)]
         return [sum(len(c.compress(p)) for p in pieces) for c in self.compressors]
 
@@ -74,7 +81,7 @@ class Models:
         best = min(range(len(sizes)), key=lambda i: (sizes[i], i))
         if len(sizes) == 1:
             return self.langs[best], 1.0, False
-        gap = (min(s for i, s in enumerate(sizes) if i != best) - sizes[best]) / sizes[best]
+        gap = (min(s for i, s in enumerate(sizes) if i != best) - sizes[best]) / max(1, sizes[best])
         return self.langs[best], min(1.0, 0.5 + gap * 5), gap < margin
 
 

@@ -29,9 +29,11 @@ from agentmeter.llm.common import id_bucket, md5_key
 SAMPLE_ROWS = 5000
 BUCKETS, WIDTH, GRAMS = 1 << 15, 12, (3, 5)
 WINDOW, STRIDE = 3, 1
+#: Subwords left out at random in training, so that a word's weight is spread over all of them.
+DROP = 0.5
 #: Texts at which a bucket's odds count half at the start.
 START = 8
-EPOCHS, RATE, DECAY, SEED = 7, 0.3, 1e-3, 7
+EPOCHS, RATE, DECAY, SEED = 7, 0.5, 1e-4, 7
 #: Words whose number is kept by a task while it scores; beyond that it starts anew.
 MEMO = 400_000
 
@@ -150,6 +152,7 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Bag:
             at = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
             bucket, owner = flat[at], np.repeat(text, reach)
             share = np.repeat(1.0 / reach, reach) / WINDOW
+            share *= (rng.random(len(share)) >= DROP) / (1 - DROP)
             mean = np.zeros((len(rows), WIDTH))
             np.add.at(mean, owner, vectors[bucket] * share[:, None])
             z = mean @ softmax.T + bias

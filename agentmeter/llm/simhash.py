@@ -1,9 +1,9 @@
 """SimHash near-dedup by a segment-popcount embedding.
 
-A fingerprint's 64 bits are cut into 16 segments, and the bit counts of the segments are a point on an integer grid.
+A fingerprint's 64 bits are cut into 21 segments, and the bit counts of the segments are a point on an integer grid.
 Flipping a bit moves one count by one, so the Manhattan distance of two points is a lower bound of the fingerprints'
 Hamming distance. Points within distance 2 share a grid cell that is at most 1 away from both: each point is
-entered in its own cell and its 32 neighbours, and a range join on the cell finds every pair within 2.
+entered in its own cell and its 42 neighbours, and a range join on the cell finds every pair within 2.
 
 Fingerprints that meet another one in some cell are candidates. They are verified exactly and without listing pairs:
 two fingerprints differ in at most 2 bits exactly if some value differs from both in at most 1 bit. A candidate is entered
@@ -28,8 +28,9 @@ from xxhash import xxh64_intdigest
 from agentmeter.llm.common import written
 from agentmeter.llm.components import components
 
-SEGMENTS, SEGMENT_BITS, SEED = 16, 4, 42
-#: The popcounts of a fingerprint lie in 0..4 and those of its neighbours in -1..5; with one added a digit needs 3 bits, so 16 of them fit in a long.
+#: Segments of 3 bits, the last of 4. Coarser ones need fewer cells, but more fingerprints meet there by chance.
+SEGMENTS, SEGMENT_BITS, SEED = 21, 3, 42
+#: The popcounts of a fingerprint lie in 0..4 and those of its neighbours in -1..5; with one added a digit needs 3 bits, so 21 of them fit in a long.
 _DIGIT = 3
 #: Hashes counted at once.
 _RUN = 1 << 16
@@ -67,7 +68,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def _cells() -> F.Column:
     """The point's cell and those one step away, each as one long."""
-    digits = [F.bit_count(F.shiftrightunsigned("print", SEGMENT_BITS * i).bitwiseAND(2**SEGMENT_BITS - 1)).cast("long") + 1 for i in range(SEGMENTS)]
+    masks = [2**SEGMENT_BITS - 1] * (SEGMENTS - 1) + [2 ** (64 - SEGMENT_BITS * (SEGMENTS - 1)) - 1]
+    digits = [F.bit_count(F.shiftrightunsigned("print", SEGMENT_BITS * i).bitwiseAND(m)).cast("long") + 1 for i, m in enumerate(masks)]
     own = sum((F.shiftleft(d, _DIGIT * i) for i, d in enumerate(digits[1:], 1)), digits[0])
     steps = [F.lit(s << (_DIGIT * i)) for i in range(SEGMENTS) for s in (1, -1)]
     return F.transform(F.array(F.lit(0).cast("long"), *[s.cast("long") for s in steps]), lambda s: own + s)

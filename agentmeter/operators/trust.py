@@ -1,0 +1,180 @@
+"""Published records: redaction, validation rules, reruns, trust tiers, the scoreboard."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from agentmeter.functions import text as tx
+
+# Limits and closed lists of records.
+MAX_BYTES, MIN_REPOS, MIN_SUBMITTERS, MAX_SHARE, REPOS_PER_ACCOUNT = 1_000_000, 5, 3, 0.5, 3
+OUTCOMES = ("passed", "tests_failed", "timeout", "budget_hit", "agent_error")
+ANSWERS = ("SUPPORTED", "NOT SUPPORTED", "NOT PROVEN")
+PRIVATE_NAME = r"^(custom|cmd)(-[12])?$"
+RATIO_TOLERANCE = 0.05
+
+
+def published(runs: DataFrame, urls: DataFrame, home: str) -> DataFrame:
+    """runs with local repo paths replaced by urls (repo, url); a row that would still show home fails the job."""
+    r = runs.join(F.broadcast(urls), "repo", "left").withColumn("repo", F.coalesce("url", "repo")).drop("url")
+    leak = F.col("repo").contains(home)
+    return r.withColumn("repo", F.when(leak, F.raise_error(F.lit("a local path would be published"))).otherwise(F.col("repo")))
+
+
+def problems(rules: dict[str, Column]) -> Column:
+    """The names of the rules that are broken, in order; a rule that is null is broken."""
+    return F.array_compact(F.array(*[F.when(~F.coalesce(fine, F.lit(False)), name) for name, fine in rules.items()]))
+
+
+def run_rules() -> dict[str, Column]:
+    """What a run of an upload must keep; columns are those of the upload's runs and sides."""
+    c = F.col
+    return {
+        "unknown outcome": c("outcome").isin(*OUTCOMES),
+        "passed doesn't match outcome": c("passed") == (c("outcome") == "passed"),
+        "setup of neither side": (c("setup") == c("baseline")) | (c("setup") == c("challenger")),
+        "bad cost": (c("cost_usd") >= 0) & (c("cost_usd") < float("inf")),
+        "bad wall time or repeat": (c("wall_s") >= 0) & (c("repeat") >= 0),
+        "bad tokens": c("tokens").isNull() | ((F.size("tokens") == 4) & F.forall("tokens", lambda t: t >= 0)),
+        "bad energy": c("wh").isNull() | ((F.size("wh") == 2) & (F.get("wh", F.lit(0)) >= 0) & (F.get("wh", F.lit(0)) <= F.get("wh", F.lit(1)))),
+        "unknown request bucket": c("requests").isNull() | c("requests").isin("1-5", "6-20", "21-50", "51+"),
+        "commit isn't of its kind": F.when(c("public"), c("commit").rlike("^[0-9a-f]{40}$")).otherwise(c("commit").rlike("^[0-9]+$")),
+    }
+
+
+def upload_rules() -> dict[str, Column]:
+    """What the head of an upload must keep."""
+    c = F.col
+    name = r"^[\w.+@\-]{1,60}$"
+    control = r"[\x00-\x08\x0b-\x1f\x7f‎‏‪-‮⁦-⁩]"
+    text = F.concat_ws(" ", "baseline", "challenger", F.coalesce("affiliation", F.lit("")))
+    return {
+        "too large": c("size") <= MAX_BYTES,
+        "file name isn't the hash": c("file_name") == c("sha256"),
+        "under another submitter": c("author").isNull() | (c("author") == c("submitter")),
+        "public isn't said": c("public").isNotNull(),
+        "control characters": ~text.rlike(control),
+        "private record with address or commit": c("public") | ~text.rlike(r"https?://|\b[0-9a-fA-F]{40}\b"),
+        "repo_id": F.when(c("repo_id").isNull(), c("public")).otherwise(c("repo_id").rlike("^[0-9a-f]{24}$")),
+        "setup name": c("baseline").rlike(name) & c("challenger").rlike(name),
+        "week": c("week").rlike(r"^\d{4}-W(0[1-9]|[1-4]\d|5[0-3])$"),
+        "affiliation too long": c("affiliation").isNull() | (F.length("affiliation") <= 100),
+        "rerun_of": c("rerun_of").isNull() | (c("rerun_of").rlike("^[0-9a-f]{64}$") & c("public")),
+        "claim or task mode": c("claim_kind").isin("agent", "model", "setup") & c("task_mode").isin("hint", "tests"),
+        "counts": (c("superseded_attempts") >= 0) & (c("excluded_commits") >= 0),
+        "answer": c("answer").isin(*ANSWERS),
+        "cost ratio": c("cost_ratio").isNull() | (c("cost_ratio") > 0),
+    }
+
+
+def validated(uploads: DataFrame, runs: DataFrame) -> DataFrame:
+    """(sha256, problems): broken rules of each upload's head, of its runs, and what its runs leave out.
+
+    runs: sha256 and the fields of run_rules. Runs are checked as rows; a complete upload has every commit, setup and repeat once.
+    """
+    head = uploads.select("sha256", problems(upload_rules()).alias("head"))
+    sides = uploads.select("sha256", "baseline", "challenger", "public")
+    joined = runs.join(sides, "sha256").withColumn("broken", problems(run_rules()))
+    key = ["sha256", "commit", "setup", "repeat"]
+    once = joined.groupBy(*key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("broken")).alias("broken"))
+    per = once.groupBy("sha256").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("broken")))).alias("broken"), F.max("n").alias("most"), F.count("*").alias("keys"),
+        (F.count_distinct("commit") * F.count_distinct("setup") * F.count_distinct("repeat")).alias("full"),
+    )
+    of_runs = F.array_union("broken", F.array_compact(F.array(F.when(F.col("most") > 1, "duplicate run"), F.when(F.col("keys") < F.col("full"), "incomplete"))))
+    return head.join(per, "sha256", "left").select("sha256", F.array_union("head", F.coalesce(of_runs, F.array(F.lit("no runs")))).alias("problems"))
+
+
+def rechecked(claims: DataFrame) -> DataFrame:
+    """(sha256, problems): where an upload's answer and ratio don't follow from its runs, give or take rounding.
+
+    claims: sha256, answer, cost_ratio, energy, same_model, b_ and c_ solved, solve_rate and cents_per_solved.
+    """
+    again = F.col("c_cents_per_solved") / F.col("b_cents_per_solved")
+    supported = F.col("answer") == "SUPPORTED"
+    both = F.col("b_cents_per_solved").isNotNull() & F.col("c_cents_per_solved").isNotNull()
+    close = F.abs(again - F.col("cost_ratio")) <= F.greatest(F.lit(1.0), F.col("cost_ratio")) * RATIO_TOLERANCE
+    rules = {
+        "energy verdict of other models": F.col("energy").isNotNull() == F.col("same_model"),
+        "supported but solves fewer": ~supported | ((F.col("c_solved") > 0) & (F.col("b_solve_rate") - F.col("c_solve_rate") <= 0.10)),
+        "cost ratio doesn't match": F.when(both, F.coalesce(close, F.lit(False))).otherwise(F.col("cost_ratio").isNull()),
+        "supported without less energy": ~(supported & F.col("same_model")) | (F.coalesce("energy", F.lit("")) == "uses less"),
+        "supported without lower cost": ~(supported & ~F.col("same_model")) | F.coalesce(F.col("cost_ratio") <= 0.90, F.lit(False)),
+    }
+    return claims.select("sha256", problems(rules).alias("problems"))
+
+
+def owners(records: DataFrame) -> DataFrame:
+    """(repo_id, owner): who first submitted a repo; another's record of it is a problem."""
+    return records.groupBy("repo_id").agg(F.min_by("submitter", F.struct("week", "sha256")).alias("owner"))
+
+
+def rerun_key(records: DataFrame, runs: DataFrame) -> DataFrame:
+    """records with key: setups, task mode and the set of commits, as text. A record's commits are a few hundred."""
+    sets = runs.groupBy("sha256").agg(F.array_sort(F.collect_set("commit")).alias("commits"))
+    return records.join(sets, "sha256").withColumn("key", F.to_json(F.struct("baseline", "challenger", "task_mode", "commits"))).drop("commits")
+
+
+def reruns(records: DataFrame) -> DataFrame:
+    """(target, sha256, answer) of records that rerun another's public record: named by hash, another submitter, the same key. records: with key."""
+    a = records.where("rerun_of IS NOT NULL AND public").select("sha256", F.col("submitter").alias("by"), F.col("rerun_of").alias("target"), "key", "answer")
+    t = records.where("public").select(F.col("sha256").alias("target"), "submitter", F.col("key").alias("target_key"))
+    return a.join(t, "target").where("by <> submitter AND key = target_key").select("target", "sha256", "answer")
+
+
+def tiers(records: DataFrame) -> DataFrame:
+    """records with tier: rerun, disputed, reproduced or self-reported."""
+    answers = reruns(records).join(records.select(F.col("sha256").alias("target"), F.col("answer").alias("mine")), "target")
+    told = answers.groupBy(F.col("target").alias("sha256")).agg(F.bool_or(F.col("answer") != F.col("mine")).alias("against"))
+    tier = F.when(F.col("rerun_of").isNotNull(), "rerun").when(F.col("against"), "disputed").when(F.col("against").isNotNull(), "reproduced").otherwise("self-reported")
+    return records.join(told, "sha256", "left").withColumn("tier", tier).drop("against")
+
+
+def newest(records: DataFrame, by: list[str]) -> DataFrame:
+    """The newest record of each submitter and repo."""
+    w = Window.partitionBy(*by, "submitter", "repo_id").orderBy(F.col("week").desc(), "sha256")
+    return records.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def at_most(records: DataFrame, by: list[str], n: int = REPOS_PER_ACCOUNT) -> DataFrame:
+    """At most n repos of each submitter, the newest ones."""
+    w = Window.partitionBy(*by, "submitter").orderBy(F.col("week").desc(), "repo_id", "sha256")
+    return records.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= n).drop("__n")
+
+
+def scoreboard(tiered: DataFrame, vendors: DataFrame) -> DataFrame:
+    """By tier and claim: repos, submitters, answers, median ratio and solve difference, and shown: whether there is enough.
+
+    tiered: records with tier, cost_ratio, solve_diff, n_runs. vendors: (challenger, submitter); their claims count once reproduced.
+    Reruns, disputed records and private names are left out before the newest ones are taken.
+    """
+    v = vendors.withColumn("__vendor", F.lit(True))
+    usable = tiered.where(F.col("tier").isin("reproduced", "self-reported") & ~F.col("baseline").rlike(PRIVATE_NAME) & ~F.col("challenger").rlike(PRIVATE_NAME))
+    usable = usable.join(F.broadcast(v), ["challenger", "submitter"], "left").where("__vendor IS NULL OR tier = 'reproduced'").drop("__vendor")
+    by = ["tier", "baseline", "challenger"]
+    kept = at_most(newest(usable, by), by)
+    per = kept.groupBy(*by, "submitter").agg(F.sum("n_runs").alias("runs"))
+    share = per.groupBy(*by).agg(F.count("*").alias("submitters"), F.max("runs").alias("most"), F.sum("runs").alias("runs"))
+    answers = [F.count_if(F.col("answer") == a).alias(a.lower().replace(" ", "_")) for a in ANSWERS]
+    g = kept.groupBy(*by).agg(F.count("*").alias("repos"), *answers, F.median("cost_ratio").alias("median_cost_ratio"), F.median("solve_diff").alias("median_solve_diff")).join(share, by)
+    enough = (F.col("repos") >= MIN_REPOS) & (F.col("submitters") >= MIN_SUBMITTERS) & (F.col("most") <= F.col("runs") * MAX_SHARE)
+    return g.withColumn("shown", enough).drop("most", "runs")
+
+
+def upload_view(records: DataFrame) -> DataFrame:
+    """Runs of private records as others may see them: rounded, named from the catalog, commits numbered as they first come."""
+    first = Window.partitionBy("sha256", "commit")
+    numbered = records.withColumn("__first", F.min("pos").over(first)).withColumn("commit_no", F.dense_rank().over(Window.partitionBy("sha256").orderBy("__first")).cast("long") - 1)
+    return numbered.select(
+        "sha256", "pos", "commit_no", tx.public_name(F.col("setup"), F.col("agent")).alias("setup"), tx.two_figures(F.col("tokens")).alias("tokens"), (F.bround(F.col("wall_s") / 10, 0) * 10).cast("long").alias("wall_s"), F.bround("cost_usd", 2).alias("cost_usd"), tx.count_bucket(F.col("requests")).alias("requests")
+    )
+
+
+def evidence(verified: DataFrame, picks: DataFrame) -> DataFrame:
+    """Evidence for a default model, newest first: supported records of one vendor's models, and picks of runs. Columns kind, model, week, id."""
+    v = verified.where("answer = 'SUPPORTED' AND same_vendor").select(F.lit("verified").alias("kind"), "model", "week", "id")
+    p = picks.where("picked").select(F.lit("picked").alias("kind"), "model", "week", "id")
+    both = v.unionByName(p)
+    w = Window.partitionBy("model").orderBy(F.col("week").desc(), "kind", "id")
+    return both.withColumn("rank", F.row_number().over(w).cast("long"))

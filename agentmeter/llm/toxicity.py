@@ -27,8 +27,9 @@ from agentmeter.llm.common import id_bucket, md5_key
 
 #: The bound of what is learned: labelled texts.
 SAMPLE_ROWS = 5000
-BUCKETS, WIDTH, GRAMS = 1 << 15, 12, (3, 5)
-WINDOW, STRIDE = 3, 1
+BUCKET_BITS, WIDTH, GRAMS = 15, 12, (3, 5)
+BUCKETS = 1 << BUCKET_BITS
+WINDOW = 3
 #: Subwords left out at random in training, so that a word's weight is spread over all of them.
 DROP = 0.5
 #: Texts at which a bucket's odds count half at the start.
@@ -36,6 +37,8 @@ START = 8
 EPOCHS, RATE, DECAY, SEED = 7, 0.5, 1e-4, 7
 #: Words whose number is kept by a task while it scores; beyond that it starts anew.
 MEMO = 400_000
+#: Texts whose words are met at once.
+PART = 64
 
 _WORD = re.compile(r"[^\W_]+(?:['’*@$!1-9][^\W_]+)*")
 
@@ -44,21 +47,34 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def subwords(word: str, buckets: int = BUCKETS, grams: tuple[int, int] = GRAMS) -> list[int]:
-    """Buckets of the whole word and of its character n-grams, ends marked; a very long word counts by its 64-character pieces."""
-    out = [xxhash.xxh32_intdigest("=" + word, 0) % buckets]
-    for piece in (word[i : i + 64] for i in range(0, len(word), 64)):
-        marked = f"<{piece}>"
-        out += [xxhash.xxh32_intdigest(marked[i : i + n], 0) % buckets for n in range(grams[0], grams[1] + 1) for i in range(len(marked) - n + 1)]
-    return out
+def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of each word and of its character n-grams, ends marked, and for each bucket the number of its word; by word."""
+    marked = [f"<{w}>" for w in words]
+    points = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, marked), np.int64, len(marked))
+    word = np.repeat(np.arange(len(marked)), lengths)
+    buckets, owners = [np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.uint64, len(words))], [np.arange(len(words))]
+    rolled = points
+    for n in range(2, GRAMS[1] + 1):
+        rolled = rolled[:-1] * np.uint64(0x9E3779B97F4A7C15) + points[n - 1 :]
+        if n >= GRAMS[0]:
+            inside = word[: len(rolled)] == word[n - 1 :]
+            buckets.append(rolled[inside] + np.uint64(n))
+            owners.append(word[: len(rolled)][inside])
+    owner = np.concatenate(owners)
+    order = np.argsort(owner, kind="stable")
+    mixed = np.concatenate(buckets)[order] * np.uint64(0xD6E8FEB86659FD93)
+    return (mixed >> np.uint64(64 - BUCKET_BITS)).astype(np.int64), owner[order]
 
 
-def windows(n: int) -> list[tuple[int, int]]:
-    """Windows that cover n words; the last one ends with the text."""
-    if n <= WINDOW:
-        return [(0, n)]
-    starts = list(range(0, n - WINDOW, STRIDE)) + [n - WINDOW]
-    return [(a, a + WINDOW) for a in starts]
+def window_sums(values: np.ndarray) -> np.ndarray:
+    """Sums over each run of WINDOW values; over all of them if there are no more."""
+    sums = np.concatenate([[0.0], np.cumsum(values)])
+    return sums[-1:] if len(values) <= WINDOW else sums[WINDOW:] - sums[:-WINDOW]
+
+
+#: Words' numbers by model; a worker that runs several tasks keeps them.
+_MEMOS: dict[bytes, dict[str, float]] = {}
 
 
 class Bag:
@@ -66,31 +82,46 @@ class Bag:
 
     def __init__(self, weights: np.ndarray, bias: float):
         self.weights, self.bias = weights.astype(np.float32), bias
-        self._memo: dict[str, float] = {}
-
-    def word(self, word: str) -> float:
-        found = self._memo.get(word)
-        if found is None:
-            if len(self._memo) >= MEMO:
-                self._memo.clear()
-            found = self._memo[word] = float(self.weights[subwords(word, len(self.weights))].mean())
-        return found
+        self._ready()
+
+    def _ready(self) -> None:
+        name = xxhash.xxh3_128_digest(self.weights.tobytes())
+        if name not in _MEMOS:
+            _MEMOS.clear()
+        self._memo = _MEMOS.setdefault(name, {})
+
+    def meet(self, words: set[str]) -> None:
+        """Works out the numbers of words that weren't met before."""
+        if len(self._memo) >= MEMO:
+            self._memo.clear()
+        new = list(words.difference(self._memo))
+        if new:
+            bucket, owner = subwords(new)
+            n = np.bincount(owner, minlength=len(new))
+            self._memo.update(zip(new, (np.bincount(owner, self.weights[bucket], len(new)) / n).tolist(), strict=True))
+
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        """score() of each text; the words of all are met at once."""
+        words = [words_of(t) for t in texts]
+        self.meet(set().union(*words) if words else set())
+        return np.array([self._score(w) for w in words])
 
     def score(self, text: str | None) -> float:
         """The probability of label 1: that of the worst window; without words that of the bias."""
-        words = words_of(text)
+        return float(self.scores([text])[0])
+
+    def _score(self, words: list[str]) -> float:
         if not words:
             return _logistic(self.bias)
-        memo = self._memo
-        values = np.fromiter((memo[w] if w in memo else self.word(w) for w in words), float, len(words))
-        if len(words) <= WINDOW:
-            return _logistic(self.bias + values.sum() / WINDOW)
-        sums = np.concatenate([[0.0], np.cumsum(values)])
-        spans = np.array(windows(len(words)))
-        return _logistic(self.bias + float((sums[spans[:, 1]] - sums[spans[:, 0]]).max()) / WINDOW)
+        values = np.fromiter(map(self._memo.__getitem__, words), float, len(words))
+        return _logistic(self.bias + float(window_sums(values).max()) / WINDOW)
 
     def __getstate__(self):
-        return {"weights": self.weights, "bias": self.bias, "_memo": {}}
+        return {"weights": self.weights, "bias": self.bias}
+
+    def __setstate__(self, state):
+        self.weights, self.bias = state["weights"], state["bias"]
+        self._ready()
 
 
 def _logistic(x: float) -> float:
@@ -121,9 +152,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Bag:
     rng = np.random.default_rng(SEED)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    grams = [np.array(subwords(w)) for w in vocabulary]
-    lengths = np.array([len(g) for g in grams], np.int64)
-    flat = np.concatenate(grams) if grams else np.zeros(0, np.int64)
+    flat, owner = subwords(list(vocabulary))
+    lengths = np.bincount(owner, minlength=len(vocabulary))
     starts = np.concatenate([[0], np.cumsum(lengths)])
     softmax = rng.normal(0, 1 / WIDTH**0.5, (2, WIDTH))
     across = softmax[1] - softmax[0]
@@ -136,10 +166,8 @@ def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Bag:
         by_word = np.add.reduceat(logit[flat], starts[:-1]) / lengths if len(flat) else np.zeros(0)
         chosen = []
         for code in coded:
-            spans = windows(len(code))
-            sums = np.concatenate([[0.0], np.cumsum(by_word[code])])
-            best = max(range(len(spans)), key=lambda i: sums[spans[i][1]] - sums[spans[i][0]])
-            chosen.append(code[slice(*spans[best])])
+            best = int(window_sums(by_word[code]).argmax())
+            chosen.append(code[best : best + WINDOW])
         rate = RATE * (1 - 0.7 * epoch / epochs)
         for batch in np.array_split(rng.permutation(len(coded)), max(1, len(coded) // 32)):
             rows = [chosen[i] for i in batch if len(chosen[i])]
@@ -186,7 +214,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> B
 def _scores(bag: Bag, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = np.array([bag.score(x.as_py()) for x in batch.column("text")])
+            parts = [batch.column("text").slice(i, PART).to_pylist() for i in range(0, batch.num_rows, PART)]
+            score = np.concatenate([np.zeros(0), *map(bag.scores, parts)])
             columns = [batch.column("doc_id"), batch.column("held_out"), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "score", "predicted"])
 

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import md5_key
+from agentmeter.llm.common import md5_key, written
 
 Topology = list[list[list[float]]]
 #: Hex digits of the id's hash that form a slice of a shard: 16 ** 2 slices.
@@ -83,15 +83,16 @@ def shard(docs: DataFrame, tree: Topology | None = None) -> DataFrame:
     then id, checksum and size; rows alike in all of these may swap slots. An empty table gives no rows.
     """
     tree = tree or topology()
-    ids = place(place(docs.select("doc_id"), tree), grow(tree), "grown_shard").withColumn("slice", F.substring(md5_key("doc_id"), 1, SLICE_DIGITS))
-    earlier = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ids.groupBy("shard", "slice").count().withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+        md5_key("doc_id").alias("key"),
     )
-    rows = place(place(rows, tree), grow(tree), "grown_shard").withColumn("key", md5_key("doc_id")).withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    placed = place(place(rows, tree), grow(tree), "grown_shard").withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
+    rows = written(placed, "shards")  # narrow rows, so that texts are read and draws made once
+    earlier = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = rows.groupBy("shard", "slice").count().withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
     inside = Window.partitionBy("shard", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
     numbered = rows.withColumn("inner", F.row_number().over(inside) - 1)
     return numbered.join(F.broadcast(offsets), ["shard", "slice"]).select(

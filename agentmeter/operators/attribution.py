@@ -46,9 +46,8 @@ def with_bursts(rows: DataFrame, keys: list[str]) -> DataFrame:
     return starts.withColumn("lead_up", F.col("__n") < last).drop("__n", "__start")
 
 
-def exact(requests: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(attribution rows of the exact tier, requests left over)."""
-    placed = segments(requests, found)
+def exact(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(attribution rows of the exact tier, requests left over) of placed, the requests with their segments."""
     inside = placed.where("anchor IS NOT NULL").select("*", "anchor.repo", "anchor.sha", "anchor.commit_ts").drop("anchor")
     bursts = with_bursts(inside, ["session_id", "repo", "sha"])
     rows = bursts.select("repo", "sha", "session_id", "request_id", F.lit(1.0).alias("weight"), "lead_up", F.lit("exact").alias("tier"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
@@ -64,12 +65,14 @@ class World:
         self.spark, self.sf_dir = spark, sf_dir
         self.requests, self.commits, self.calls = fx.requests(spark, sf_dir), fx.commits(spark, sf_dir), fx.commit_calls(spark, sf_dir)
         self.touched, self.files, self.who = fx.touched(spark, sf_dir), fx.commit_files(spark, sf_dir), fx.identities(spark, sf_dir)
-        self.found = at.anchors(self.calls, self.commits)
-        self.exact, self.left = at.exact(self.requests, self.found)
+        # Read by several branches of each plan; kept in executors' memory or disk, and worked out again if an executor is lost.
+        self.found = at.anchors(self.calls, self.commits).persist(StorageLevel.MEMORY_AND_DISK)
+        self.placed = at.segments(self.requests, self.found).persist(StorageLevel.MEMORY_AND_DISK)
+        self.exact, self.left = at.exact(self.placed)
         self.repos = at.session_repos(self.requests.select("session_id", (F.col("session_id") % 8).alias("repo")), self.calls, self.touched)
         thin = self.left.select("request_id", "session_id", "ts")
         self.fuzzy_left, self.time_left = thin.where("session_id % 10 <> 9"), thin.where("session_id % 10 = 9")
-        self.matches = at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found)
+        self.matches = at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found).persist(StorageLevel.MEMORY_AND_DISK)
         self.time, self.time_rest = at.time_only(self.time_left, self.repos, self.commits, self.who, self.found)
         self.rows = self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time)
         self.named = at.tasks(self.rows, self.requests, self.found)
@@ -155,7 +158,7 @@ PIECES["cuts"] = """SELECT r.*, CASE WHEN is_sidechain OR c.sha IS NULL THEN 0 E
 
 
 def session_commits(w):
-    placed = at.segments(w.requests, w.found).where("anchor IS NOT NULL")
+    placed = w.placed.where("anchor IS NOT NULL")
     return placed.select("session_id", "anchor.sha", "anchor.commit_ts").distinct()
 
 

@@ -115,8 +115,12 @@ def read_runs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.where("excluded_commit IS NULL").drop("excluded_commit", "reason"), rows.where("excluded_commit IS NOT NULL").select(F.col("excluded_commit").alias("commit"), "reason")
 
 
+def upload_files(files: DataFrame) -> DataFrame:
+    """(submitter, file_name, sha256, size, text) of files (path, content) named records/<submitter>/<sha256>.json."""
+    part = lambda i: F.element_at(F.split("path", "/"), F.lit(-i))
+    return files.select(part(2).alias("submitter"), F.regexp_replace(part(1), r"\.json$", "").alias("file_name"), F.sha2("content", 256).alias("sha256"), F.octet_length("content").alias("size"), F.decode("content", "UTF-8").alias("text"))
+
+
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """(submitter, file_name, sha256, size, text) of records/<submitter>/<sha256>.json files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").load(path)
-    part = lambda i: F.element_at(F.split("path", "/"), F.lit(-i))
-    return files.select(part(2).alias("submitter"), F.regexp_replace(part(1), r"\.json$", "").alias("file_name"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.decode("content", "UTF-8").alias("text"))
+    return upload_files(files)

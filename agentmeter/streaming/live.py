@@ -8,11 +8,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from agentmeter.operators.rollup import ledger_upsert
+from agentmeter.operators.rollup import ledger_upsert, typical
 
 # Microseconds between two sights of one commit, times the usual cost at which a task turns amber and red, and the least carried share shown.
 GUARD_US, AMBER, RED, SHOWN_SHARE = 5_000_000, 1.5, 3.0, 0.05
@@ -124,3 +124,14 @@ def upsert_ledger(path: str):
         ledger_upsert(old.select(*fields), batch.select(*fields)).drop("changed").write.mode("overwrite").parquet(f"{path}/v={number}")
 
     return put
+
+
+def late_rows(rows: DataFrame, minutes: int = 120) -> DataFrame:
+    """rows with late: whether a session's clock had passed a row by minutes when it came. rows: with came, the order of arrival."""
+    before = Window.partitionBy("session_id").orderBy("came").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("late", F.coalesce(F.col("ts") < F.max("ts").over(before) - F.expr(f"INTERVAL {minutes} MINUTE"), F.lit(False)))
+
+
+def baseline(receipts: DataFrame) -> DataFrame:
+    """One row: the median cost of a kept commit, which a daily job writes and each micro-batch reads anew."""
+    return typical(receipts).select("usd", "commits")

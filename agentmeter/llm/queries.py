@@ -66,6 +66,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_sharding": sharding.ORACLE,
     "op4_topk": topk.ORACLE,
     "op8_linededup": linededup.ORACLE,
     "op10_mixing": mixing.ORACLE,

@@ -98,3 +98,33 @@ def shard(docs: DataFrame, tree: Topology | None = None) -> DataFrame:
     return numbered.join(F.broadcast(offsets), ["shard", "slice"]).select(
         "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("inner")).cast("long").alias("slot"), "grown_shard"
     )
+
+
+#: The same in SQL. The checksum goes through the text's bytes by half-bytes, the lower one first.
+ORACLE = """
+WITH entries AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(4), lambda a, s: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, CAST(i AS BIGINT)) AS c FROM range(16) r(i))),
+halves AS (
+  SELECT doc_id, text, list_transform(string_split(hex(encode(coalesce(text, ''))), ''), lambda c: instr('0123456789ABCDEF', c) - 1) AS h FROM documents),
+summed AS (
+  SELECT doc_id, CAST(octet_length(encode(coalesce(text, ''))) + 16 AS BIGINT) AS size,
+         CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(list_transform(range(1, len(h) + 1), lambda i: CAST(h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END] AS BIGINT)),
+           lambda a, x: xor(a >> 4, t[(xor(a, x) & 15) + 1]), CAST(4294967295 AS BIGINT))) END AS text_crc32
+  FROM halves CROSS JOIN entries),
+ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS id FROM documents),
+regions AS (
+  SELECT doc_id, id, arg_min(r, draw) FILTER (r < 5) AS region, arg_min(r, draw) AS grown_region FROM (
+    SELECT doc_id, id, r, -ln((CAST('0x' || substr(md5(id || ':r' || r), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / CASE WHEN r = 5 THEN 1 ELSE 8 END AS draw
+    FROM ids CROSS JOIN range(6) t(r)) GROUP BY doc_id, id),
+racks AS (
+  SELECT doc_id, id, region, grown_region, arg_min(k, draw) AS rack FROM (
+    SELECT *, -ln((CAST('0x' || substr(md5(id || ':r' || region || 'k' || k), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / 4 AS draw FROM regions CROSS JOIN range(2) t(k)) GROUP BY ALL),
+shards AS (
+  SELECT doc_id, id, grown_region, CAST(region * 8 + rack * 4 + arg_min(s, draw) AS INTEGER) AS shard FROM (
+    SELECT *, -ln((CAST('0x' || substr(md5(id || ':r' || region || 'k' || rack || 's' || s), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS draw FROM racks CROSS JOIN range(4) t(s)) GROUP BY doc_id, id, grown_region, region, rack)
+SELECT d.doc_id, size, text_crc32, 'key' AS law, shard,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(id), d.doc_id, text_crc32, size) - 1 AS slot,
+       CASE WHEN grown_region = 5 THEN 40 ELSE shard END AS grown_shard
+FROM summed d JOIN shards s ON s.doc_id = d.doc_id
+"""

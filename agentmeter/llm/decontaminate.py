@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from agentmeter.llm.common import written
 
-Q, PIECE, EDITS = 8, 128, 0.1
+Q, PIECE, EDITS = 8, 64, 0.1
 BLOCK_CHARS, SLICE = 1_000_000, 1 << 20
 #: Diagonals a band is moved by; its width is twice that, so any run of BAND diagonals lies inside one band.
 BAND = PIECE // 10 + 4

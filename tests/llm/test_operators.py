@@ -197,8 +197,9 @@ def test_decontamination_equals_alignment(spark):
     want = {}
     for d, text in enumerate(texts):
         for i, item in enumerate(items):
-            ends = [len(item)] if len(item) <= 128 else [*range(128, len(item), 64), len(item)]
-            pieces = [item[max(0, e - 128) : e] for e in ends]
+            size = decontaminate.PIECE
+            ends = [len(item)] if len(item) <= size else [*range(size, len(item), size // 2), len(item)]
+            pieces = [item[max(0, e - size) : e] for e in ends]
             edits = [least_edits(p, text.lower().replace("\n", " ")) for p in pieces]
             fine = [e for e, p in zip(edits, pieces, strict=True) if len(p) >= 8 and e <= decontaminate.edit_budget(len(p))]
             if fine:

@@ -32,6 +32,8 @@ from agentmeter.llm.components import components
 SEGMENTS, SEGMENT_BITS, SEED = 21, 3, 42
 #: The popcounts of a fingerprint lie in 0..4 and those of its neighbours in -1..5; with one added a digit needs 3 bits, so 21 of them fit in a long.
 _DIGIT = 3
+#: Fingerprints in a partition that is about to be entered in cells.
+SPREAD = 100_000
 #: Hashes counted at once.
 _RUN = 1 << 16
 
@@ -101,7 +103,8 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     rows = written(fingerprints(docs), "simhash-prints")
     least = written(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    roots = written(components(links(least.select("print"))), "simhash-roots")
+    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), least.count() // SPREAD)
+    roots = written(components(links(least.select("print").repartition(spread, "print"))), "simhash-roots")
     names = roots.join(least, roots.node == least.print).groupBy("root").agg(F.min("least").alias("name"))
     named = roots.join(names, "root").select(F.col("node").alias("print"), "name")
     named = written(least.join(named, "print", "left").select("print", F.coalesce("name", "least").alias("component_id")), "simhash-names")

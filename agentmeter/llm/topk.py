@@ -29,15 +29,14 @@ _EXACT = 2**53
 def whole_vectors(vectors: DataFrame, scale: int = 1024) -> DataFrame:
     """vec_id and v, the vector's integers; rows with a null id, or null, empty or non-finite vectors, are left out.
 
-    The sum of squares is kept below 2 ** 62, so that no inner product can leave the range of a long; a longer vector is an error.
+    So are vectors whose sum of squares reaches 2 ** 62: their inner products could leave the range of a long.
     """
     x = F.col("embedding")
     fine = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     out = vectors.where(F.col("vec_id").isNotNull() & x.isNotNull() & (F.size(x) > 0) & F.coalesce(fine, F.lit(False)))
     whole = out.select(F.col("vec_id").cast("long").alias("vec_id"), F.transform(x, lambda e: F.floor(e.cast("double") * scale).cast("double")).alias("v"))
     length = F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e)
-    checked = F.when(length < float(2**62), F.col("v")).otherwise(F.raise_error(F.lit("a vector is too long for exact products")))
-    return whole.select("vec_id", checked.alias("v"))
+    return whole.where(length < float(2**62))
 
 
 def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:

@@ -206,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> B
     """A bag learned from up to sample_rows rows of docs that have a label in labels (doc_id, label 0 or 1), by the hash of the id."""
     known = labels.where("doc_id IS NOT NULL AND label IN (0, 1)").select(F.col("doc_id").alias("label_id"), "label")
     picked = known.orderBy(md5_key("label_id"), "label_id", "label").limit(sample_rows)
-    rows = docs.where("text IS NOT NULL").join(F.broadcast(picked), docs.doc_id == picked.label_id).select("doc_id", "text", "label").collect()
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["text"], r["label"]))
+    joined = docs.where("text IS NOT NULL").join(F.broadcast(picked), docs.doc_id == picked.label_id).select("doc_id", "text", "label")
+    rows = joined.orderBy(md5_key("doc_id"), "doc_id", "text", "label").limit(sample_rows).collect()  # ids may be repeated
     return train([r["text"] for r in rows], [int(r["label"]) for r in rows])
 
 

@@ -290,9 +290,9 @@ def test_mix(documents, odd, none):
 def test_top_k(spark):
     rng = np.random.default_rng(2)
     rows = [(i, [float(x) for x in rng.integers(-3, 4, 6) / 4]) for i in range(700)]
-    rows += [(700, None), (800, [1.0, None]), (900, [float("nan")] * 6), (None, [1.0] * 6), (1000, [1.0, 2.0]), (1001, [0.5, 0.25])]
+    rows += [(700, None), (701, [1e300] * 6), (800, [1.0, None]), (900, [float("nan")] * 6), (None, [1.0] * 6), (1000, [1.0, 2.0]), (1001, [0.5, 0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(1))
-    good = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if i is not None and i not in (700, 800, 900)}
+    good = {i: [int(np.floor(1024 * x)) for x in v] for i, v in rows if i is not None and i not in (700, 701, 800, 900)}
     want = []
     for q, v in good.items():
         if q % 100 == 0:

@@ -57,13 +57,14 @@ def valid_notes(raw: DataFrame) -> DataFrame:
 
     A number written as text, or a boolean, is not an amount. Bad notes are dropped, never fatal.
     """
-    v = F.try_parse_json("note")
+    parsed = raw.select("repo", "sha", F.explode(F.array(F.try_parse_json("note"))).alias("v"))  # generated, so that it is parsed once
+    v = F.col("v")
     kind = lambda path: F.schema_of_variant(F.try_variant_get(v, path, "variant"))
     number = lambda path: kind(path).rlike(r"^(BIGINT|DOUBLE|DECIMAL)")
     get = lambda path, t: F.try_variant_get(v, path, t)
     fine = lambda path: number(path) & (get(path, "double") >= 0) & (get(path, "double") < float("inf"))
     ok = (get("$.version", "int") == 1) & fine("$.usd") & fine("$.wh[0]") & fine("$.wh[1]") & get("$.wh[2]", "variant").isNull() & (kind("$.requests") == "BIGINT") & (get("$.requests", "long") >= 0)
-    return raw.where(F.coalesce(ok, F.lit(False))).select("repo", "sha", get("$.usd", "double").alias("usd"), get("$.wh[0]", "double").alias("wh_low"), get("$.wh[1]", "double").alias("wh_high"), get("$.requests", "long").alias("requests"), get("$.seen_requests", "long").alias("seen_requests"))
+    return parsed.where(F.coalesce(ok, F.lit(False))).select("repo", "sha", get("$.usd", "double").alias("usd"), get("$.wh[0]", "double").alias("wh_low"), get("$.wh[1]", "double").alias("wh_high"), get("$.requests", "long").alias("requests"), get("$.seen_requests", "long").alias("seen_requests"))
 
 
 def notes_to_write(receipts: DataFrame, existing: DataFrame, commits: DataFrame, me: DataFrame) -> DataFrame:

@@ -22,7 +22,7 @@ def read_lines(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFra
 
 def rollout_rows(raw: DataFrame) -> DataFrame:
     """Rollout lines (value, file_path) in time order with the session, directory and model last seen before each in its file."""
-    p = raw.select("file_path", "value", F.from_json("value", ROLLOUT).alias("r")).select("file_path", "value", "r.*").withColumn("ts", tx.parse_ts(F.col("timestamp")))
+    p = raw.select("file_path", "value", F.explode(F.array(F.from_json("value", ROLLOUT))).alias("r")).select("file_path", "value", "r.*").withColumn("ts", tx.parse_ts(F.col("timestamp")))
     order = Window.partitionBy("file_path").orderBy("ts", "value").rowsBetween(Window.unboundedPreceding, 0)
     last = lambda c: F.last(c, ignorenulls=True).over(order)
     meta, turn = F.col("type") == "session_meta", F.col("type") == "turn_context"

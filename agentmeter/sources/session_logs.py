@@ -26,7 +26,8 @@ def parsed(raw: DataFrame) -> DataFrame:
     """
     useful = F.col("value").contains('"usage"') | F.col("value").contains('"tool_use"') | F.col("value").contains('"tool_result"')
     row = F.when(useful, F.from_json("value", ROW, {"columnNameOfCorruptRecord": "_bad"}))
-    p = raw.where(F.length(F.trim("value")) > 0).withColumn("r", row)
+    # As a generated column the decoded row stays below any filter on it; else Catalyst decodes once for each mention in the filter.
+    p = raw.where(F.length(F.trim("value")) > 0).select("*", F.explode(F.array(row)).alias("r"))
     u = F.col("r.message.usage")
     tokens = [F.coalesce(u[c], F.lit(0)) for c in ("input_tokens", "cache_creation_input_tokens", "cache_read_input_tokens", "output_tokens")]
     negative = F.least(*tokens) < 0

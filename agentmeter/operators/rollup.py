@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,28 +88,24 @@ def weekly(noted: DataFrame) -> DataFrame:
 def merged_weeks(noted: DataFrame, min_group: int) -> DataFrame:
     """Consecutive weeks of a repo merged until min_group people are in each row; a short tail joins the row before it.
 
-    One row goes to Python for each repo, week and person, sorted by week: a repo's years of weeks are a few hundred.
+    A fold over a repo's weeks, a few hundred at most, numbers the row each belongs to; weeks after the last full row take its number.
     """
-    people = noted.groupBy("repo", iso_week(F.col("ts")).alias("week"), "author").agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"))
-
-    def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, run, who = [], None, set()
-        for week, part in pdf.groupby("week", sort=True):
-            if run is None:
-                run, who = [week, week, 0, 0], set()
-            run[1], run[2], run[3] = week, run[2] + int(part["cents"].sum()), run[3] + int(part["commits"].sum())
-            who |= set(part["author"])
-            if len(who) >= min_group:
-                rows.append(run)
-                run = None
-        if run is not None and rows:
-            rows[-1][1], rows[-1][2], rows[-1][3] = run[1], rows[-1][2] + run[2], rows[-1][3] + run[3]
-        elif run is not None:
-            rows.append(run)
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["repo", "first_week", "last_week", "cents", "commits"])
-
-    repo_type = noted.schema["repo"].dataType.simpleString()
-    return people.groupBy("repo").applyInPandas(merge, f"repo {repo_type}, first_week string, last_week string, cents long, commits long")
+    weeks = noted.groupBy("repo", iso_week(F.col("ts")).alias("week")).agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"), F.collect_set("author").alias("who"))
+    who = weeks.schema["who"].dataType.simpleString()
+    nothing = F.struct(F.lit(0).alias("row"), F.lit(True).alias("full"), F.array().cast(who).alias("who"), F.array().cast("array<struct<week:string,cents:bigint,commits:bigint,row:int,full:boolean>>").alias("marks"))
+
+    def step(state: Column, week: Column) -> Column:
+        people = F.when(state["full"], week["who"]).otherwise(F.array_union(state["who"], week["who"]))
+        row, full = state["row"] + state["full"].cast("int"), F.size(people) >= min_group
+        mark = F.struct(week["week"].alias("week"), week["cents"].alias("cents"), week["commits"].alias("commits"), row.alias("row"), full.alias("full"))
+        return F.struct(row.alias("row"), full.alias("full"), people.alias("who"), F.concat(state["marks"], F.array(mark)).alias("marks"))
+
+    sorted_weeks = F.array_sort(F.collect_list(F.struct("week", "cents", "commits", "who")))
+    marks = weeks.groupBy("repo").agg(sorted_weeks.alias("w")).select("repo", F.aggregate("w", nothing, step, lambda s: s["marks"]).alias("marks"))
+    last_full = F.array_max(F.transform(F.filter("marks", lambda m: m["full"]), lambda m: m["row"]))
+    numbered = marks.select("repo", last_full.alias("last_full"), F.inline("marks"))
+    row = F.least("row", F.coalesce("last_full", "row"))
+    return numbered.groupBy("repo", row.alias("row")).agg(F.min("week").alias("first_week"), F.max("week").alias("last_week"), F.sum("cents").alias("cents"), F.sum("commits").alias("commits")).drop("row")
 
 
 def team(noted: DataFrame, min_group: int) -> DataFrame:

@@ -30,7 +30,6 @@ SHARD_PAIRS = 50_000
 HOT_PART = 2048
 
 _SPACE = SPACE
-_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 class PerfectHash:
@@ -66,17 +65,13 @@ class PerfectHash:
         return out
 
 
-def line_key(line: str) -> str:
-    return line.strip(_SPACE).translate(_LOWER)
-
-
 def _hashes(text: str, min_chars: int) -> Iterator[tuple[str, bytes | None]]:
     """Each line with its key's hash, None for keys too short to count."""
     seen: dict[str, bytes | None] = {}
     for line in text.split("\n"):
         if line not in seen:
-            key = line_key(line)
-            seen[line] = xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass")) if len(key) >= min_chars else None
+            key = line.strip(_SPACE)  # lower-casing keeps its length, and bytes lower-case A-Z alone
+            seen[line] = xxhash.xxh3_128_digest(key.encode("utf-8", "surrogatepass").lower()) if len(key) >= min_chars else None
         yield line, seen[line]
 
 

@@ -74,7 +74,8 @@ class World:
         self.fuzzy_left, self.time_left = thin.where("session_id % 10 <> 9"), thin.where("session_id % 10 = 9")
         self.matches = at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found).persist(StorageLevel.MEMORY_AND_DISK)
         self.time, self.time_rest = at.time_only(self.time_left, self.repos, self.commits, self.who, self.found)
-        self.rows = self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time)
+        rows = self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time)
+        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
         self.named = at.tasks(self.rows, self.requests, self.found)
 
     def receipt(self):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
@@ -43,7 +44,7 @@ def now():
 
 class History:
     def __init__(self, spark, sf_dir):
-        self.all, self.lines = fx.patch_commits(spark, sf_dir), fx.commit_lines(spark, sf_dir)
+        self.all, self.lines = fx.patch_commits(spark, sf_dir), fx.commit_lines(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by every branch
         self.base, self.on_ref, self.refs = self.all.where("sha < 1000000"), fx.ref_commits(spark, sf_dir), fx.repo_refs(spark, sf_dir)
         digest = F.md5(F.col("sha").cast("string"))
         self.hashed = self.base.withColumn("hash", F.substring(F.concat(digest, digest), 1, 40))

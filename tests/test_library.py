@@ -13,6 +13,7 @@ from agentmeter import fixtures as fx
 from agentmeter.functions import dims
 from agentmeter.functions import text as tx
 from agentmeter.operators import asof, kept, rollup, stats
+from agentmeter.plans import QUERIES
 from agentmeter.operators import attribution as at
 from agentmeter.operators import requests as rq
 from agentmeter.operators import runs as rn
@@ -97,6 +98,15 @@ def test_five_outcomes(spark):
     assert (j.cents_per_durable, j.waste_ratio) == (400, 0.75)
 
 
+def test_registered_bootstraps_repeat_as_often_as_the_reference(spark, sf, monkeypatch):
+    asked = {}
+    for f, name in ((stats.paired_bootstrap, "paired_bootstrap"), (stats.hierarchical_bootstrap, "hierarchical_bootstrap")):
+        monkeypatch.setattr(stats, name, lambda x, reps, f=f, name=name: asked.setdefault(name, []).append(reps) or f(x, reps))
+    for name in ("o_m1_paired_bootstrap", "o_m2_hierarchical_bootstrap", "o_m7_study_report"):
+        QUERIES[name](spark, sf)
+    assert asked == {"paired_bootstrap": [2000], "hierarchical_bootstrap": [4000, 4000]}
+
+
 def test_paired_bootstrap_finds_a_true_effect_only(spark):
     def verdict(shift, n=12):
         rng = np.random.default_rng(1)

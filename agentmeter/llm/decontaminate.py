@@ -5,12 +5,14 @@ in a text with at most k edits shares at least m - q + 1 - k * q of its q-grams
 (place in the text minus place in the piece) that lie within k of each other. So q-grams that a text shares with a piece
 are counted in overlapping bands of diagonals, bands that reach the bound are kept, and a banded alignment decides.
 
-Texts and items are compared with letters lower-cased and white space as plain spaces, one character for one, so that
-spans point into the text as it is.
+Texts and items are compared with letters lower-cased and each run of white space as one space, so that wrapped and indented copies are
+found; spans point into the text as it is.
 
 Scale: the benchmark is the query set. It is split into blocks of at most BLOCK_CHARS characters; each block's q-gram index is
 broadcast and meets every text in one pass, without a shuffle. A task works on SLICE characters at a time and overlaps
-slices by the longest reach of a match, so long texts need no more memory than short ones.
+slices by the longest reach of a match, and counts at most about ENTRIES pairs of a place and an index entry at once, so long texts and
+common q-grams need no more memory than others. q-grams of rulers and padding, which would meet at each place of a run, aren't indexed: a piece
+counts the q-grams it has beside them, and its edits are bounded by these.
 """
 
 from __future__ import annotations
@@ -18,16 +20,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import written
-
 Q, PIECE, EDITS = 8, 64, 0.1
-BLOCK_CHARS, SLICE = 1_000_000, 1 << 20
+BLOCK_CHARS, SLICE, ENTRIES = 1_000_000, 1 << 20, 1 << 20
 #: Diagonals a band is moved by; its width is twice that, so any run of BAND diagonals lies inside one band.
 BAND = PIECE // 10 + 4
+#: q-grams that repeat with a period up to this (rulers, padding) say nothing and don't count.
+PERIOD = Q // 2
 _FACTOR = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
 _OUTSIDE = np.uint32(0x110000)
@@ -56,6 +59,16 @@ def codes(text: str) -> np.ndarray:
     return np.where(points < 0x10000, _LOWER[0][np.minimum(points, 0xFFFF)], points)
 
 
+def collapsed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+    """points with each run of spaces as one, and where each of them stood (None: in its place)."""
+    again = points[1:] == 32
+    again &= points[:-1] == 32
+    if not again.any():
+        return points, None
+    kept = np.flatnonzero(np.concatenate([[True], ~again]))
+    return points[kept], kept
+
+
 def gram_hashes(points: np.ndarray) -> np.ndarray:
     """A hash of the Q characters at each place, by doubling."""
     h, factor, width = points.astype(np.uint64), _FACTOR, 1
@@ -65,9 +78,16 @@ def gram_hashes(points: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def edit_budget(length: int, share: float = EDITS) -> int:
-    """Edits allowed for a piece: its share of the length, as far as the lemma still asks for at least one shared q-gram."""
-    return max(0, min(int(length * share), (length - Q) // Q))
+def telling(points: np.ndarray) -> np.ndarray:
+    """Places of the q-grams that count: those that don't repeat with a period up to PERIOD."""
+    windows = np.lib.stride_tricks.sliding_window_view(points, Q) if len(points) >= Q else np.zeros((0, Q), points.dtype)
+    repeats = [(windows[:, p:] == windows[:, :-p]).all(axis=1) for p in range(1, PERIOD + 1)]
+    return np.flatnonzero(~np.any(repeats, axis=0))
+
+
+def edit_budget(length: int, grams: int, share: float = EDITS) -> int:
+    """Edits allowed for a piece with so many q-grams: its share of the length, as far as the lemma still asks for at least one shared q-gram."""
+    return max(0, min(int(length * share), (grams - 1) // Q))
 
 
 class Index:
@@ -77,18 +97,18 @@ class Index:
         self.pieces: list[np.ndarray] = []
         item, hashes, piece, offset, need, edits = [], [], [], [], [], []
         for item_id, text in items:
-            points = codes(text)
+            points = collapsed(codes(text))[0]
             ends = [len(points)] if len(points) <= PIECE else [*range(PIECE, len(points), PIECE // 2), len(points)]
             for end in ends:
                 part = points[max(0, end - PIECE) : end]
-                if len(part) < Q:
+                at = telling(part)
+                if not len(at):
                     continue
-                k = edit_budget(len(part), share)
-                h = gram_hashes(part)
-                hashes.append(h)
-                piece.append(np.full(len(h), len(self.pieces), np.int32))
-                offset.append(np.arange(len(h), dtype=np.int32))
-                need.append(max(1, len(part) - Q + 1 - k * Q))
+                k = edit_budget(len(part), len(at), share)
+                hashes.append(gram_hashes(part)[at])
+                piece.append(np.full(len(at), len(self.pieces), np.int32))
+                offset.append(at.astype(np.int32))
+                need.append(max(1, len(at) - k * Q))
                 edits.append(k)
                 item.append(item_id)
                 self.pieces.append(part)
@@ -111,27 +131,45 @@ class Index:
 
     def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
         """(piece, edits, start, end) for the pieces that occur in points within their budget; starts and ends are those of the band."""
+        return self._verify(points, *self._bands(len(points), *self._shared(points)))
+
+    def _shared(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places whose q-gram some piece has, with the first index entry of each and how many it has."""
         if not len(self.hash) or len(points) < Q:
-            return []
+            return (np.zeros(0, np.int64),) * 3
         h = gram_hashes(points)[: len(points) - Q + 1]
         place = np.flatnonzero(self.filter[self._slot(h)])
-        if not len(place):
-            return []
         at = np.searchsorted(self.distinct, h[place])
         real = at < len(self.distinct)
         real[real] = self.distinct[at[real]] == h[place[real]]
         place, at = place[real], at[real]
-        ends = np.append(self.first[1:], len(self.hash))
-        many = ends[at] - self.first[at]
-        entry = np.repeat(self.first[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
-        diagonal = np.repeat(place, many) - self.offset[entry] + 4 * BAND  # positive, for division
-        piece = self.piece[entry].astype(np.int64)
-        band = diagonal // BAND
-        span = np.int64(len(points) // BAND + 16)
-        # a shared q-gram counts in the two bands that hold its diagonal
-        key, count = np.unique(np.concatenate([piece * span + band, piece * span + band - 1]), return_counts=True)
-        kept = count >= self.need[key // span]
-        return self._verify(points, (key[kept] // span).astype(np.int64), (key[kept] % span).astype(np.int64))
+        return place, self.first[at], np.append(self.first[1:], len(self.hash))[at] - self.first[at]
+
+    def _bands(self, length: int, place: np.ndarray, first: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, band) wherever a band of diagonals holds as many shared q-grams as the piece needs.
+
+        Places are walked in order, some ENTRIES entries at a time; counts of bands that later places can't reach are settled and dropped.
+        """
+        span = np.int64(length // BAND + 16)
+        total = np.cumsum(many)
+        key, count, kept, at = np.zeros(0, np.int64), np.zeros(0, np.int64), [np.zeros(0, np.int64)], 0
+        while at < len(place):
+            stop = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + ENTRIES, side="right")))
+            own = many[at:stop]
+            entry = np.repeat(first[at:stop] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
+            band = (np.repeat(place[at:stop], own) - self.offset[entry] + 4 * BAND) // BAND  # positive, for division
+            new = self.piece[entry].astype(np.int64) * span + band
+            # a shared q-gram counts in the two bands that hold its diagonal
+            new, times = np.unique(np.concatenate([new, new - 1]), return_counts=True)
+            if len(key):
+                new, back = np.unique(np.concatenate([key, new]), return_inverse=True)
+                times = np.bincount(back, np.concatenate([count, times])).astype(np.int64)
+            done = np.ones(len(new), bool) if stop == len(place) else new % span < (place[stop] - PIECE + 4 * BAND) // BAND - 1
+            enough = times >= self.need[new // span]
+            kept.append(new[done & enough])
+            key, count, at = new[~done], times[~done], stop
+        found = np.concatenate(kept)
+        return found // span, found % span
 
     def _verify(self, points: np.ndarray, piece: np.ndarray, band: np.ndarray) -> list[tuple[int, int, int, int]]:
         """Alignments of each piece, ends and all, to the text inside its band of diagonals; text before and after is free."""
@@ -159,37 +197,41 @@ class Index:
         return out
 
 
-def _slices(batches: Iterator[pa.RecordBatch], reach: int) -> Iterator[tuple[np.ndarray, list[tuple[int | None, int, int, int]]]]:
-    """Arrays of up to about SLICE characters with, for each text in them, (id, row, start in the array, start in the text)."""
-    parts, marks, size, row = [], [], 0, 0
-    for batch in batches:
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            row += 1
-            points = codes(text.as_py() or "")
-            for a in range(0, max(1, len(points) - 2 * reach), SLICE):
-                part = points[a : a + SLICE + 2 * reach]
-                marks.append((doc, row, size, a))
-                parts += [part, np.array([_OUTSIDE])]
-                size += len(part) + 1
-                if size >= SLICE:
-                    yield np.concatenate(parts), marks
-                    parts, marks, size = [], [], 0
+def _slices(texts: Iterator[tuple[int | None, str | None]], reach: int) -> Iterator[tuple[np.ndarray, list[tuple]]]:
+    """Arrays of up to about SLICE characters with, for each text in them, (id, start in the array, start in the text, where the text's characters stood)."""
+    parts, marks, size = [], [], 0
+    for doc, text in texts:
+        points, stood = collapsed(codes(text or ""))
+        for a in range(0, max(1, len(points) - 2 * reach), SLICE):
+            part = points[a : a + SLICE + 2 * reach]
+            marks.append((doc, size, a, stood))
+            parts += [part, np.array([_OUTSIDE])]
+            size += len(part) + 1
+            if size >= SLICE:
+                yield np.concatenate(parts), marks
+                parts, marks, size = [], [], 0
     if parts:
         yield np.concatenate(parts), marks
 
 
+def hits(index: Index, texts: Iterator[tuple[int | None, str | None]]) -> Iterator[list[tuple]]:
+    """(id, item, piece, edits, start, end) of each occurrence in texts (id, text), some texts at a time."""
+    for points, marks in _slices(texts, index.reach):
+        starts = np.array([m[1] for m in marks])
+        rows = []
+        for piece, edits, start, end in index.find(points):
+            doc, first, offset, stood = marks[int(np.searchsorted(starts, (start + end) // 2, side="right")) - 1]
+            a, b = max(0, start - first + offset), end - first + offset
+            if stood is not None:
+                a, b = int(stood[a]), int(stood[min(b, len(stood)) - 1]) + 1
+            rows.append((doc, int(index.item[piece]), piece, edits, a, b))
+        yield rows
+
+
 def _match(index):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from agentmeter.llm import decontaminate
-
-        found = index.value
-        for points, marks in decontaminate._slices(batches, found.reach):
-            hits = found.find(points)
-            starts = np.array([m[2] for m in marks])
-            rows = []
-            for piece, edits, start, end in hits:
-                doc, row, first, offset = marks[int(np.searchsorted(starts, (start + end) // 2, side="right")) - 1]
-                rows.append((doc, int(found.item[piece]), piece, edits, start - first + offset, end - first + offset))
+        texts = ((doc, text.as_py()) for batch in batches for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True))
+        for rows in hits(index.value, texts):
             names = ["doc_id", "item_id", "piece", "edits", "start", "end"]
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
             columns = list(zip(*rows, strict=True)) or [()] * 6
@@ -198,6 +240,18 @@ def _match(index):
     return run
 
 
+def _clean(index):
+    def clean(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in texts:
+            fine = np.ones(len(part), bool)
+            for rows in hits(index.value, enumerate(part)):
+                fine[[r[0] for r in rows]] = False
+            yield pd.Series(fine)
+
+    clean.__annotations__ = {"texts": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return clean
+
+
 def blocks(benchmark: DataFrame, share: float = EDITS, block_chars: int = BLOCK_CHARS) -> Iterator[Index]:
     """Indexes of bounded parts of the benchmark, dealt by the hash of the items."""
     items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
@@ -214,7 +268,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, block_c
     docs: doc_id, text; benchmark: item_id, text; other columns are ignored. An item is found in a document if one of its pieces is
     (items of up to PIECE characters are one piece). Returns one row for each pair: doc_id, item_id, pieces (how many
     different ones were found), edits (the least of one piece), start and end (code points, over all places, exact to the
-    edits). Null and empty texts, and items shorter than Q characters, match nothing. Rows with a null id, and repeated
+    edits). Null and empty texts, and items without a telling q-gram, match nothing. Rows with a null id, and repeated
     rows, are reported under that id. Items with one id count as one. Empty tables give no rows.
     """
     spark: SparkSession = docs.sparkSession
@@ -229,8 +283,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, block_c
     )
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the documents that hold a benchmark item. Rows with a null id stay only if no such row holds one."""
-    found = written(matches(docs, benchmark, **options).select("doc_id").distinct(), "decontaminate-found")
-    d, f = docs.alias("d"), found.alias("f")
-    return d.join(f, F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])
+def clean(docs: DataFrame, benchmark: DataFrame, share: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """docs without the rows that hold a benchmark item. Each row is judged by its own text, whatever its id; nothing is shuffled."""
+    for index in blocks(benchmark, share, block_chars):
+        fine = F.pandas_udf(_clean(docs.sparkSession.sparkContext.broadcast(index)), "boolean")
+        docs = docs.where(fine(F.col("text").cast("string")))
+    return docs

@@ -1,11 +1,11 @@
 """Language identification by compression.
 
-Each language has a dictionary of raw content: passages of labelled texts. A text is cut into pieces; each piece is
+Each language has a dictionary of raw content: whole labelled texts. A text is cut into pieces; each piece is
 compressed by zstandard with every language's dictionary, the sizes are summed over the whole text, and the language with the
 smallest sum wins. A text is rejected when the runner-up is too close for its length, or when it has no letters.
 
-Scale: one pass over the texts for scoring, no shuffle. The dictionaries come from at most SAMPLE_ROWS texts a language,
-chosen by the hash of their ids, and hold DICT_BYTES each.
+Scale: one pass over the texts for scoring, no shuffle. A dictionary is made of at most SAMPLE_ROWS texts, chosen by the hash of their
+ids; the number of rows is its only bound.
 """
 
 from __future__ import annotations
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 
 from agentmeter.llm.common import id_bucket, md5_key
 
-#: The bounds of what is learned: rows and bytes for each language, and bytes taken from one text.
-SAMPLE_ROWS, DICT_BYTES, PASSAGE = 256, 48_000, 256
+#: The bound of what is learned: labelled rows for each language.
+SAMPLE_ROWS = 64
 #: Texts are compressed in pieces of PIECE bytes. Short ones are repeated up to LEAST bytes: zstandard stores what saves too
 #: little, and only the first copy's matches with the dictionary make a difference.
 PIECE, LEAST = 4000, 256
@@ -36,20 +36,22 @@ def plain(text: str) -> bytes:
     return text.lower().encode("utf-8", "surrogatepass").translate(None, _DROPPED)
 
 
-def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, dict_bytes: int = DICT_BYTES, passage: int = PASSAGE) -> dict[str, bytes]:
-    """A dictionary for each language of docs (text, lang): passages from the middle of up to sample_rows texts.
+def learn(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
+    """A dictionary for each language of docs (text, lang): up to sample_rows whole texts.
 
-    The sample is bounded: sample_rows rows a language, the first by the hash of doc_id, of which passage characters reach the
-    driver. Rows whose lang or text is null, or whose text is empty, are left out.
+    The sample is bounded: sample_rows rows a language, the first by the hash of doc_id. Their hashes are found first, so that only the chosen
+    texts are moved. Rows whose lang or text is null, or whose text is empty, are left out.
     """
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (F.length("text") > 0))
-    middle = F.greatest(F.lit(1), F.floor((F.length("text") - passage) / 2) + 1).cast("int")
-    parts = usable.select("lang", md5_key("doc_id").alias("key"), F.substring(F.col("text"), middle, F.lit(passage)).alias("part"))
-    ranked = parts.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("key", "part"))).where(F.col("rank") <= sample_rows)
+    keyed = usable.select("lang", md5_key("doc_id").alias("key"), F.md5(F.col("text").cast("binary")).alias("digest"), "text")
+    order = Window.partitionBy("lang").orderBy("key", "digest")
+    ranked = keyed.select("lang", "key", "digest").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= sample_rows)
+    few = ranked.groupBy("lang", "key", "digest").agg(F.min("rank").alias("rank"))
+    picked = keyed.join(F.broadcast(few), ["lang", "key", "digest"]).dropDuplicates(["lang", "rank"])
     out: dict[str, list[bytes]] = {}
-    for row in ranked.orderBy("lang", "rank").collect():
-        out.setdefault(row["lang"], []).append(plain(row["part"]))
-    return {lang: b"\n".join(parts)[:dict_bytes] for lang, parts in out.items()}
+    for row in picked.orderBy("lang", "rank").select("lang", "text").collect():
+        out.setdefault(row["lang"], []).append(plain(row["text"]))
+    return {lang: b"\n".join(texts) for lang, texts in out.items()}
 
 
 class Models:

@@ -6,9 +6,10 @@ no other key of its level falls; a key's index is the rank of its bit) and lays
 fingerprints, document counts, and the largest document. The documents' line hashes of that shard then probe the arrays:
 no line text is shuffled or joined.
 
-Skew: a line that a large part of all documents holds would send all its probes to one shard. Lines with at least one
-HOT_PART-th of all (document, line) pairs are at most HOT_PART in number, so these go to the documents' own tasks as a
-small dictionary, and only the rest is dealt to shards. Shards hold SHARD_PAIRS pairs on average, at any input size.
+Skew: a key that many documents hold has as many probes. Keys with more than SPLIT of them are a table of their own, which is joined
+to the probes on the key (with no hint: Spark broadcasts it while it is small and splits skewed partitions beyond); their
+probes are dealt to as many sub-shards as they need, by document, and each of these gets a copy of the shard's split keys. So a group has
+SHARD_PAIRS probes on average, and SPLIT more for each hot key in it, at any input size.
 """
 
 from __future__ import annotations
@@ -26,8 +27,7 @@ from pyspark.sql import functions as F
 from agentmeter.llm.common import SPACE, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
-SHARD_PAIRS = 50_000
-HOT_PART = 2048
+SHARD_PAIRS, SPLIT = 50_000, 25_000
 
 _SPACE = SPACE
 
@@ -117,7 +117,7 @@ def _probe(min_docs: int):
     return run
 
 
-def _rewrite(min_chars: int, hot: dict[bytes, int | None], with_text: bool):
+def _rewrite(min_chars: int, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
@@ -127,7 +127,7 @@ def _rewrite(min_chars: int, hot: dict[bytes, int | None], with_text: bool):
                 n, kept = 0, []
                 for line, h in _hashes(text.as_py() or "", min_chars):
                     n += 1
-                    if h is None or doc is None or not (h in gone or h in hot and hot[h] != doc):
+                    if h is None or h not in gone:
                         kept.append(line)
                 out = "\n".join(kept)
                 rows.append((doc, n, n - len(kept), hashlib.sha256(out.encode("utf-8", "surrogatepass")).hexdigest(), *([out] if with_text else [])))
@@ -139,34 +139,40 @@ def _rewrite(min_chars: int, hot: dict[bytes, int | None], with_text: bool):
     return run
 
 
+def drops(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
+    """(doc_id, place, print) of the keys that each document loses; place and print are the halves of the key's hash."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = docs.mapInArrow(_pairs(min_chars), "doc_id long, place long, print long")
+    pairs = written(found.distinct(), "line-pairs")  # rows of one id are one document
+    keys = pairs.groupBy("place", "print").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(-1)).alias("last_doc"))
+    keys = written(keys, "line-keys")
+    total = keys.agg(F.sum("n_docs")).first()[0] or 0
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shard = F.pmod("place", F.lit(max(total // SHARD_PAIRS, 4 * partitions))).alias("shard")
+    parts = F.ceil(F.col("n_docs") / SPLIT).cast("int")
+    hot = written(keys.where(F.col("n_docs") > SPLIT).select("place", "print", parts.alias("parts")), "line-hot")
+    of_doc = F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"), F.lit(0))
+    probes = pairs.where("doc_id IS NOT NULL").join(hot, ["place", "print"], "left").select("doc_id", "place", "print", shard, of_doc.alias("part"))
+    known = keys.select("place", "print", "n_docs", "last_doc", shard, F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    dealt = probes.groupBy("shard", "part").cogroup(known.groupBy("shard", "part"))
+    return dealt.applyInPandas(_probe(min_docs), "doc_id long, place long, print long")
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, with_text: bool = False) -> DataFrame:
     """Drop repeated lines, except in the largest doc_id that holds them.
 
     docs: doc_id, text; other columns are ignored. A line's key is the line stripped of ASCII white space, A-Z lower-cased.
     Keys of min_chars code points or more that min_docs documents or more hold lose all their lines except in the largest
     doc_id. Returns doc_id, n_lines, n_dropped, kept_sha256 and, with_text, kept_text. Null and empty texts are one
-    empty line. Each row counts as a document, so repeated rows count again and, having the same id, keep or lose a line
-    together. Rows with a null id count as holders but lose no lines. An empty table gives no rows.
+    empty line. Repeated rows, having the same id, are one document: it counts once, and its rows keep or lose a line together.
+    Rows with a null id count as one document between them, but lose no lines. An empty table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    pairs = written(docs.mapInArrow(_pairs(min_chars), "doc_id long, place long, print long"), "line-pairs")
-    keys = pairs.groupBy("place", "print").agg(F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.max("doc_id"), F.lit(-1)).alias("last_doc"))
-    keys = written(keys, "line-keys")
-    total = keys.agg(F.sum("n_docs")).first()[0] or 0
-    often = keys.where(F.col("n_docs") >= max(min_docs, total / HOT_PART)).collect()  # at most HOT_PART rows
-    hot = {int(r["place"]).to_bytes(8, "little", signed=True) + int(r["print"]).to_bytes(8, "little", signed=True): r["last_doc"] for r in often}
-    rare = F.col("n_docs") < max(min_docs, total / HOT_PART)
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    shards = max(total // SHARD_PAIRS, 4 * partitions)
-    shard = F.pmod("place", F.lit(shards)).alias("shard")
-    hot_keys = docs.sparkSession.createDataFrame([(r["place"], r["print"]) for r in often], "place long, print long")
-    probes = pairs.where("doc_id IS NOT NULL").join(F.broadcast(hot_keys), ["place", "print"], "left_anti").select("doc_id", "place", "print", shard)
-    known = keys.where(rare).select("place", "print", "n_docs", "last_doc", shard)
-    drops = probes.groupBy("shard").cogroup(known.groupBy("shard")).applyInPandas(_probe(min_docs), "doc_id long, place long, print long")
-    lists = drops.groupBy("doc_id").agg(F.collect_list(F.concat(_little("place"), _little("print"))).alias("drops"))
-    joined = docs.join(lists, "doc_id", "left").select("doc_id", "text", "drops")
+    lists = drops(docs, min_chars, min_docs).groupBy("doc_id").agg(F.collect_list(F.concat(_little("place"), _little("print"))).alias("drops"))
+    joined = docs.where("doc_id IS NOT NULL").join(lists, "doc_id", "left").select("doc_id", "text", "drops")
+    unnamed = docs.where("doc_id IS NULL").withColumn("drops", F.lit(None).cast("array<binary>"))
     schema = "doc_id long, n_lines long, n_dropped long, kept_sha256 string" + ", kept_text string" * with_text
-    return joined.mapInArrow(_rewrite(min_chars, hot, with_text), schema)
+    return joined.unionByName(unnamed).mapInArrow(_rewrite(min_chars, with_text), schema)
 
 
 def _little(column: str):
@@ -175,23 +181,24 @@ def _little(column: str):
     return F.unhex(F.concat(*[F.substring(digits, i, 2) for i in range(15, 0, -2)]))
 
 
+#: Rows are numbered, since rows of one id stay rows but count as one document.
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
-  FROM documents),
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+lines AS (
+  SELECT r, doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos
+  FROM docs),
 keyed AS (
-  SELECT doc_id, pos, line,
+  SELECT r, doc_id, pos, line,
          translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
   FROM lines),
 often AS (
   SELECT key, max(doc_id) AS last_doc FROM keyed WHERE length(key) >= 20
-  GROUP BY key HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY key HAVING count(DISTINCT doc_id) + max(CASE WHEN doc_id IS NULL THEN 1 ELSE 0 END) >= 3),
 kept AS (
-  SELECT k.doc_id, k.pos, k.line, (o.key IS NOT NULL AND o.last_doc <> k.doc_id) AS gone
+  SELECT k.r, k.doc_id, k.pos, k.line, coalesce(o.last_doc <> k.doc_id, false) AS gone
   FROM keyed k LEFT JOIN often o ON k.key = o.key)
 SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
        sha256(coalesce(string_agg(CASE WHEN gone THEN NULL ELSE line END, chr(10) ORDER BY pos), '')) AS kept_sha256
-FROM kept GROUP BY doc_id
+FROM kept GROUP BY r, doc_id
 """

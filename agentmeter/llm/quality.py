@@ -95,7 +95,7 @@ class Discriminant:
         self.parts = []
         for k in self.known:
             factor = np.linalg.cholesky((1 - POOL) * within[k] + POOL * pooled + RIDGE * np.eye(d))
-            self.parts.append(((means[k] - self.mean) / self.scale, np.linalg.inv(factor), 2 * np.log(np.diag(factor)).sum(), np.log(moments[k][0] / n_all)))
+            self.parts.append(((means[k] - self.mean) / self.scale, factor, 2 * np.log(np.diag(factor)).sum(), np.log(moments[k][0] / n_all)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """The probability of class 1 for each row."""
@@ -103,9 +103,9 @@ class Discriminant:
             return np.full(len(x), self.constant)
         z = np.clip((x - self.mean) / self.scale, -CLIP, CLIP)
         density, prior = [], []
-        for mean, inverse, logdet, log_prior in self.parts:
-            away = (z - mean) @ inverse.T
-            density.append(-0.5 * ((away**2).sum(axis=1) + logdet))
+        for mean, factor, logdet, log_prior in self.parts:
+            away = np.linalg.solve(factor, (z - mean).T)
+            density.append(-0.5 * ((away**2).sum(axis=0) + logdet))
             prior.append(log_prior)
         odds = TEMPER * (density[1] - density[0]) + prior[1] - prior[0]
         return 1 / (1 + np.exp(-np.clip(odds, -50, 50)))

@@ -6,7 +6,7 @@ given earlier in the text, and scores each pair by how sensitive the target's na
 Pairs over the threshold become spans of kind 'lexed'. Three fixed patterns ('assign', 'access', 'hex') are always
 reported; the lexer adds spans and takes none away.
 
-Scale: one pass over the texts, no shuffle, one text in memory at a time.
+Scale: one pass over the texts, no shuffle, one text in memory at a time, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -38,11 +38,27 @@ PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|change_?me|example.*|your[_-].*|d
 THRESHOLD = 4.0
 LEXED_CHARS = 8
 
-#: Where an assignment can stand: a name, perhaps quoted, and an operator.
-_TARGET = re.compile(r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_$]*(?:[.-][A-Za-z_$][A-Za-z0-9_$]*)*)(?P=q)(?:\[["'](?P<item>[\w.-]+)["']\])?[ \t]*(?::[ \t]*[A-Za-z_][\w.]*[ \t]*(?==))?(?::=|=>|=(?!=)|:(?!//|:))[ \t]*""", re.ASCII)
-_PIECE = re.compile(r"""(?P<quoted>[rbfu]{0,2}"(?P<d>(?:[^"\\\n]|\\.)*)"|[rbfu]{0,2}'(?P<s>(?:[^'\\\n]|\\.)*)')|\$\{?(?P<ref>[A-Za-z_][A-Za-z0-9_]*)\}?|(?P<bare>[A-Za-z0-9+/_.=~!@%^&*-]+)""", re.ASCII)
-_JOIN = re.compile(r"[ \t]*\+[ \t]*\n?[ \t]*|[ \t]+(?=[\"'])")
-_WORD = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: How many characters of a constant's value are kept: its score needs no more, and constants made of constants would double.
+VALUE_CHARS = 4096
+
+_PART = r"[A-Za-z_$][A-Za-z0-9_$]*+"
+#: Where an assignment can stand: a name, perhaps quoted, and an operator. A name starts where no name goes on, and what was read of it is
+#: never given back, so each character is read once or twice whatever the text.
+_TARGET = re.compile(
+    rf"""(?<![A-Za-z0-9_$])(?<![A-Za-z0-9_$][.-])(?P<name>{_PART}(?:[.-]{_PART})*+)["']?+(?:\[["'](?P<item>[\w.-]++)["']\])?+[ \t]*+"""
+    r"""(?::[ \t]*+[A-Za-z_][\w.]*+[ \t]*+(?==))?+(?::=|=>|=(?!=)|:(?!//|:))[ \t]*+""",
+    re.ASCII,
+)
+#: A value: a literal in three quotes or one, a reference, or a bare literal, which ends before & and isn't the target of another assignment.
+_PIECE = re.compile(
+    r'''[rbfu]{0,2}(?:"""(?P<ddd>(?:[^"\\]|\\.|"(?!""))*+)"""|\'\'\'(?P<sss>(?:[^\'\\]|\\.|\'(?!\'\'))*+)\'\'\'|"(?P<d>(?:[^"\\\n]|\\.)*+)"|\'(?P<s>(?:[^\'\\\n]|\\.)*+)\')'''
+    r"""|\$\{?+(?P<ref>[A-Za-z_][A-Za-z0-9_]*+)\}?+|(?P<bare>[A-Za-z0-9+/_.~!@%^*-]++(?:={1,2}(?![A-Za-z0-9"'=]))?+)(?![ \t]*+=(?!=)|:=)""",
+    re.ASCII | re.DOTALL,
+)
+_QUOTED = ("ddd", "sss", "d", "s")
+_JOIN = re.compile(r"[ \t]*+\+[ \t]*+\n?+[ \t]*+|[ \t]++(?=[\"'])")
+_FOLD = re.compile(r"[ \t]*+\n\s*+")
+_WORD = re.compile(r"[A-Z]++(?![a-z])|[A-Z]?[a-z]++|[0-9]++")
 
 
 def name_score(name: str) -> float:
@@ -65,44 +81,48 @@ def literal_score(literal: str) -> float:
     return min(entropy, 4.0) / 2 + (classes - 1) / 2 + (n >= 20) / 2
 
 
+def _value(text: str, at: int, constants: dict[str, tuple[int, int, str]]) -> tuple[int, int, str, bool, int]:
+    """The value that starts at a place: span (-1, -1 without one), what it says, whether a literal is in it, and where it ends."""
+    value, start, end, direct = "", -1, -1, False
+    while p := _PIECE.match(text, at):
+        inside = next((q for q in _QUOTED if p[q] is not None), None)
+        known = None if inside else constants.get(p["ref"] or p["bare"])
+        if inside:
+            span, piece, direct = p.span(inside), p[inside], True
+            if len(inside) == 3:  # lines of one literal
+                piece = _FOLD.sub("", piece).strip()
+        elif known:
+            span, piece = known[:2], known[2]
+        else:
+            span, piece = p.span("bare"), p["bare"] or ""
+        if span[0] >= 0:
+            start, end = (span if start < 0 else (start, max(end, span[1])) if span[0] >= start else (start, end))
+            value = (value + piece[:VALUE_CHARS])[:VALUE_CHARS]
+        at = p.end()
+        j = _JOIN.match(text, at)
+        if not j or (not inside and "+" not in j[0]) or not _PIECE.match(text, j.end()):
+            break
+        at = j.end()
+    return start, end, value, direct, at
+
+
 def lexed(text: str) -> list[tuple[int, int, float]]:
-    """Spans of literals that reach a sensitive name, directly or by way of constants, with their scores."""
+    """Spans of literals that reach a sensitive name, directly or by way of constants, with their scores.
+
+    Constants have one scope, the text, and the latest assignment counts. What stands in comments is read like code: a secret there is one.
+    """
     constants: dict[str, tuple[int, int, str]] = {}
     out: dict[tuple[int, int], float] = {}
     at = 0
     while m := _TARGET.search(text, at):
-        name, at = m["item"] or m["name"], m.end()
-        value, start, end, direct = "", -1, -1, False
-        while p := _PIECE.match(text, at):
-            if p["quoted"] is not None:
-                inside = "d" if p["d"] is not None else "s"
-                piece, span = p[inside], p.span(inside)
-                direct = True
-            else:
-                known = constants.get(p["ref"] or p["bare"])
-                if known:
-                    span, piece = known[:2], known[2]
-                elif p["bare"]:
-                    piece, span = p["bare"], p.span("bare")
-                else:
-                    piece, span = "", (-1, -1)
-            if span[0] >= 0:
-                start, end = (span if start < 0 else (start, max(end, span[1])) if span[0] >= start else (start, end))
-                value += piece
-            at = p.end()
-            j = _JOIN.match(text, at)
-            if not j or not _PIECE.match(text, j.end()) or (not p["quoted"] and "+" not in j[0]):
-                break
-            at = j.end()
+        start, end, value, direct, at = _value(text, m.end(), constants)
         if start < 0:
             continue
         if direct or len(value) >= LEXED_CHARS:
             constants[m["name"]] = (start, end, value)
-        score = name_score(name)
-        if score >= 2:
-            score += literal_score(value) if literal_score(value) else -99
-            if score >= THRESHOLD and (start, end) not in out:
-                out[start, end] = score
+        score = name_score(m["item"] or m["name"])
+        if score >= 2 and (literal := literal_score(value)) and score + literal >= THRESHOLD:
+            out.setdefault((start, end), score + literal)
     return [(a, b, s) for (a, b), s in out.items()]
 
 

@@ -7,8 +7,9 @@ out of the subtrees whose weights change. A new shard opens a region of its own
 into itself and none move between the shards that were there; a shard put into an existing rack would also move
 documents within that region.
 
-Scale: the draws need the id alone, no shuffle. Slots need one shuffle of narrow rows; a shard is spread over SLICES
-windows, and the only broadcast is the table of slice offsets, at most shards * SLICES rows.
+Scale: the draws need the id alone, no shuffle. Slots need two shuffles of narrow rows: rows alike are counted before they are
+ordered, and a shard is spread over slices by the hash of id, checksum and size, so a hot id doesn't meet in one window. The only broadcast is the
+table of slice offsets, at most shards times slices rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from agentmeter.llm.common import md5_key, written
+from agentmeter.llm.common import fresh, written
 
 Topology = list[list[list[float]]]
 #: Hex digits of the id's hash that form a slice of a shard: 16 ** 2 slices.
@@ -33,19 +34,19 @@ def topology(shards: int = 40, rack: int = 4, racks: int = 2) -> Topology:
 
 
 def grow(tree: Topology, weight: float = 1.0) -> Topology:
-    """tree with one more shard, in a region of its own."""
+    """tree with one more shard, in a region of its own. A tree that has grown is the one to grow again: topology() of as many shards differs."""
     return [*tree, [[weight]]]
 
 
-def _draw(place: Column, weight: Column) -> Column:
-    digits = F.substring(F.md5(F.concat_ws(":", "__id", place)), 1, 13)
+def _draw(name: Column, place: Column, weight: Column) -> Column:
+    digits = F.substring(F.md5(F.concat_ws(":", name, place)), 1, 13)
     uniform = (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
     return -F.log(uniform) / weight
 
 
-def _choose(weights: Column, prefix: Column) -> Column:
+def _choose(name: Column, weights: Column, prefix: Column) -> Column:
     """The child with the smallest draw; ties go to the first."""
-    draws = F.transform(weights, lambda w, i: F.struct(_draw(F.concat(prefix, i.cast("string")), w).alias("draw"), i.alias("child")))
+    draws = F.transform(weights, lambda w, i: F.struct(_draw(name, F.concat(prefix, i.cast("string")), w).alias("draw"), i.alias("child")))
     return F.array_min(draws)["child"]
 
 
@@ -55,7 +56,7 @@ def _literal(value) -> Column:
 
 
 def place(docs: DataFrame, tree: Topology, column: str = "shard") -> DataFrame:
-    """docs with the shard's number, counted through the tree in order. Null ids share one place."""
+    """docs with the shard's number in column (written over if it is there), counted through the tree in order. Null ids share one place."""
     if not tree or min(w for r in tree for k in r for w in k) <= 0:
         raise ValueError("a topology needs shards, of positive weights")
     sizes = [len(k) for r in tree for k in r]
@@ -66,12 +67,13 @@ def place(docs: DataFrame, tree: Topology, column: str = "shard") -> DataFrame:
     starts = iter(sum(sizes[:i]) for i in range(len(sizes)))
     first = [[next(starts) for _ in r] for r in tree]
     at = lambda table, i: F.get(table, F.col(i))
-    out = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    out = out.withColumn("__region", _choose(_literal([sum(r) for r in racks]), F.lit("r")))
-    out = out.withColumn("__rack", _choose(at(_literal(racks), "__region"), F.concat(F.lit("r"), F.col("__region"), F.lit("k"))))
-    leaf = _choose(F.get(at(_literal(shards), "__region"), F.col("__rack")), F.concat(F.lit("r"), F.col("__region"), F.lit("k"), F.col("__rack"), F.lit("s")))
-    out = out.withColumn(column, (leaf + F.get(at(_literal(first), "__region"), F.col("__rack"))).cast("int"))
-    return out.drop("__rack", "__region", "__id")
+    name, region, rack = fresh(docs, "shard_name", "shard_region", "shard_rack")
+    out = docs.withColumn(name, F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    out = out.withColumn(region, _choose(F.col(name), _literal([sum(r) for r in racks]), F.lit("r")))
+    out = out.withColumn(rack, _choose(F.col(name), at(_literal(racks), region), F.concat(F.lit("r"), F.col(region), F.lit("k"))))
+    shards_there, first_there = F.get(at(_literal(shards), region), F.col(rack)), F.get(at(_literal(first), region), F.col(rack))
+    leaf = _choose(F.col(name), shards_there, F.concat(F.lit("r"), F.col(region), F.lit("k"), F.col(rack), F.lit("s")))
+    return out.withColumn(column, (leaf + first_there).cast("int")).drop(rack, region, name)
 
 
 def shard(docs: DataFrame, tree: Topology | None = None) -> DataFrame:
@@ -79,24 +81,25 @@ def shard(docs: DataFrame, tree: Topology | None = None) -> DataFrame:
 
     docs: doc_id, text; other columns are ignored. Returns doc_id, size (UTF-8 bytes plus 16; null text: 16), text_crc32
     (null text: that of the empty text), law ('key'), shard, slot (gapless from 0 in each shard) and grown_shard. The id
-    and the tree alone decide the shard: repeated ids share it, null ids are one id. Slots follow the id's hash,
-    then id, checksum and size; rows alike in all of these may swap slots. An empty table gives no rows.
+    and the tree alone decide the shard: repeated ids share it, null ids are one id. Slots follow the hash of id,
+    checksum and size; rows alike in all of these may swap slots. An empty table gives no rows.
     """
     tree = tree or topology()
     rows = docs.select(
         "doc_id",
         (F.coalesce(F.octet_length("text"), F.lit(0)) + 16).cast("long").alias("size"),
         F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
-        md5_key("doc_id").alias("key"),
     )
-    placed = place(place(rows, tree), grow(tree), "grown_shard").withColumn("slice", F.substring("key", 1, SLICE_DIGITS))
-    rows = written(placed, "shards")  # narrow rows, so that texts are read and draws made once
+    placed = place(place(rows, tree), grow(tree), "grown_shard")
+    key = F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), "text_crc32", "size"))
+    rows = written(placed.withColumn("key", key).withColumn("slice", F.substring("key", 1, SLICE_DIGITS)), "shards")  # narrow rows, so that texts are read and draws made once
+    alike = rows.groupBy("shard", "slice", "key", "doc_id", "size", "text_crc32", "grown_shard").agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     offsets = rows.groupBy("shard", "slice").count().withColumn("offset", F.coalesce(F.sum("count").over(earlier), F.lit(0))).drop("count")
-    inside = Window.partitionBy("shard", "slice").orderBy("key", F.col("doc_id").asc_nulls_last(), "text_crc32", "size")
-    numbered = rows.withColumn("inner", F.row_number().over(inside) - 1)
+    inside = Window.partitionBy("shard", "slice").orderBy("key", F.col("doc_id").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = alike.withColumn("inner", F.coalesce(F.sum("n").over(inside), F.lit(0))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
     return numbered.join(F.broadcast(offsets), ["shard", "slice"]).select(
-        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("inner")).cast("long").alias("slot"), "grown_shard"
+        "doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("offset") + F.col("inner") + F.col("i")).cast("long").alias("slot"), "grown_shard"
     )
 
 
@@ -112,7 +115,7 @@ summed AS (
          CASE WHEN coalesce(text, '') = '' THEN 0 ELSE xor(4294967295, list_reduce(list_transform(range(1, len(h) + 1), lambda i: CAST(h[CASE WHEN i % 2 = 1 THEN i + 1 ELSE i - 1 END] AS BIGINT)),
            lambda a, x: xor(a >> 4, t[(xor(a, x) & 15) + 1]), CAST(4294967295 AS BIGINT))) END AS text_crc32
   FROM halves CROSS JOIN entries),
-ids AS (SELECT DISTINCT doc_id, CAST(doc_id AS VARCHAR) AS id FROM documents),
+ids AS (SELECT DISTINCT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS id FROM documents),
 regions AS (
   SELECT doc_id, id, arg_min(r, draw) FILTER (r < 5) AS region, arg_min(r, draw) AS grown_region FROM (
     SELECT doc_id, id, r, -ln((CAST('0x' || substr(md5(id || ':r' || r), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / CASE WHEN r = 5 THEN 1 ELSE 8 END AS draw
@@ -124,7 +127,7 @@ shards AS (
   SELECT doc_id, id, grown_region, CAST(region * 8 + rack * 4 + arg_min(s, draw) AS INTEGER) AS shard FROM (
     SELECT *, -ln((CAST('0x' || substr(md5(id || ':r' || region || 'k' || rack || 's' || s), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) AS draw FROM racks CROSS JOIN range(4) t(s)) GROUP BY doc_id, id, grown_region, region, rack)
 SELECT d.doc_id, size, text_crc32, 'key' AS law, shard,
-       row_number() OVER (PARTITION BY shard ORDER BY md5(id), d.doc_id, text_crc32, size) - 1 AS slot,
+       row_number() OVER (PARTITION BY shard ORDER BY md5(id || ':' || text_crc32 || ':' || size), d.doc_id) - 1 AS slot,
        CASE WHEN grown_region = 5 THEN 40 ELSE shard END AS grown_shard
-FROM summed d JOIN shards s ON s.doc_id = d.doc_id
+FROM summed d JOIN shards s ON s.doc_id IS NOT DISTINCT FROM d.doc_id
 """

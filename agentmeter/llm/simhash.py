@@ -5,14 +5,14 @@ Flipping a bit moves one count by one, so the Manhattan distance of two points i
 Hamming distance. Points within distance 2 share a grid cell that is at most 1 away from both: each point is
 entered in its own cell and its 42 neighbours, and a range join on the cell finds every pair within 2.
 
-Fingerprints that meet another one in some cell are candidates. They are verified exactly and without listing pairs:
-two fingerprints differ in at most 2 bits exactly if some value differs from both in at most 1 bit. A candidate is entered
-at its 65 such values; a value has at most 65 fingerprints, which are linked as a star. Components of the links give the
-classes.
+The fingerprints of a cell are verified exactly, by the bits in which two of them differ. A cell of up to DENSE fingerprints is compared in the task that
+has it, and only links that join two classes of the cell leave the task. A denser one (a cloud of near copies, thousands of
+different fingerprints a few bits apart) is not paired up: two of its fingerprints differ in at most 2 bits exactly if some value
+is within 1 bit of both, so each is entered at its 65 such values, and the 65 fingerprints that a value has at most are linked as a star.
 
 Scale: texts are read once and not shuffled. Exact copies fold into one fingerprint by partial aggregation before
-anything else, so a group of copies costs one row a task. Every step after that is linear in the number of different
-fingerprints: no group of rows with a shared cell is ever paired up.
+anything else, so a group of copies costs one row a task. The grid is one shuffle of 43 narrow rows for each different fingerprint; a task
+streams through its cells and holds at most DENSE fingerprints of one.
 """
 
 from __future__ import annotations
@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
+from agentmeter.llm import neardup
 from agentmeter.llm.common import written
 from agentmeter.llm.components import components
 
@@ -34,6 +35,8 @@ SEGMENTS, SEGMENT_BITS, SEED = 21, 3, 42
 _DIGIT = 3
 #: Fingerprints in a partition that is about to be entered in cells.
 SPREAD = 100_000
+#: Fingerprints of a cell that are compared with each other; and those of short cells, which are compared many cells at once.
+DENSE, SHORT = 4096, 16
 #: Hashes counted at once.
 _RUN = 1 << 16
 
@@ -77,19 +80,82 @@ def _cells() -> F.Column:
     return F.transform(F.array(F.lit(0).cast("long"), *[s.cast("long") for s in steps]), lambda s: own + s)
 
 
-def candidates(prints: DataFrame) -> DataFrame:
-    """The fingerprints of prints (print, distinct) that share a grid cell with another one."""
-    entered = prints.select("print", F.explode(_cells()).alias("cell"))
-    met = written(entered.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("cell"), "simhash-cells")
-    return entered.join(met, "cell", "left_semi").select("print").distinct()
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """In how many bits signed longs differ; numpy would count those of a negative number's absolute value."""
+    return np.bitwise_count((a ^ b).view(np.uint64))
+
+
+def verified(prints: np.ndarray, distance: int = 2) -> list[tuple[int, int]]:
+    """Links that join exactly what pairs of prints within distance join."""
+    part, out = np.arange(len(prints)), []
+    for i in range(len(prints) - 1):
+        near = (_apart(prints[i + 1 :], prints[i]) <= distance) & (part[i + 1 :] != part[i])
+        for j in (np.flatnonzero(near) + i + 1).tolist():
+            if part[j] != part[i]:
+                part[part == part[j]] = part[i]
+                out.append((int(prints[i]), int(prints[j])))
+    return out
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) of the cells, from rows (cell, print) in the order of cells; of dense cells the fingerprints (a, cell)."""
+
+    def result(a, b, cell) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, cell)], ["a", "b", "cell"])
+
+    rest_cell, rest, dense = None, [np.zeros(0, np.int64)], False
+    for batch in batches:
+        cell, own = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "print"))
+        if not len(cell):
+            continue
+        starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+        ends = np.append(starts[1:], len(cell))
+        if cell[0] == rest_cell:  # a cell that goes on
+            rest.append(own[: ends[0]])
+            starts, ends = starts[1:], ends[1:]
+        if len(starts) and rest_cell is not None:
+            yield from _cell(rest_cell, np.concatenate(rest), dense, result)
+            rest_cell = None
+        if len(starts):
+            short = ends[:-1] - starts[:-1]
+            inside = np.repeat(short <= SHORT, short)
+            few, mine = cell[starts[0] : ends[-2]][inside] if len(short) else cell[:0], own[starts[0] : ends[-2]][inside] if len(short) else own[:0]
+            for lag in range(1, SHORT):
+                same = np.flatnonzero(few[lag:] == few[:-lag])
+                if not len(same):
+                    break
+                near = same[_apart(mine[same], mine[same + lag]) <= 2]
+                if len(near):
+                    yield result(mine[near], mine[near + lag], np.zeros(len(near), np.int64))
+            for i in np.flatnonzero(short > SHORT).tolist():
+                yield from _cell(int(cell[starts[i]]), own[starts[i] : ends[i]], False, result)
+            rest_cell, rest, dense = int(cell[starts[-1]]), [own[starts[-1] :]], False
+        if sum(map(len, rest)) > DENSE:
+            held = np.concatenate(rest)
+            yield result(held, [None] * len(held), np.full(len(held), rest_cell))
+            rest, dense = [held[:0]], True
+    if rest_cell is not None:
+        yield from _cell(rest_cell, np.concatenate(rest), dense, result)
+
+
+def _cell(cell: int, own: np.ndarray, dense: bool, result) -> Iterator[pa.RecordBatch]:
+    if dense or len(own) > DENSE:
+        yield result(own, [None] * len(own), np.full(len(own), cell))
+    elif len(own) > 1:
+        found = verified(own)
+        yield result([a for a, _ in found], [b for _, b in found], [cell] * len(found))
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Links (a, b) that join exactly what is within 2 bits of each other, as stars around the least print of each value."""
+    """Links (a, b) that join exactly what is within 2 bits of each other. prints: print, distinct."""
+    entered = prints.select("print", F.explode(_cells()).alias("cell"))
+    placed = entered.repartition("cell").sortWithinPartitions("cell")
+    met = written(placed.mapInArrow(_met, "a long, b long, cell long"), "simhash-met")
     flips = F.array(F.lit(0).cast("long"), *[F.lit(1 << i if i < 63 else -(1 << 63)).cast("long") for i in range(64)])
-    near = candidates(prints).select("print", F.explode(F.transform(flips, lambda f: F.col("print").bitwiseXOR(f))).alias("value"))
-    groups = near.groupBy("value").agg(F.sort_array(F.collect_list("print")).alias("g")).where(F.size("g") > 1)  # 65 at most
-    return groups.select(F.explode(F.slice("g", 2, 65)).alias("a"), F.get("g", F.lit(0)).alias("b")).distinct()
+    near = met.where("b IS NULL").select("cell", F.col("a").alias("print"), F.explode(F.transform(flips, lambda f: F.col("a").bitwiseXOR(f))).alias("value"))
+    groups = near.groupBy("cell", "value").agg(F.sort_array(F.collect_list("print")).alias("g")).where(F.size("g") > 1)  # 65 at most
+    stars = groups.select(F.explode(F.slice("g", 2, 65)).alias("a"), F.get("g", F.lit(0)).alias("b"))
+    return met.where("b IS NOT NULL").select("a", "b").unionByName(stars).distinct()
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
@@ -111,11 +177,11 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return rows.join(named, "print").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with the document of the smallest id of each class; of repeated rows with that id one stays.
+def keep_one(docs: DataFrame, width: int = neardup.WIDTH, similarity: float = neardup.SIMILARITY) -> DataFrame:
+    """docs with one row of each class of near copies by word shingles, the one of the smallest id, in the columns of docs.
 
-    Rows with a null id can't be told apart and stay as they are.
+    Near copies are texts that share the given part of their shingles, which is exact in neardup. Fingerprints can't find them: at a similarity of
+    0.8 two fingerprints differ in about 10 of 64 bits, and a grid for such distances would enter each at most of its cells.
+    Nulls, repeated rows and the like: see neardup.keep_one.
     """
-    kept = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.where("doc_id IS NOT NULL").join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*[F.col(f"`{c}`") for c in docs.columns]).unionByName(docs.where("doc_id IS NULL"))
+    return neardup.keep_one(docs, width, similarity)

@@ -1,10 +1,9 @@
 """Toxicity by subword bags.
 
 A word is the mean of the vectors of its character n-grams (hashed to buckets) and of the whole word, so misspellings that
-were never seen share most of a known word's vectors. A window of words is the mean of its words, and a linear softmax
-reads the mean. A text is as toxic as its worst window, so a few words in a long text are not averaged away. Vectors
-and softmax are trained jointly in numpy: each epoch takes from every text the window that now scores highest, and
-updates by AdaGrad.
+were never seen share most of a known word's vectors. A bag of words is the mean of its words, and a linear softmax
+reads the mean. Vectors and softmax are trained jointly in numpy by AdaGrad: first on the bags of whole texts, then, since a few words in
+a long text are averaged away, on each text's window of WINDOW words that scores highest at the time. A text is as toxic as its worst window.
 
 Since the softmax is linear, a trained word has one number, its share of the logit, and a window's logit is the mean of
 these: scoring a text is one lookup a word and one running sum.
@@ -32,9 +31,9 @@ BUCKETS = 1 << BUCKET_BITS
 WINDOW = 3
 #: Subwords left out at random in training, so that a word's weight is spread over all of them.
 DROP = 0.5
-#: Texts at which a bucket's odds count half at the start.
-START = 8
-EPOCHS, RATE, DECAY, SEED = 7, 0.5, 1e-4, 7
+#: Epochs over whole texts' bags, then over each text's window that scores highest.
+WHOLE_EPOCHS, WINDOW_EPOCHS = 2, 7
+RATE, DECAY, SEED = 0.5, 1e-4, 7
 #: Words whose number is kept by a task while it scores; beyond that it starts anew.
 MEMO = 400_000
 #: Texts whose words are met at once.
@@ -128,78 +127,89 @@ def _logistic(x: float) -> float:
     return float(1 / (1 + np.exp(-np.clip(x, -50, 50))))
 
 
-def _odds(coded: list[np.ndarray], flat: np.ndarray, starts: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Where training starts: for each bucket the log odds of label 1 among the texts that have it, less where few do."""
-    having = np.zeros((2, BUCKETS))
-    for code, label in zip(coded, y, strict=True):
-        words = np.unique(code)
-        found = np.zeros(BUCKETS, bool)
-        for w in words:
-            found[flat[starts[w] : starts[w + 1]]] = True
-        having[int(label)] += found
-    total = np.array([(y == 0).sum(), (y == 1).sum()])
-    odds = np.log((having[1] + 0.5) / (total[1] + 1)) - np.log((having[0] + 0.5) / (total[0] + 1))
-    return odds * having.sum(axis=0) / (having.sum(axis=0) + START)
-
-
-def train(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Bag:
+class Training:
+    """Vectors and softmax that learn together, and what AdaGrad remembers of their gradients."""
+
+    def __init__(self, vocabulary: list[str], bias: float, rng: np.random.Generator):
+        self.rng = rng
+        self.bucket, owner = subwords(vocabulary)
+        self.lengths = np.bincount(owner, minlength=len(vocabulary))
+        self.starts = np.concatenate([[0], np.cumsum(self.lengths)])
+        self.softmax = rng.normal(0, 1 / WIDTH**0.5, (2, WIDTH))
+        self.vectors = rng.normal(0, 0.02, (BUCKETS, WIDTH))
+        self.bias = np.array([0.0, bias])
+        self.seen, self.seen_s, self.seen_b = np.full(BUCKETS, 1e-6), np.full(2, 1e-6), 1e-6
+
+    def across(self) -> np.ndarray:
+        """Each bucket's share of the logit."""
+        return self.vectors @ (self.softmax[1] - self.softmax[0])
+
+    def word_logits(self) -> np.ndarray:
+        return np.add.reduceat(self.across()[self.bucket], self.starts[:-1]) / self.lengths
+
+    def gradients(self, shares: np.ndarray, words: np.ndarray, target: np.ndarray, drop: float = 0.0):
+        """Of the cross entropy of a batch: (buckets met, theirs, the softmax's, the bias's). shares: texts by words, each text's adding up to 1."""
+        reach = self.lengths[words]
+        at = np.repeat(self.starts[words] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
+        bucket = self.bucket[at]
+        part = np.repeat(1.0 / reach, reach)
+        if drop:
+            part = part * (self.rng.random(len(part)) >= drop) / (1 - drop)
+        first = np.concatenate([[0], np.cumsum(reach)[:-1]])
+        mean = shares @ np.add.reduceat(self.vectors[bucket] * part[:, None], first)
+        z = mean @ self.softmax.T + self.bias
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        error = p - np.stack([1 - target, target], axis=1)
+        back = np.repeat(shares.T @ (error @ self.softmax), reach, axis=0) * part[:, None]
+        met, where = np.unique(bucket, return_inverse=True)
+        return met, np.stack([np.bincount(where, back[:, i], len(met)) for i in range(WIDTH)], axis=1), error.T @ mean, error.sum(axis=0)
+
+    def step(self, rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rate: float, drop: float) -> None:
+        """One update from texts as (words, their shares)."""
+        words, where = np.unique(np.concatenate([w for w, _ in rows]), return_inverse=True)
+        shares = np.zeros((len(rows), len(words)))
+        shares[np.repeat(np.arange(len(rows)), [len(w) for w, _ in rows]), where] = np.concatenate([s for _, s in rows])
+        met, vectors, softmax, bias = self.gradients(shares, words, target, drop)
+        vectors, softmax = vectors + DECAY * self.vectors[met], softmax + DECAY * self.softmax
+        self.seen[met] += (vectors**2).mean(axis=1)
+        self.seen_s += (softmax**2).mean(axis=1)
+        self.seen_b += float((bias**2).mean())
+        self.vectors[met] -= rate * vectors / np.sqrt(self.seen[met])[:, None]
+        self.softmax -= rate * softmax / np.sqrt(self.seen_s)[:, None]
+        self.bias -= rate * bias / np.sqrt(self.seen_b)
+
+
+def _counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words, times = np.unique(code, return_counts=True)
+    return words, times / max(1, len(code))
+
+
+def train(texts: list[str], labels: list[int], whole: int = WHOLE_EPOCHS, windows: int = WINDOW_EPOCHS) -> Bag:
     """Vectors and softmax of the bag, trained together. Without both labels every score is the share of label 1, smoothed."""
     y = np.array(labels, float)
     prior = (y.sum() + 1) / (len(y) + 2)
-    bias0 = float(np.log(prior / (1 - prior)))
+    bias = float(np.log(prior / (1 - prior)))
     if len(set(labels)) < 2:
-        return Bag(np.zeros(BUCKETS), bias0)
-    rng = np.random.default_rng(SEED)
+        return Bag(np.zeros(BUCKETS), bias)
     vocabulary: dict[str, int] = {}
     coded = [np.array([vocabulary.setdefault(w, len(vocabulary)) for w in words_of(t)], np.int64) for t in texts]
-    flat, owner = subwords(list(vocabulary))
-    lengths = np.bincount(owner, minlength=len(vocabulary))
-    starts = np.concatenate([[0], np.cumsum(lengths)])
-    softmax = rng.normal(0, 1 / WIDTH**0.5, (2, WIDTH))
-    across = softmax[1] - softmax[0]
-    vectors = rng.normal(0, 0.02, (BUCKETS, WIDTH)) + np.outer(_odds(coded, flat, starts, y), across / (across @ across))
-    bias = np.array([0.0, bias0])
-    seen, seen_s, seen_b = np.full(BUCKETS, 1e-6), np.full(2, 1e-6), 1e-6
-    for epoch in range(epochs):
-        # each text's window that scores highest now
-        logit = vectors @ (softmax[1] - softmax[0])
-        by_word = np.add.reduceat(logit[flat], starts[:-1]) / lengths if len(flat) else np.zeros(0)
-        chosen = []
-        for code in coded:
-            best = int(window_sums(by_word[code]).argmax())
-            chosen.append(code[best : best + WINDOW])
-        rate = RATE * (1 - 0.7 * epoch / epochs)
+    if not vocabulary:
+        return Bag(np.zeros(BUCKETS), bias)
+    rng = np.random.default_rng(SEED)
+    learned = Training(list(vocabulary), bias, rng)
+    bags = [_counted(c) for c in coded]
+    for epoch in range(whole + windows):
+        if epoch >= whole:  # each text's window that scores highest now
+            logits = learned.word_logits()
+            best = [int(window_sums(logits[c]).argmax()) for c in coded]
+            bags = [_counted(c[b : b + WINDOW]) for b, c in zip(best, coded, strict=True)]
+        rate = RATE * (1 - 0.7 * epoch / (whole + windows))
         for batch in np.array_split(rng.permutation(len(coded)), max(1, len(coded) // 32)):
-            rows = [chosen[i] for i in batch if len(chosen[i])]
-            if not rows:
-                continue
-            target = np.array([y[i] for i in batch if len(chosen[i])])
-            word = np.concatenate(rows)
-            text = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-            reach = lengths[word]
-            at = np.repeat(starts[word] - np.concatenate([[0], np.cumsum(reach)[:-1]]), reach) + np.arange(reach.sum())
-            bucket, owner = flat[at], np.repeat(text, reach)
-            share = np.repeat(1.0 / reach, reach) / WINDOW
-            share *= (rng.random(len(share)) >= DROP) / (1 - DROP)
-            mean = np.zeros((len(rows), WIDTH))
-            np.add.at(mean, owner, vectors[bucket] * share[:, None])
-            z = mean @ softmax.T + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            error = p - np.stack([1 - target, target], axis=1)  # of the cross entropy
-            back = error @ softmax
-            gradient = np.zeros((BUCKETS, WIDTH))
-            np.add.at(gradient, bucket, back[owner] * share[:, None])
-            met = np.unique(bucket)
-            gradient[met] += DECAY * vectors[met]
-            seen[met] += (gradient[met] ** 2).mean(axis=1)
-            step = error.T @ mean + DECAY * softmax
-            seen_s += (step**2).mean(axis=1)
-            seen_b += float((error.sum(axis=0) ** 2).mean())
-            vectors[met] -= rate * gradient[met] / np.sqrt(seen[met])[:, None]
-            softmax -= rate * step / np.sqrt(seen_s)[:, None]
-            bias -= rate * error.sum(axis=0) / np.sqrt(seen_b)
-    return Bag(vectors @ (softmax[1] - softmax[0]), float(bias[1] - bias[0]))
+            some = [i for i in batch if len(coded[i])]
+            if some:
+                learned.step([bags[i] for i in some], y[some], rate, DROP if epoch >= whole else 0.0)
+    return Bag(learned.across(), float(learned.bias[1] - learned.bias[0]))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Bag:

@@ -1,11 +1,14 @@
 """Statistics of experiments: counter-based draws, bootstraps, intervals, step-down tests, sample sizes.
 
-Draws come from md5 of (seed, repetition, slot), so every engine and every run has the same ones. A repetition is a group of rows,
-so the work spreads over repetitions and units; only sums per repetition are gathered.
+Draws are hashes of (seed, repetition, slot, ...) in whole numbers, so every engine and every run has the same ones. A bootstrap's work is dealt by
+blocks of repetitions and blocks of units: a task holds one block of units as arrays, draws for its repetitions in numpy, and
+returns sums alone, so no row is made for a draw.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,12 +17,25 @@ from agentmeter.operators import runs as rn
 # Confidence levels, quantiles, least counts.
 Z95, Z_LEVEL, Z_POWER = 1.959964, 2.241402727604945, 0.8416212335729143
 MIN_SHARED, MIN_REPS, HOLM_ALPHA = 6, 100, 0.05
+#: Draws are fifth powers modulo this prime; the fifth power is a one-to-one map of what is below it.
+PRIME, LAST = 2**31 - 1, 40_503
+#: Blocks of repetitions that a bootstrap is dealt in, and commits that a task holds at most. With more commits each block of them draws for all.
+REP_BLOCKS, COMMITS = 16, 65_536
 
 
-def draw(n: Column, *parts: Column | str) -> Column:
-    """A whole number from 0 to n - 1 that parts decide."""
-    text = F.concat_ws(":", *[p if isinstance(p, Column) else F.lit(p) for p in parts])
-    return F.pmod(F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long"), n)
+def power(u):
+    """u to the fifth modulo PRIME, for whole numbers and arrays of them."""
+    square = u * u % PRIME
+    return square * square % PRIME * u % PRIME
+
+
+def mixed(state, part):
+    return power((state + part + 1) % PRIME)
+
+
+def draw(state, n: int):
+    """A whole number from 0 to n - 1 for each state."""
+    return power((state + LAST) % PRIME) * n >> 31
 
 
 def at_index(values: str, q: float) -> Column:
@@ -45,20 +61,54 @@ def paired_effects(w: DataFrame, baseline: str, challenger: str) -> DataFrame:
     return mean.where("b IS NOT NULL AND c IS NOT NULL").select("commit", "corner", ((F.col("c") - F.col("b")) / F.col("b")).alias("effect"))
 
 
+def _numbered(rows: DataFrame, keys: list[str], name: str, index: str, total: str) -> DataFrame:
+    """rows with index (from 0, by the md5 of name) and total within keys. Rows are numbered in ranges of the md5, so a hot key isn't one window."""
+    keyed = rows.withColumn("__md5", F.md5(F.col(name).cast("string"))).withColumn("__range", F.substring("__md5", 1, 2))
+    counts = keyed.groupBy(*keys, "__range").agg(F.count("*").alias("__n"))
+    every = Window.partitionBy(*keys)
+    before = every.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"), F.sum("__n").over(every).alias(total))
+    inside = Window.partitionBy(*keys, "__range").orderBy("__md5", name)
+    numbered = keyed.withColumn("__i", F.row_number().over(inside) - 1).join(offsets, [*keys, "__range"])
+    return numbered.withColumn(index, (F.col("__before") + F.col("__i")).cast("long")).drop("__md5", "__range", "__i", "__before")
+
+
+def _units(rows: DataFrame, index: str, reps: int) -> DataFrame:
+    """rows once for each block of repetitions (reps_from, reps_to), with the first index of their block of rows (first)."""
+    step = -(-reps // REP_BLOCKS)
+    starts = F.explode(F.array(*[F.lit(r) for r in range(0, reps, step)])).alias("reps_from")
+    first = (F.floor(F.col(index) / COMMITS) * COMMITS).alias("first")
+    return rows.select("*", first, starts).withColumn("reps_to", F.least(F.col("reps_from") + step, F.lit(reps)))
+
+
+def _counts(state: int, n: int, first: int, here: int) -> np.ndarray:
+    """How often n draws from n fall on each of the here places from first on."""
+    out = np.zeros(here, np.int64)
+    for a in range(0, n, COMMITS):
+        at = draw(mixed(state, np.arange(a, min(n, a + COMMITS), dtype=np.int64)), n) - first
+        out += np.bincount(at[(at >= 0) & (at < here)], minlength=here)
+    return out
+
+
 def paired_bootstrap(effects: DataFrame, reps: int = 2000, seed: int = 0, level: float = 0.975) -> DataFrame:
     """One row: shared commits, the verdict, and the widest interval over the corners.
 
-    A verdict needs MIN_SHARED commits and an interval that leaves out 0 on the same side at every corner. Commits are drawn in the order of their
-    effects, so their names don't matter.
+    A verdict needs MIN_SHARED commits and an interval that leaves out 0 on the same side at every corner.
     """
     corners = effects.groupBy("commit").agg(F.sort_array(F.collect_list(F.struct("corner", "effect"))).alias("e"))
     rows = corners.select("commit", F.transform("e", lambda x: x["effect"]).alias("e"))
-    indexed = rows.withColumn("i", F.row_number().over(Window.orderBy("e", "commit")).cast("long") - 1)  # one row a commit of a study
-    n = rows.agg(F.count("*").alias("n"))
-    slots = effects.sparkSession.range(reps).select(F.col("id").alias("rep")).crossJoin(F.broadcast(n)).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0).cast("long")))))
-    drawn = slots.where("n > 0").select("rep", "n", draw(F.col("n"), str(seed), F.col("rep").cast("string"), F.col("slot").cast("string")).alias("i"))
-    picked = drawn.join(indexed.select("i", F.posexplode("e").alias("corner", "effect")), "i")
-    means = picked.groupBy("rep", "corner", "n").agg(F.avg("effect").alias("m"))
+    base = mixed(0, seed)
+
+    def summed(unit: pd.DataFrame) -> pd.DataFrame:
+        first, low, high, n = (int(unit[c].iloc[0]) for c in ("first", "reps_from", "reps_to", "n"))
+        values = np.stack(unit.sort_values("i")["e"].to_numpy())
+        sums = np.stack([_counts(mixed(base, rep), n, first, len(values)) for rep in range(low, high)]).astype(float) @ values
+        rep, corner = np.indices(sums.shape)
+        return pd.DataFrame({"rep": rep.ravel() + low, "corner": corner.ravel(), "n": n, "s": sums.ravel()})
+
+    units = _units(_numbered(rows, [], "commit", "i", "n"), "i", reps)
+    sums = units.groupBy("first", "reps_from").applyInPandas(summed, "rep long, corner long, n long, s double")
+    means = sums.groupBy("rep", "corner", "n").agg((F.sum("s") / F.col("n")).alias("m"))
     tail = (1 - level) / 2
     spread = means.groupBy("corner", "n").agg(F.sort_array(F.collect_list("m")).alias("s"))
     ends = spread.select("n", at_index("s", tail).alias("lo"), at_index("s", 1 - tail).alias("hi"))
@@ -72,18 +122,26 @@ def hierarchical_bootstrap(sums: DataFrame, reps: int = 4000, seed: int = 0) ->
 
     sums: rn.comparison_sums. Repos are drawn first, then as many commits of each as it has; ratios are of sums.
     """
-    repo_order, commit_order = Window.partitionBy("id").orderBy("repo"), Window.partitionBy("id", "repo").orderBy("commit")
-    repos = sums.groupBy("id", "repo").agg(F.count("*").alias("n_commits")).withColumn("r", F.row_number().over(repo_order).cast("long") - 1)
-    n_repos = repos.groupBy("id").agg(F.count("*").alias("n_repos"))
-    reps_ = sums.sparkSession.range(reps).select(F.col("id").alias("rep"))
-    repo_slots = n_repos.crossJoin(reps_).withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_repos") - 1)))
-    key = [str(seed), F.col("rep").cast("string"), F.col("slot").cast("string")]
-    chosen = repo_slots.withColumn("r", draw(F.col("n_repos"), *key)).join(F.broadcast(repos), ["id", "r"])
-    commit_slots = chosen.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_commits") - 1)))
-    picked = commit_slots.select("id", "rep", "repo", draw(F.col("n_commits"), *key, F.col("k").cast("string")).alias("c"))
-    weights = picked.groupBy("id", "rep", "repo", "c").agg(F.count("*").alias("times"))
-    indexed = sums.withColumn("c", F.row_number().over(commit_order).cast("long") - 1)
-    totals = weights.join(indexed, ["id", "repo", "c"]).groupBy("id", "rep").agg(*[F.sum(F.col(x) * F.col("times")).alias(x) for x in rn.SUMS])
+    repos = _numbered(sums.select("id", "repo").distinct(), ["id"], "repo", "r", "n_repos")
+    units = _units(_numbered(sums, ["id", "repo"], "commit", "c", "n_commits").join(repos, ["id", "repo"]), "c", reps)
+    base = mixed(0, seed)
+
+    def summed(unit: pd.DataFrame) -> pd.DataFrame:
+        first, low, high, r, n_repos, n = (int(unit[c].iloc[0]) for c in ("first", "reps_from", "reps_to", "r", "n_repos", "n_commits"))
+        values = unit.sort_values("c")[list(rn.SUMS)].to_numpy(np.int64)
+        found = []
+        for rep in range(low, high):
+            slots = mixed(mixed(base, rep), np.arange(n_repos, dtype=np.int64))
+            own = slots[draw(slots, n_repos) == r]
+            if len(own):
+                found.append((rep, *(sum(_counts(int(s), n, first, len(values)) for s in own) @ values)))
+        out = pd.DataFrame(found, columns=["rep", *rn.SUMS])
+        out.insert(0, "id", unit["id"].iloc[0])
+        return out
+
+    schema = "id string, rep long, " + ", ".join(f"{c} long" for c in rn.SUMS)
+    parts = units.groupBy("id", "repo", "first", "reps_from").applyInPandas(summed, schema)
+    totals = parts.groupBy("id", "rep").agg(*[F.sum(x).alias(x) for x in rn.SUMS])
     values = totals.select("id", *[x.alias(n) for n, x in rn.ratios().items()])
     names = list(rn.ratios())
     lists = values.groupBy("id").agg(*[F.sort_array(F.collect_list(n)).alias(n) for n in names], F.count_if(F.col("per_solved") < 1).alias("below"), F.count("per_solved").alias("valid"))

@@ -216,16 +216,19 @@ def o_p34(spark, sf_dir):
     return session_logs.typed_prompts(c).select(F.col("session_id").alias("conv_id"), F.col("ts").alias("turn"), "prompt")
 
 
-@query("o_p21_task_measures", "SELECT doc_id, len(string_split_regex(trim(regexp_replace(text, '[ \\t\\n\\x0b\\f\\r]+', ' ', 'g'), ' '), ' ')) AS words FROM documents WHERE length(trim(text, ' ')) > 0")
+_SPACE = "[ \\t\\n\\x0b\\f\\r]"
+
+
+@query("o_p21_task_measures", f"""SELECT doc_id, CASE WHEN t = '' THEN 0 ELSE len(string_split_regex(t, ' ')) END AS words
+    FROM (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '{_SPACE}+', ' ', 'g'), ' ') AS t FROM documents)""")
 def o_p21(spark, sf_dir):
-    return fx.table(spark, sf_dir, "documents").where(F.length(F.trim("text")) > 0).select("doc_id", tx.words(F.col("text")).cast("long").alias("words"))
+    return fx.table(spark, sf_dir, "documents").select("doc_id", tx.words(F.col("text")).cast("long").alias("words"))
 
 
-@query("o_p22_trailers", "SELECT conv_id, turn, text AS body FROM conversations WHERE text = trim(text, ' ')")
+@query("o_p22_trailers", f"SELECT conv_id, turn, regexp_replace(regexp_replace(text, '^{_SPACE}+', ''), '{_SPACE}+$', '') AS body FROM conversations")
 def o_p22(spark, sf_dir):
-    c = fx.table(spark, sf_dir, "conversations").where(F.col("text") == F.trim("text"))
     signed = F.concat("text", F.lit("\nCo-Authored-By: someone <s@example.org>\nsigned-off-by: x"))
-    return c.select("conv_id", "turn", tx.without_trailers(signed).alias("body"))
+    return fx.table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.without_trailers(signed).alias("body"))
 
 
 @query("o_p25_account_errors", "SELECT request_id, k % 4 = 0 OR k % 5 = 0 AS account, k % 3 = 0 AS other FROM requests")

@@ -116,9 +116,49 @@ def test_paired_bootstrap_finds_a_true_effect_only(spark):
     assert verdict(-4).verdict == "uses less" and verdict(4).verdict == "uses more" and verdict(0).verdict == "not proven" and verdict(-4, 5).verdict == "not enough passing commits"
 
 
-def test_draws_match_md5(spark):
-    got = [r.x for r in spark.range(50).select(stats.draw(F.lit(7), "0", F.col("id").cast("string")).alias("x")).collect()]
-    assert got == [int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16) % 7 for i in range(50)]
+def test_draws_are_spread():
+    """Fifth powers in arrays and in Python's whole numbers agree, and draws fall evenly on their places."""
+    state = stats.mixed(stats.mixed(0, 0), 5)
+    got = stats.draw(stats.mixed(state, np.arange(70_000, dtype=np.int64)), 7)
+    assert got[:50].tolist() == [(pow((pow(state + k + 1, 5, stats.PRIME) + stats.LAST) % stats.PRIME, 5, stats.PRIME) * 7) >> 31 for k in range(50)]
+    counts = np.bincount(got, minlength=7)
+    assert counts.sum() == 70_000 and ((counts - 10_000) ** 2 / 10_000).sum() < 25
+    pairs = np.bincount(got[:-1] * 7 + got[1:], minlength=49)
+    assert ((pairs - 70_000 / 49) ** 2 / (70_000 / 49)).sum() < 90
+
+
+@pytest.mark.parametrize("block", [65_536, 5])
+def test_bootstraps_equal_plain_numpy(spark, monkeypatch, block):
+    """Every draw as a row of its own, in plain Python and numpy, for one block of commits and for many."""
+    monkeypatch.setattr(stats, "COMMITS", block)
+    rng = np.random.default_rng(3)
+    order = lambda names: sorted(names, key=lambda x: (hashlib.md5(str(x).encode()).hexdigest(), x))
+    step = lambda h, part: pow((h + part + 1) % stats.PRIME, 5, stats.PRIME)
+    pick = lambda h, n: pow((h + stats.LAST) % stats.PRIME, 5, stats.PRIME) * n >> 31
+    base, reps = step(0, 0), 120
+    effects = {(f"c{i}", k): float(rng.normal(0.1, 0.2)) for i in range(17) for k in range(3)}
+    names = order({c for c, _ in effects})
+    means = np.array([[np.mean([effects[names[pick(step(step(base, rep), s), 17)], k] for s in range(17)]) for k in range(3)] for rep in range(reps)])
+    ranked = np.sort(means, axis=0)
+    got = stats.paired_bootstrap(spark.createDataFrame([(c, k, e) for (c, k), e in effects.items()], "commit string, corner long, effect double"), reps).first()
+    low, high = int((1 - 0.975) / 2 * (reps - 1)), int((1 - (1 - 0.975) / 2) * (reps - 1))
+    assert got.shared == 17 and got.low == pytest.approx(ranked[low].min()) and got.high == pytest.approx(ranked[high].max())
+    rows = [("x", r, c, *[int(n) for n in rng.integers(1, 50, len(rn.SUMS))]) for r in range(4) for c in range(3 + 3 * r)]
+    sums = spark.createDataFrame(rows, "id string, repo long, commit long, " + ", ".join(f"{c} long" for c in rn.SUMS))
+    of = {r: {c: np.array(x[3:]) for x in rows if x[1] == r for c in [x[2]]} for r in range(4)}
+    repos, at, ratios = order(of), {c: i for i, c in enumerate(rn.SUMS)}, []
+    for rep in range(reps):
+        total = 0
+        for slot in range(4):
+            h = step(step(base, rep), slot)
+            commits = of[repos[pick(h, 4)]]
+            total = total + sum(commits[order(commits)[pick(step(h, k), len(commits))]] for k in range(len(commits)))
+        part = lambda name: int(total[at[name]])  # noqa: E731, B023
+        ratios.append((part("c_cents") / part("c_solved")) / (part("b_cents") / part("b_solved")))
+    got = stats.hierarchical_bootstrap(sums, reps).first()
+    ranked, below = sorted(ratios), sum(x < 1 for x in ratios) / reps
+    assert got.per_solved_low == pytest.approx(ranked[int(0.025 * (reps - 1))]) and got.per_solved_high == pytest.approx(ranked[int(0.975 * (reps - 1))])
+    assert got.p == pytest.approx(min(1, 2 * min(below, 1 - below)))
 
 
 def test_wilson_and_empty_shares(spark):
@@ -142,6 +182,8 @@ def test_commands(spark):
     assert paths("sed -i '' -e s/a/b/ f.py && perl -pi -e 's/x/y/' g.py > /dev/null") == ["f.py", "g.py"]
     assert paths("echo hi >> 'log 1' ; mv -f a b; touch $X") == ["a", "b", "log"] or paths("echo hi >> log; mv -f a b; touch $X") == ["a", "b", "log"]
     assert paths("cat a | tee -a out.txt 2>&1") == ["out.txt"] and paths("rm 'unclosed") == []
+    assert paths("sed 's/a/b/' x.py; perl -ne print y") == [] and paths("sed -i.bak -e s/a/b/ -e s/c/d/ x.py y.py") == ["x.py", "y.py"] and paths("perl -i -pe 's/x/y/' g.py") == ["g.py"]
+    assert paths("cat > plan.md <<'EOF'\nrm x\nEOF\ntouch 'a b' \"c;d\" 2> err") == ["a b", "c;d", "plan.md"] and paths("/bin/rm -f a && (cd b; mv c d) & cp e f") == ["a", "c", "d", "e", "f"]
 
 
 def test_small_functions(spark):

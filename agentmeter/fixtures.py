@@ -55,7 +55,8 @@ def commit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def touched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return requests(spark, sf_dir).select("session_id", (F.col("session_id") % 8).alias("repo"), F.concat(F.lit("f"), (F.col("k") % 10).cast("string")).alias("path")).distinct()
+    """Files that sessions edited; a tenth of the people use a source that shows none."""
+    return requests(spark, sf_dir).where("session_id % 10 <> 9").select("session_id", (F.col("session_id") % 8).alias("repo"), F.concat(F.lit("f"), (F.col("k") % 10).cast("string")).alias("path")).distinct()
 
 
 def commit_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +129,7 @@ SQL = {
     "commits": "SELECT user_id % 8 AS repo, event_id AS sha, date_trunc('second', ts) AS ts, user_id AS author, k, value FROM ev WHERE event_type = 'purchase'",
     "calls": """SELECT user_id AS session_id, user_id % 8 AS repo, ts - INTERVAL 1 SECOND AS start_ts, CASE WHEN event_id % 5 <> 0 THEN ts + INTERVAL 1 SECOND END AS end_ts
         FROM ev WHERE event_type = 'purchase' AND event_id % 3 <> 0""",
-    "touched": "SELECT DISTINCT session_id, session_id % 8 AS repo, 'f' || (k % 10) AS path FROM requests",
+    "touched": "SELECT DISTINCT session_id, session_id % 8 AS repo, 'f' || (k % 10) AS path FROM requests WHERE session_id % 10 <> 9",
     "commit_files": "SELECT repo, sha, 'f' || (k % 10) AS path, k + 1 AS lines_changed FROM commits",
     "doc_lines": """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY line) AS pos FROM (
         SELECT DISTINCT doc_id, source, lang, trim(line, ' ') AS line FROM (SELECT doc_id, source, lang, unnest(string_split(text, chr(10))) AS line FROM documents)

@@ -9,6 +9,8 @@ from agentmeter.operators import asof
 
 # Days until a commit is judged kept, that a squash may follow it, and that a change must last; the share of reworked lines.
 KEEP_DAYS, SQUASH_DAYS, MATURE_DAYS, REWORK_SHARE = 7, 30, 30, 0.30
+#: Rarest lines of a commit that a container is first tried by.
+FEW = 3
 
 
 def _days(n: int) -> Column:
@@ -37,21 +39,25 @@ def picked(candidates: DataFrame, lines: DataFrame, on_ref: DataFrame) -> DataFr
 def squashed(candidates: DataFrame, lines: DataFrame, commits: DataFrame, on_ref: DataFrame) -> DataFrame:
     """Candidates all of whose added lines one later commit on the ref added as well, within SQUASH_DAYS.
 
-    A container must have the candidate's rarest line, so only the commits that have it are tried: lines that are everywhere
-    join nothing.
+    A container must have the candidate's FEW rarest lines, and be near in time: lines meet by their month as well, so lines that are
+    everywhere join only what is near, and only containers that have all of the few are compared in full.
     """
     plus = lines.where("side = '+'").select("repo", "sha", "path", "line").distinct()
+    times = commits.select("repo", "sha", "ts")
+    month = lambda ts: F.floor(F.unix_seconds(ts) / (SQUASH_DAYS * 86_400))
     own = plus.join(candidates.select("repo", "sha"), ["repo", "sha"], "left_semi")
     up = plus.join(on_ref, ["repo", "sha"], "left_semi")
-    times = commits.select("repo", "sha", "ts")
     often = up.groupBy("repo", "path", "line").agg(F.count("*").alias("n"))
     counted = own.join(often, ["repo", "path", "line"], "left")
-    rare = counted.groupBy("repo", "sha").agg(F.count("*").alias("size"), F.count("n").alias("known"), F.min_by(F.struct("path", "line"), F.struct("n", "path", "line")).alias("l"))
-    rare = rare.where("known = size").select("repo", "sha", "size", "l.*").join(times, ["repo", "sha"])
-    up_times = times.select("repo", F.col("sha").alias("up"), F.col("ts").alias("up_ts"))
+    sizes = counted.groupBy("repo", "sha").agg(F.count("*").alias("size"), F.count("n").alias("known")).where("known = size").join(times, ["repo", "sha"])
+    rarest = Window.partitionBy("repo", "sha").orderBy("n", "path", "line")
+    rare = counted.withColumn("k", F.row_number().over(rarest)).where(F.col("k") <= FEW).join(sizes, ["repo", "sha"]).select("repo", "sha", "path", "line", "size", "ts")
     holding = up.select("repo", F.col("sha").alias("up"), "path", "line")
-    pairs = rare.join(holding, ["repo", "path", "line"]).join(up_times, ["repo", "up"]).where((F.col("up_ts") >= F.col("ts")) & (F.col("up_ts") <= F.col("ts") + _days(SQUASH_DAYS)))
-    shared = pairs.select("repo", "sha", "up", "size").join(own, ["repo", "sha"]).join(holding, ["repo", "up", "path", "line"])
+    timed = holding.join(times.select("repo", F.col("sha").alias("up"), F.col("ts").alias("up_ts")), ["repo", "up"]).withColumn("month", month(F.col("up_ts")))
+    entered = rare.withColumn("month", F.explode(F.array(month(F.col("ts")), month(F.col("ts")) + 1)))
+    tried = entered.join(timed, ["repo", "path", "line", "month"]).where((F.col("up_ts") >= F.col("ts")) & (F.col("up_ts") <= F.col("ts") + _days(SQUASH_DAYS)))
+    pairs = tried.groupBy("repo", "sha", "up", "size").agg(F.count("*").alias("n")).where(F.col("n") == F.least(F.col("size"), F.lit(FEW))).drop("n")
+    shared = pairs.join(own, ["repo", "sha"]).join(holding, ["repo", "up", "path", "line"])
     return shared.groupBy("repo", "sha", "up", "size").agg(F.count("*").alias("n")).where("n = size").select("repo", "sha").distinct()
 
 

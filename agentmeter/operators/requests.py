@@ -62,7 +62,7 @@ def priced(requests: DataFrame, prices: DataFrame) -> DataFrame:
     all writes.
     """
     table = price_for(requests.select("model").distinct(), prices)
-    r = requests.join(F.broadcast(table), "model", "left")
+    r = requests.join(table, "model", "left")
     long_ = F.col("over_tokens").isNotNull() & (ctx_len() > F.col("over_tokens"))
     hour = F.greatest(F.lit(0), F.least(F.col("cache_write_1h"), F.col("cache_write")))
     tokens = {"input": F.col("fresh_in"), "cache_write_5m": F.col("cache_write") - hour, "cache_write_1h": hour, "cache_read": F.col("cache_read"), "output": F.col("output")}

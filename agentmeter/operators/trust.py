@@ -17,7 +17,7 @@ RATIO_TOLERANCE = 0.05
 
 def published(runs: DataFrame, urls: DataFrame, home: str) -> DataFrame:
     """runs with local repo paths replaced by urls (repo, url); a row that would still show home fails the job."""
-    r = runs.join(F.broadcast(urls), "repo", "left").withColumn("repo", F.coalesce("url", "repo")).drop("url")
+    r = runs.join(urls, "repo", "left").withColumn("repo", F.coalesce("url", "repo")).drop("url")
     leak = F.col("repo").contains(home)
     return r.withColumn("repo", F.when(leak, F.raise_error(F.lit("a local path would be published"))).otherwise(F.col("repo")))
 
@@ -113,7 +113,7 @@ def owners(records: DataFrame) -> DataFrame:
 def rerun_key(records: DataFrame, runs: DataFrame) -> DataFrame:
     """records with key: setups, task mode and the set of commits, as text. A record's commits are a few hundred."""
     sets = runs.groupBy("sha256").agg(F.array_sort(F.collect_set("commit")).alias("commits"))
-    return records.join(sets, "sha256").withColumn("key", F.to_json(F.struct("baseline", "challenger", "task_mode", "commits"))).drop("commits")
+    return records.join(sets, "sha256", "left").withColumn("key", F.to_json(F.struct("baseline", "challenger", "task_mode", "commits"))).drop("commits")
 
 
 def reruns(records: DataFrame) -> DataFrame:
@@ -151,7 +151,7 @@ def scoreboard(tiered: DataFrame, vendors: DataFrame) -> DataFrame:
     """
     v = vendors.withColumn("__vendor", F.lit(True))
     usable = tiered.where(F.col("tier").isin("reproduced", "self-reported") & ~F.col("baseline").rlike(PRIVATE_NAME) & ~F.col("challenger").rlike(PRIVATE_NAME))
-    usable = usable.join(F.broadcast(v), ["challenger", "submitter"], "left").where("__vendor IS NULL OR tier = 'reproduced'").drop("__vendor")
+    usable = usable.join(v, ["challenger", "submitter"], "left").where("__vendor IS NULL OR tier = 'reproduced'").drop("__vendor")
     by = ["tier", "baseline", "challenger"]
     kept = at_most(newest(usable, by), by)
     per = kept.groupBy(*by, "submitter").agg(F.sum("n_runs").alias("runs"))

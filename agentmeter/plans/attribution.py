@@ -22,8 +22,8 @@ _BURST = """SELECT *, n < coalesce(max(CASE WHEN gap THEN n END) OVER (PARTITION
 PIECES["exact_in"] = "SELECT * FROM placed WHERE sha IS NOT NULL"
 PIECES["exact_rows"] = _BURST.format(rows="exact_in")
 PIECES["leftover"] = "SELECT request_id, session_id, ts FROM placed WHERE sha IS NULL"
-PIECES["fuzzy_left"] = "SELECT * FROM leftover WHERE session_id % 10 <> 9"
-PIECES["time_left"] = "SELECT * FROM leftover WHERE session_id % 10 = 9"
+PIECES["fuzzy_left"] = "SELECT * FROM leftover WHERE session_id IN (SELECT session_id FROM touched)"
+PIECES["time_left"] = "SELECT * FROM leftover WHERE session_id NOT IN (SELECT session_id FROM touched)"
 PIECES["session_repo"] = "SELECT session_id, repo FROM calls UNION SELECT session_id, session_id % 8 FROM requests UNION SELECT session_id, repo FROM touched"
 PIECES["fuzzy_matches"] = """SELECT session_id, repo, sha, commit_ts, lines / sum(lines) OVER (PARTITION BY session_id) AS weight, CASE WHEN commit_ts <= last_ts + INTERVAL 2 SECOND THEN 'fuzzy' ELSE 'grace' END AS tier FROM (
     SELECT w.session_id, s.repo, c.sha, c.ts AS commit_ts, w.last_ts, greatest(1, f.lines_changed) AS lines
@@ -71,7 +71,8 @@ class World:
         self.exact, self.left = at.exact(self.placed)
         self.repos = at.session_repos(self.requests.select("session_id", (F.col("session_id") % 8).alias("repo")), self.calls, self.touched)
         thin = self.left.select("request_id", "session_id", "ts")
-        self.fuzzy_left, self.time_left = thin.where("session_id % 10 <> 9"), thin.where("session_id % 10 = 9")
+        shown = self.touched.select("session_id").distinct()  # sessions of sources that show files
+        self.fuzzy_left, self.time_left = thin.join(shown, "session_id", "left_semi"), thin.join(shown, "session_id", "left_anti")
         self.matches = at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found).persist(StorageLevel.MEMORY_AND_DISK)
         self.time, self.time_rest = at.time_only(self.time_left, self.repos, self.commits, self.who, self.found)
         rows = self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time)

@@ -17,15 +17,20 @@ PARTS = 4
 
 
 def _folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="agentmeter-")
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="agentmeter-")
     return f"{top.rstrip('/')}/agentmeter-live-{uuid.uuid4().hex}"
 
 
 def final(spark, sf_dir):
-    """The stream of raw rows and commits, in files by time, run to its end."""
+    """The stream of raw rows and commits, in files by time, run to its end. Each commit is seen by a hook, and up to 99 s later in the log."""
     priced = rq.priced(fx.raw_request_rows(spark, sf_dir), dims.prices(spark))
     rows = priced.select("session_id", "ts", F.lit("request").alias("kind"), "request_id", "output", F.coalesce("nano_usd", F.lit(0)).alias("nano_usd"), rq.ctx_len().alias("ctx"), "is_sidechain")
-    commits = fx.commits(spark, sf_dir).select(F.col("author").alias("session_id"), "ts", F.lit("commit").alias("kind"))
+    seen = F.explode(F.array(F.col("ts"), F.timestamp_seconds(F.unix_seconds("ts") + F.col("k")))).alias("ts")
+    commits = fx.commits(spark, sf_dir).select(F.col("author").alias("session_id"), seen, F.lit("commit").alias("kind"))
     both = rows.unionByName(commits, allowMissingColumns=True)
     both = both.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in live.ROWS.split(", ")])
     top = _folder(spark)
@@ -37,7 +42,10 @@ def final(spark, sf_dir):
     return live.run_to_table(live.live_states(live.tail(spark, f"{top}/in")), f"{top}/out", f"{top}/check")
 
 
-PIECES["live_last"] = "SELECT author AS session_id, max(ts) AS commit_ts, count(*) AS n FROM commits GROUP BY author"
+PIECES["sightings"] = "SELECT author AS session_id, ts FROM commits UNION SELECT author, ts + to_seconds(k) FROM commits"
+PIECES["announced"] = """SELECT session_id, min(ts) AS ts FROM sightings GROUP BY session_id
+    UNION ALL SELECT a.session_id, min(s.ts) FROM announced a JOIN sightings s ON s.session_id = a.session_id AND s.ts > a.ts + INTERVAL 120 SECOND GROUP BY a.session_id"""
+PIECES["live_last"] = "SELECT session_id, max(ts) AS commit_ts, count(*) AS n FROM announced GROUP BY session_id"
 PIECES["live_open"] = "SELECT r.*, l.n, l.commit_ts FROM measured r LEFT JOIN live_last l ON l.session_id = r.session_id"
 PIECES["live_state"] = """SELECT s.session_id, CAST(coalesce(sum(nano_usd) FILTER (commit_ts IS NULL OR ts > commit_ts), 0) AS BIGINT) AS task_nano_usd, CAST(count(*) FILTER (commit_ts IS NULL OR ts > commit_ts) AS INTEGER) AS task_requests, CAST(coalesce(max(n), 0) AS INTEGER) AS commits,
     CAST(coalesce(arg_min(fresh_in + cache_write + cache_read, {'t': ts, 'r': request_id}) FILTER (NOT is_sidechain AND fresh_in + cache_write + cache_read > 0), 0) AS BIGINT) AS base_ctx, CAST(coalesce(arg_max(fresh_in + cache_write + cache_read, {'t': ts, 'r': request_id}) FILTER (NOT is_sidechain), 0) AS BIGINT) AS last_ctx,
@@ -55,7 +63,7 @@ def o_x3(spark, sf_dir):
     return live.status(live.latest(final(spark, sf_dir)), F.lit(10_000_000))
 
 
-@query("o_x4_announcements", "SELECT author AS session_id, ts AS commit_ts FROM commits")
+@query("o_x4_announcements", "SELECT session_id, ts AS commit_ts FROM announced")
 def o_x4(spark, sf_dir):
     return live.announcements(final(spark, sf_dir))
 

@@ -26,7 +26,7 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def keep(f: Query) -> Query:
         QUERIES[name] = f
         if sql:
-            ORACLES[name] = f"WITH {pieces(sql)} {sql}" if pieces(sql) else sql
+            ORACLES[name] = f"WITH RECURSIVE {pieces(sql)} {sql}" if pieces(sql) else sql
         return f
 
     return keep

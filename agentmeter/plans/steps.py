@@ -96,7 +96,7 @@ def o_t4(spark, sf_dir):
     return worked.select("repo", "sha", F.row_number().over(order).cast("long").alias("rank")).where("rank <= 3")
 
 
-@query("o_x1_incremental_tail", "SELECT session_id, 'commits' AS kind, count(*) AS n FROM (SELECT author AS session_id FROM commits) GROUP BY session_id")
+@query("o_x1_incremental_tail", "SELECT session_id, 'commits' AS kind, count(*) AS n FROM announced GROUP BY session_id")
 def o_x1(spark, sf_dir):
     """Files read batch by batch: every commit of every session is seen once."""
     table = live_plans.final(spark, sf_dir)

@@ -9,10 +9,10 @@ from agentmeter.operators import trust
 from agentmeter.plans.registry import PIECES, query
 from agentmeter.plans.rollup import rounded
 
-PIECES["sides"] = """SELECT o_orderkey AS n, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, 's' || (o_custkey % 12) AS submitter, 'claude-code' AS baseline, CASE WHEN o_orderkey % 23 = 0 THEN 'custom' ELSE 'claude-code@m' || (o_orderkey % 4) END AS challenger, strftime(o_orderdate, '%G-W%V') AS week,
+PIECES["sides"] = """SELECT o_orderkey AS n, sha256(CAST(o_orderkey AS VARCHAR)) AS sha256, 's' || (o_custkey % 12) AS submitter, 'claude-code' AS baseline, CASE WHEN (o_orderkey - CAST(o_orderkey % 34 = 0 AS INTEGER)) % 23 = 0 THEN 'custom' ELSE 'claude-code@m' || ((o_orderkey - CAST(o_orderkey % 34 = 0 AS INTEGER)) % 4) END AS challenger, strftime(o_orderdate, '%G-W%V') AS week,
     o_orderkey % 5 <> 0 AS public, CASE WHEN o_orderkey % 17 = 0 THEN sha256(CAST(o_orderkey - 1 AS VARCHAR)) END AS rerun_of, 'hint' AS task_mode FROM orders"""
 PIECES["upload_runs"] = """SELECT s.sha256, s.n, l_linenumber AS pos, l_partkey % 50 AS commit, CASE WHEN l_returnflag = 'N' THEN s.baseline ELSE s.challenger END AS setup, l_returnflag = 'N' AS is_base, l_linestatus = 'F' AS passed, CAST(round(l_extendedprice * 100) AS BIGINT) AS cents, CAST(l_quantity * 100 AS BIGINT) AS tokens
-    FROM lineitem JOIN sides s ON s.n = l_orderkey"""
+    FROM (SELECT * FROM lineitem WHERE l_orderkey % 34 <> 0 UNION ALL SELECT * REPLACE (l_orderkey + 1 AS l_orderkey, CASE WHEN l_orderkey % 68 = 33 AND l_returnflag <> 'N' THEN l_extendedprice * 3 ELSE l_extendedprice END AS l_extendedprice) FROM lineitem WHERE l_orderkey % 34 = 33) JOIN sides s ON s.n = l_orderkey"""
 PIECES["uploads"] = """SELECT s.*, substr(md5('r' || coalesce(r.repo, 0)), 1, 24) AS repo_id, coalesce(r.n_runs, 0) AS n_runs, c_per / b_per AS cost_ratio, coalesce(c_rate, 0) - coalesce(b_rate, 0) AS solve_diff, b_per, c_per, b_rate, c_rate, coalesce(c_solved, 0) AS c_solved,
     CASE WHEN c_per / b_per <= 0.9 THEN 'SUPPORTED' WHEN c_per / b_per >= 1.1 THEN 'NOT SUPPORTED' ELSE 'NOT PROVEN' END AS answer FROM sides s LEFT JOIN (
     SELECT n, count(*) AS n_runs, min(commit) AS repo, CASE WHEN count(*) FILTER (is_base AND passed) > 0 THEN sum(cents) FILTER (is_base) / count(*) FILTER (is_base AND passed) END AS b_per, CASE WHEN count(*) FILTER (NOT is_base AND passed) > 0 THEN sum(cents) FILTER (NOT is_base) / count(*) FILTER (NOT is_base AND passed) END AS c_per,
@@ -23,12 +23,13 @@ PIECES["uploads"] = """SELECT s.*, substr(md5('r' || coalesce(r.repo, 0)), 1, 24
 def sides(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
+    of = k - (k % 34 == 0).cast("int")  # every 34th order runs again what the one before it ran
     from agentmeter.operators.rollup import iso_week
 
     sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
     return o.select(
         k.alias("n"), sha(k).alias("sha256"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("submitter"), F.lit("claude-code").alias("baseline"),
-        F.when(k % 23 == 0, "custom").otherwise(F.concat(F.lit("claude-code@m"), (k % 4).cast("string"))).alias("challenger"), iso_week(F.col("o_orderdate").cast("timestamp")).alias("week"), (k % 5 != 0).alias("public"),
+        F.when(of % 23 == 0, "custom").otherwise(F.concat(F.lit("claude-code@m"), (of % 4).cast("string"))).alias("challenger"), iso_week(F.col("o_orderdate").cast("timestamp")).alias("week"), (k % 5 != 0).alias("public"),
         F.when(k % 17 == 0, sha(k - 1)).alias("rerun_of"), F.lit("hint").alias("task_mode"),
     )
 
@@ -36,6 +37,8 @@ def sides(spark, sf_dir):
 def upload_runs(spark, sf_dir):
     base = F.col("l_returnflag") == "N"
     line = fx.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "n")
+    dearer = F.when((F.col("n") % 68 == 33) & ~base, F.col("l_extendedprice") * 3).otherwise(F.col("l_extendedprice"))
+    line = line.where("n % 34 <> 0").unionByName(line.where("n % 34 = 33").withColumns({"l_extendedprice": dearer, "n": F.col("n") + 1}))
     return line.join(sides(spark, sf_dir).select("n", "sha256", "baseline", "challenger"), "n").select(
         "sha256", "n", F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 50).alias("commit"), F.when(base, F.col("baseline")).otherwise(F.col("challenger")).alias("setup"), base.alias("is_base"), (F.col("l_linestatus") == "F").alias("passed"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") * 100).cast("long").alias("tokens"),
@@ -107,27 +110,30 @@ def o_q7(spark, sf_dir):
 
 
 PIECES["upload_keys"] = "SELECT u.*, array_to_string(list_sort(commits), ',') AS key FROM uploads u JOIN (SELECT n, list(DISTINCT commit) AS commits FROM upload_runs GROUP BY n) c ON c.n = u.n"
-# Order numbers below 17 apart rarely share commits, so here a rerun's key is the claim and mode alone.
-PIECES["rerun_pairs"] = "SELECT a.rerun_of AS target, a.sha256, a.answer FROM uploads a JOIN uploads t ON t.sha256 = a.rerun_of WHERE a.public AND t.public AND a.submitter <> t.submitter"
+PIECES["rerun_pairs"] = """SELECT a.rerun_of AS target, a.sha256, a.answer FROM uploads a JOIN uploads t ON t.sha256 = a.rerun_of AND t.baseline = a.baseline AND t.challenger = a.challenger AND t.task_mode = a.task_mode
+    LEFT JOIN upload_keys x ON x.n = a.n LEFT JOIN upload_keys y ON y.n = t.n WHERE a.public AND t.public AND a.submitter <> t.submitter AND x.key IS NOT DISTINCT FROM y.key"""
+
+
+def keyed(spark, sf_dir):
+    return trust.rerun_key(uploads(spark, sf_dir), upload_runs(spark, sf_dir))
 
 
 @query("o_j19_reruns", "SELECT target, sha256, answer FROM rerun_pairs")
 def o_j19(spark, sf_dir):
-    return trust.reruns(uploads(spark, sf_dir).withColumn("key", F.col("task_mode")))
+    return trust.reruns(keyed(spark, sf_dir))
 
 
 @query("o_j19_rerun_keys", "SELECT sha256, md5(key) AS key FROM upload_keys")
 def o_j19k(spark, sf_dir):
-    keyed = trust.rerun_key(uploads(spark, sf_dir), upload_runs(spark, sf_dir))
     commits = F.array_join(F.from_json(F.get_json_object("key", "$.commits"), "array<bigint>"), ",")
-    return keyed.select("sha256", F.md5(commits).alias("key"))
+    return keyed(spark, sf_dir).where(commits.isNotNull()).select("sha256", F.md5(commits).alias("key"))
 
 
 PIECES["tiered"] = "SELECT u.*, CASE WHEN rerun_of IS NOT NULL THEN 'rerun' WHEN against THEN 'disputed' WHEN against IS NOT NULL THEN 'reproduced' ELSE 'self-reported' END AS tier FROM uploads u LEFT JOIN (SELECT target, bool_or(p.answer <> t.answer) AS against FROM rerun_pairs p JOIN uploads t ON t.sha256 = p.target GROUP BY target) x ON x.target = u.sha256"
 
 
 def tiered(spark, sf_dir):
-    return trust.tiers(uploads(spark, sf_dir).withColumn("key", F.col("task_mode")))
+    return trust.tiers(keyed(spark, sf_dir))
 
 
 @query("o_a28_trust_tiers", "SELECT sha256, tier FROM tiered")

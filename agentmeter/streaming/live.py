@@ -15,7 +15,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from agentmeter.operators.rollup import ledger_upsert, typical
 
 # Microseconds between two sights of one commit, times the usual cost at which a task turns amber and red, and the least carried share shown.
-GUARD_US, AMBER, RED, SHOWN_SHARE = 5_000_000, 1.5, 3.0, 0.05
+GUARD_US, AMBER, RED, SHOWN_SHARE = 120_000_000, 1.5, 3.0, 0.05
 LATE, IDLE = "2 hours", "2 hours"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 

@@ -248,7 +248,7 @@ def test_patch_log_runs_and_uploads(spark, tmp_path):
 
 def test_two_observers_announce_a_commit_once_and_late_copies_replace(spark, tmp_path):
     row = lambda at, kind, rid=None, out=0: (1, ts(at), kind, rid, out, out * 10, 100 + at, False)
-    parts = [[row(0, "request", 1, 5), row(10, "commit"), row(12, "commit")], [row(20, "request", 2, 3)], [row(20, "request", 2, 8), row(40, "commit")]]
+    parts = [[row(0, "request", 1, 5), row(10, "commit"), row(112, "commit")], [row(20, "request", 2, 3)], [row(20, "request", 2, 8), row(140, "commit")]]
     for i, part in enumerate(parts):
         spark.createDataFrame(part, live.ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     table = live.run_to_table(live.live_states(live.tail(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))

@@ -86,6 +86,52 @@ def validated(uploads: DataFrame, runs: DataFrame) -> DataFrame:
     return head.join(per, "sha256", "left").select("sha256", F.array_union("head", F.coalesce(of_runs, F.array(F.lit("no runs")))).alias("problems"))
 
 
+def integrity(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded: DataFrame) -> DataFrame:
+    """(sha256, problems, missing, redone, excluded): what can't be right in a record's runs, as 'rule: times', and honest gaps as counts.
+
+    records: sha256, baseline, challenger. runs: sha256, commit, setup, repeat, outcome, passed, cost_usd, agent and requests, an array of arrays of
+    four counts. attempts: sha256 of attempts that were made again; excluded: sha256 of commits left out. missing: planned runs (each commit,
+    side and repeat that the record has) that aren't there.
+    """
+    c, names = F.col, [F.col("baseline"), F.col("challenger")]
+    rules = {
+        "unknown outcome": c("outcome").isin(*OUTCOMES),
+        "passed doesn't match outcome": c("passed") == (c("outcome") == "passed"),
+        "setup of neither side": c("setup").isin(*names),
+        "bad cost": c("cost_usd") >= 0,
+        "bad tokens": F.forall("requests", lambda r: (F.size(r) == 4) & F.forall(r, lambda t: t >= 0)),
+        "solved without tokens": (c("agent") != "claude") | ~c("passed") | (F.size("requests") > 0),
+        "duplicate run": c("copy") == 1,
+    }
+    copy = F.row_number().over(Window.partitionBy("sha256", "commit", "setup", "repeat").orderBy("outcome"))
+    joined = runs.join(records.select("sha256", *names), "sha256").withColumn("copy", copy).withColumn("broken", problems(rules))
+    times = joined.select("sha256", F.explode("broken").alias("rule")).groupBy("sha256", "rule").agg(F.count("*").alias("n"))
+    listed = times.groupBy("sha256").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "rule", "n"))).alias("problems"))  # one a rule at most
+    planned = F.count_distinct("commit") * 2 * F.count_distinct("repeat")
+    there = joined.groupBy("sha256").agg((planned - F.count_if((c("copy") == 1) & c("setup").isin(*names))).alias("missing"))
+    counted = lambda df, name: df.groupBy("sha256").agg(F.count("*").alias(name))
+    out = records.select("sha256")
+    for part in (listed, there, counted(attempts, "redone"), counted(excluded, "excluded")):
+        out = out.join(part, "sha256", "left")
+    return out.fillna(0, ["missing", "redone", "excluded"]).withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
+
+
+def record(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded: DataFrame, salt: str) -> DataFrame:
+    """records (sha256, public, ...) with runs, superseded_attempts and excluded_commits as arrays, as they may be published.
+
+    Private fields of runs (run_id, note, repo) are dropped, and commits of private records are hashed with the salt, which stays with the submitter.
+    Attempts that were made again and commits left out stay visible. A record's runs are a few hundred. Records without any have empty arrays.
+    """
+    shown = F.when(F.col("public"), F.col("commit").cast("string")).otherwise(F.substring(F.sha2(F.concat(F.lit(salt), F.col("commit").cast("string")).cast("binary"), 256), 1, 16))
+    out = records
+    for rows, name in ((runs, "runs"), (attempts, "superseded_attempts"), (excluded, "excluded_commits")):
+        fields = [x for x in rows.columns if x not in ("sha256", "commit", "run_id", "note", "repo")]
+        hidden = rows.join(records.select("sha256", "public"), "sha256").select("sha256", F.struct(shown.alias("commit"), *fields).alias("r"))
+        listed = hidden.groupBy("sha256").agg(F.sort_array(F.collect_list("r")).alias(name))
+        out = out.join(listed, "sha256", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
+    return out
+
+
 def rechecked(claims: DataFrame) -> DataFrame:
     """(sha256, problems): where an upload's answer and ratio don't follow from its runs, give or take rounding.
 

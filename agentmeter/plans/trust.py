@@ -90,11 +90,30 @@ def o_q2(spark, sf_dir):
     return trust.rechecked(claims).select("sha256", F.array_join("problems", ";").alias("problems"))
 
 
-@query("o_q3_record_integrity", "SELECT sha256, count(*) <> count(DISTINCT (commit, setup, pos % 2)) AS has_duplicates, count(DISTINCT setup) < 2 AS one_sided FROM upload_runs GROUP BY sha256")
+# A record's runs with what can be wrong in them, attempts that were made again, and commits left out.
+PIECES["record_runs"] = """SELECT sha256, commit, CASE WHEN cents % 13 = 5 THEN 'other' ELSE setup END AS setup, pos % 2 AS repeat, CASE WHEN cents % 10 = 3 THEN 'lost' WHEN passed THEN 'passed' ELSE 'tests_failed' END AS outcome, passed,
+    CASE WHEN tokens % 900 = 0 THEN -1.0 ELSE 1.0 END AS cost_usd, cents % 7 = 0 AS bare, cents FROM upload_runs"""
+PIECES["record_checks"] = """SELECT sha256, count(*) FILTER (outcome = 'lost') AS lost, count(*) FILTER (passed <> (outcome = 'passed')) AS unlike, count(*) FILTER (setup = 'other') AS neither, count(*) FILTER (cost_usd < 0) AS cost,
+    count(*) FILTER (passed AND bare) AS bare, count(*) - count(DISTINCT (commit, setup, repeat)) AS twice, count(DISTINCT commit) * 2 * count(DISTINCT repeat) - count(DISTINCT (commit, setup, repeat)) FILTER (setup <> 'other') AS missing,
+    count(*) FILTER (cents % 11 = 0) AS redone, count(DISTINCT commit) FILTER (commit % 17 = 0) AS excluded FROM record_runs GROUP BY sha256"""
+
+
+def record_parts(spark, sf_dir):
+    """(runs, attempts made again, commits left out) of the uploads' records."""
+    cents = F.col("cents")
+    outcome = F.when(cents % 10 == 3, "lost").when(F.col("passed"), "passed").otherwise("tests_failed")
+    setup = F.when(cents % 13 == 5, "other").otherwise(F.col("setup"))
+    requests = F.when(cents % 7 == 0, F.array().cast("array<array<bigint>>")).otherwise(F.array(F.array_repeat(F.col("tokens"), 4)))
+    r = upload_runs(spark, sf_dir).select("sha256", "commit", setup.alias("setup"), (F.col("pos") % 2).alias("repeat"), outcome.alias("outcome"), "passed", F.when(F.col("tokens") % 900 == 0, -1.0).otherwise(1.0).alias("cost_usd"), requests.alias("requests"), F.lit("claude").alias("agent"), "cents")
+    return r.drop("cents"), r.where("cents % 11 = 0").select("sha256", "commit", "setup", "repeat", "outcome"), r.where("commit % 17 = 0").select("sha256", "commit").distinct()
+
+
+@query("o_q3_record_integrity", """SELECT s.sha256, coalesce(array_to_string(list_sort(list_filter([CASE WHEN lost > 0 THEN 'unknown outcome: ' || lost END, CASE WHEN unlike > 0 THEN 'passed doesn''t match outcome: ' || unlike END, CASE WHEN neither > 0 THEN 'setup of neither side: ' || neither END,
+    CASE WHEN cost > 0 THEN 'bad cost: ' || cost END, CASE WHEN bare > 0 THEN 'solved without tokens: ' || bare END, CASE WHEN twice > 0 THEN 'duplicate run: ' || twice END], lambda x: x IS NOT NULL)), ';'), '') AS problems,
+    coalesce(missing, 0) AS missing, coalesce(redone, 0) AS redone, coalesce(excluded, 0) AS excluded FROM sides s LEFT JOIN record_checks c ON c.sha256 = s.sha256""")
 def o_q3(spark, sf_dir):
-    r = upload_runs(spark, sf_dir).withColumn("repeat", F.col("pos") % 2)
-    once = r.groupBy("sha256", "commit", "setup", "repeat").agg(F.count("*").alias("n"))
-    return once.groupBy("sha256").agg((F.max("n") > 1).alias("has_duplicates"), (F.count_distinct("setup") < 2).alias("one_sided"))
+    found = trust.integrity(sides(spark, sf_dir), *record_parts(spark, sf_dir))
+    return found.withColumn("problems", F.array_join("problems", ";"))
 
 
 @query("o_q6_upload_view", """SELECT sha256, pos, dense_rank() OVER (PARTITION BY sha256 ORDER BY first_pos) - 1 AS commit_no, CASE WHEN setup = 'custom' THEN 'custom' ELSE setup END AS setup, CAST(round_even(tokens / pow(10, floor(log10(tokens)) - 1), 0) * pow(10, floor(log10(tokens)) - 1) AS BIGINT) AS tokens,
@@ -168,8 +187,17 @@ def o_a31(spark, sf_dir):
     return trust.evidence(u, u)
 
 
-@query("o_q5_record_builder", "SELECT sha256, count(*) AS runs, count(DISTINCT sha256(chr(115) || commit)) AS hashed_commits FROM upload_runs GROUP BY sha256")
+_HIDE = "CASE WHEN public THEN CAST(commit AS VARCHAR) ELSE substr(sha256('salt' || commit), 1, 16) END"
+PIECES["hidden_runs"] = f"SELECT s.sha256, r.*, {_HIDE} AS shown FROM sides s JOIN (SELECT sha256 AS h, * EXCLUDE (sha256) FROM record_runs) r ON r.h = s.sha256"
+
+
+@query("o_q5_record_builder", """SELECT s.sha256, s.public, coalesce(runs, 0) AS runs, md5(coalesce(text, '')) AS digest, coalesce(redone, 0) AS superseded, coalesce(gone, '') AS excluded FROM sides s LEFT JOIN (
+    SELECT sha256, count(*) AS runs, string_agg(concat_ws(':', shown, setup, repeat, outcome), ',' ORDER BY concat_ws(':', shown, setup, repeat, outcome)) AS text, count(*) FILTER (cents % 11 = 0) AS redone,
+    array_to_string(list_sort(list(DISTINCT shown) FILTER (commit % 17 = 0)), ',') AS gone FROM hidden_runs GROUP BY sha256) r ON r.sha256 = s.sha256""")
 def o_q5(spark, sf_dir):
-    """Records with hashed commits: the salt stays with the submitter."""
-    r = upload_runs(spark, sf_dir).withColumn("hashed", F.sha2(F.concat(F.lit("s"), F.col("commit").cast("string")).cast("binary"), 256)).drop("commit")
-    return r.groupBy("sha256").agg(F.count("*").alias("runs"), F.count_distinct("hashed").alias("hashed_commits"))
+    built = trust.record(sides(spark, sf_dir).select("sha256", "public"), *record_parts(spark, sf_dir), "salt")
+    run = F.transform("runs", lambda r: F.concat_ws(":", r["commit"], r["setup"], r["repeat"].cast("string"), r["outcome"]))
+    gone = F.array_join(F.array_sort(F.transform("excluded_commits", lambda r: r["commit"])), ",")
+    return built.select("sha256", "public", F.size("runs").cast("long").alias("runs"), F.md5(F.array_join(F.array_sort(run), ",")).alias("digest"), F.size("superseded_attempts").cast("long").alias("superseded"), gone.alias("excluded"))
+
+

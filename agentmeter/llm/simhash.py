@@ -181,7 +181,7 @@ def keep_one(docs: DataFrame, width: int = neardup.WIDTH, similarity: float = ne
     """docs with one row of each class of near copies by word shingles, the one of the smallest id, in the columns of docs.
 
     Near copies are texts that share the given part of their shingles, which is exact in neardup. Fingerprints can't find them: at a similarity of
-    0.8 two fingerprints differ in about 10 of 64 bits, and a grid for such distances would enter each at most of its cells.
+    0.8 two fingerprints differ in about 10 of 64 bits, and a grid for such distances would enter each in millions of cells.
     Nulls, repeated rows and the like: see neardup.keep_one.
     """
     return neardup.keep_one(docs, width, similarity)

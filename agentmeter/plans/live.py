@@ -13,7 +13,7 @@ from agentmeter.operators import requests as rq
 from agentmeter.plans.registry import PIECES, query
 from agentmeter.streaming import live
 
-PARTS = 4
+PARTS = 3
 
 
 def _folder(spark) -> str:
@@ -36,10 +36,11 @@ def final(spark, sf_dir):
     top = _folder(spark)
     stamp = F.unix_micros("ts")
     first, last = both.agg(F.min(stamp), F.max(stamp)).first()
-    for i in range(PARTS):  # the order of files is that of time
+    for i in range(PARTS):  # the log grows, and the stream goes on from its checkpoint each time
         lo, hi = first + (last - first) * i // PARTS, first + (last - first) * (i + 1) // PARTS
-        both.where((stamp >= lo) & ((stamp < hi) if i < PARTS - 1 else F.lit(True))).coalesce(1).write.mode("append").parquet(f"{top}/in")
-    return live.run_to_table(live.live_states(live.tail(spark, f"{top}/in")), f"{top}/out", f"{top}/check")
+        both.where((stamp >= lo) & ((stamp < hi) if i < PARTS - 1 else F.lit(True))).write.mode("append").parquet(f"{top}/in")
+        table = live.run_to_table(live.live_states(live.tail(spark, f"{top}/in")), f"{top}/out", f"{top}/check")
+    return table
 
 
 PIECES["sightings"] = "SELECT author AS session_id, ts FROM commits UNION SELECT author, ts + to_seconds(k) FROM commits"

@@ -110,16 +110,17 @@ def o_x5(spark, sf_dir):
 
 @query("o_x6_ledger_stream", "SELECT repo, sha, CASE WHEN sha % 3 = 0 THEN k ELSE k + 1 END AS requests FROM commits")
 def o_x6(spark, sf_dir):
-    """Receipts in two batches through the ledger sink: the second has one more request, but for a third of them fewer."""
+    """A stream of receipts into the ledger, stopped and started again: the second time each has one more request, but a third of them one fewer."""
     from agentmeter.plans.live import _folder
 
     c = fx.commits(spark, sf_dir)
-    batch = lambda n: c.select("repo", "sha", n.alias("requests"), (n + 1).alias("seen_requests"), F.lit(0.5).alias("usd"), F.lit(1).alias("first_seen"))
+    receipts = lambda n: c.select("repo", "sha", n.alias("requests"), (n + 1).alias("seen_requests"), F.lit(0.5).alias("usd"), F.lit(1).alias("first_seen"))
     top = _folder(spark)
-    put = live.upsert_ledger(top)
-    put(batch(F.col("k")), 0)
-    put(batch(F.when(F.col("sha") % 3 == 0, F.col("k") - 1).otherwise(F.col("k") + 1)), 1)
-    return spark.read.parquet(f"{top}/v=1").select("repo", "sha", "requests")
+    for n in (F.col("k"), F.when(F.col("sha") % 3 == 0, F.col("k") - 1).otherwise(F.col("k") + 1)):
+        rows = receipts(n)
+        rows.write.mode("append").parquet(f"{top}/in")
+        ledger = live.run_ledger(spark.readStream.schema(rows.schema).parquet(f"{top}/in"), f"{top}/ledger", f"{top}/check")
+    return ledger.select("repo", "sha", "requests")
 
 
 @query("o_x7_late_rows", "SELECT session_id, count(*) FILTER (late) AS late, count(*) AS n FROM (SELECT session_id, coalesce(ts < max(ts) OVER (PARTITION BY session_id ORDER BY came ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 120 MINUTE, false) AS late FROM (SELECT *, request_id * 7919 % 10007 * 1000000 + request_id AS came FROM requests)) GROUP BY session_id")

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from agentmeter.operators.rollup import ledger_upsert, typical
@@ -17,6 +18,8 @@ from agentmeter.operators.rollup import ledger_upsert, typical
 # Microseconds between two sights of one commit, times the usual cost at which a task turns amber and red, and the least carried share shown.
 GUARD_US, AMBER, RED, SHOWN_SHARE = 120_000_000, 1.5, 3.0, 0.05
 LATE, IDLE = "2 hours", "2 hours"
+#: Parts of the streamed ledger.
+LEDGER_PARTS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ROWS = "session_id long, ts timestamp, kind string, request_id long, output long, nano_usd long, ctx long, is_sidechain boolean"
@@ -108,24 +111,57 @@ def spend(requests: DataFrame, width: str, slide: str | None = None) -> DataFram
     return requests.groupBy(w.alias("w")).agg(F.sum("nano_usd").alias("nano_usd"), F.count("*").alias("requests")).select(F.col("w.start").alias("start_ts"), "nano_usd", "requests")
 
 
-def tail(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """The stream of ROWS in path's Parquet files, some files a batch; rows later than LATE are beyond the watermark."""
-    return spark.readStream.schema(ROWS).option("maxFilesPerTrigger", files).parquet(path).withWatermark("ts", LATE)
+def tail(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
+    """The stream of ROWS in path's Parquet files, all that are there a batch or so many; rows later than LATE are beyond the watermark.
+
+    A stream that is started again on its checkpoint goes on with the files it hasn't read. A file is read once, when it is there as a whole.
+    """
+    reader = spark.readStream.schema(ROWS)
+    return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path).withWatermark("ts", LATE)
+
+
+def _latest_parts(ledger: DataFrame, before: int | None = None) -> DataFrame:
+    """The rows of each part's newest version (before a batch), without part and version. Parts are LEDGER_PARTS at most."""
+    seen = ledger if before is None else ledger.where(F.col("v") < before)
+    newest = seen.groupBy("part").agg(F.max("v").alias("v"))
+    return seen.join(F.broadcast(newest), ["part", "v"]).drop("part", "v")
 
 
 def upsert_ledger(path: str):
-    """A foreachBatch sink: the ledger under path gets each batch's receipts, one version a batch. Each version is written anew."""
+    """A foreachBatch sink: the ledger under path gets each batch's receipts.
+
+    The ledger is kept in parts by the hash of (repo, sha), and a batch writes a new version of the parts that it touches, from what stood there
+    before it. A batch that runs again writes the same versions again.
+    """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        last = f"{path}/v={number - 1}"
         fields = [c for c in batch.columns if c != "first_seen"] + ["first_seen"]
-        old = spark.read.parquet(last) if number else batch.limit(0)
-        ledger_upsert(old.select(*fields), batch.select(*fields)).drop("changed").write.mode("overwrite").parquet(f"{path}/v={number}")
+        part = F.pmod(F.xxhash64("repo", "sha"), F.lit(LEDGER_PARTS)).cast("int")
+        new, old = batch.select(*fields).persist(), batch.select(*fields).limit(0)
+        if number:
+            touched = [r.part for r in new.select(part.alias("part")).distinct().collect()]  # LEDGER_PARTS at most
+            schema = T.StructType([*new.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("v", T.LongType())])
+            old = _latest_parts(spark.read.schema(schema).parquet(path).where(F.col("part").isin(touched)), number)
+        merged = ledger_upsert(old.select(*fields), new).drop("changed").withColumns({"part": part, "v": F.lit(number).cast("long")})
+        merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(path)
+        new.unpersist()
 
     return put
 
 
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """The ledger that upsert_ledger keeps under path."""
+    return _latest_parts(spark.read.parquet(path))
+
+
+def run_ledger(receipts: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Runs a stream of receipts (repo, sha, requests, seen_requests, usd, first_seen) over what there is into the ledger under path."""
+    query = receipts.writeStream.foreachBatch(upsert_ledger(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return read_ledger(receipts.sparkSession, path)
+
+
 def late_rows(rows: DataFrame, minutes: int = 120) -> DataFrame:
     """rows with late: whether a session's clock had passed a row by minutes when it came. rows: with came, the order of arrival."""
     before = Window.partitionBy("session_id").orderBy("came").rowsBetween(Window.unboundedPreceding, -1)

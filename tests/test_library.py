@@ -251,7 +251,7 @@ def test_two_observers_announce_a_commit_once_and_late_copies_replace(spark, tmp
     parts = [[row(0, "request", 1, 5), row(10, "commit"), row(112, "commit")], [row(20, "request", 2, 3)], [row(20, "request", 2, 8), row(140, "commit")]]
     for i, part in enumerate(parts):
         spark.createDataFrame(part, live.ROWS).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-    table = live.run_to_table(live.live_states(live.tail(spark, str(tmp_path / "in"))), str(tmp_path / "out"), str(tmp_path / "check"))
+    table = live.run_to_table(live.live_states(live.tail(spark, str(tmp_path / "in"), 1)), str(tmp_path / "out"), str(tmp_path / "check"))
     assert live.announcements(table).count() == 2 and live.latest(table).first().commits == 2
     assert max(r.task_nano_usd for r in table.collect()) == 30 and live.latest(table).first().task_requests == 0
 
@@ -261,7 +261,10 @@ def test_streamed_ledger_keeps_the_fuller_record(spark, tmp_path):
     rows = lambda *r: spark.createDataFrame(r, "repo string, sha string, requests long, seen_requests long, usd double, first_seen long")
     put(rows(("r", "a", 5, 5, 1.0, 1), ("r", "b", 0, 0, 0.0, 1)), 0)
     put(rows(("r", "a", 3, 3, 0.5, 2), ("r", "c", 1, 1, 0.1, 2)), 1)
-    got = {r.sha: (r.usd, r.first_seen) for r in spark.read.parquet(str(tmp_path / "v=1")).collect()}
+    put(rows(("r", "c", 1, 1, 0.1, 2)), 1)  # a batch that runs again, in part
+    put(rows(("r", "a", 3, 3, 0.5, 2), ("r", "c", 1, 1, 0.1, 2)), 1)
+    put(rows(("r", "c", 0, 0, 9.9, 3)), 2)
+    got = {r.sha: (r.usd, r.first_seen) for r in live.read_ledger(spark, str(tmp_path)).collect()}
     assert got == {"a": (1.0, 1), "c": (0.1, 2)}
 
 

@@ -83,7 +83,9 @@ class World:
         return at.receipt(self.rows, measured(self.spark, self.sf_dir), self.named)
 
 
-_R = "round({0}, 9) AS {0}"
+# Sums end in different last bits from run to run; the nudge keeps what lies halfway between two rounded values from falling on either side.
+_NUDGE = 1e-12
+_R = f"round({{0}} + {_NUDGE}, 9) AS {{0}}"
 _MONEY = ("wh_low", "wh_high", "lead_up_wh_low", "lead_up_wh_high", "usd", "lead_up_usd")
 
 
@@ -144,7 +146,7 @@ def o_j9(spark, sf_dir):
 @query("o_a3_commit_receipt", f"SELECT repo, sha, tier, {', '.join(_R.format(c) for c in _MONEY)}, requests, seen FROM receipts")
 def o_a3(spark, sf_dir):
     r = World(spark, sf_dir).receipt()
-    return r.select("repo", "sha", "tier", *[F.round(c, 9).alias(c) for c in _MONEY], "requests", "seen")
+    return r.select("repo", "sha", "tier", *[F.round(F.col(c) + _NUDGE, 9).alias(c) for c in _MONEY], "requests", "seen")
 
 
 @query("o_w5_base_context", "SELECT session_id, min(ctx) AS base FROM (SELECT session_id, fresh_in + cache_write + cache_read AS ctx, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS n FROM requests WHERE NOT is_sidechain) WHERE n <= 3 GROUP BY session_id")

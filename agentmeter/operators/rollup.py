@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from agentmeter.functions.dims import EMBODIED_G_PER_KWH, GRID_G_PER_KWH
 
 KEPT = ("kept", "kept (squash)")
+#: What a typical commit is told by.
+MEDIANS = ("wh_low", "wh_high", "usd")
+FEW = 1 << 16
 
 
 def top(df: DataFrame, kind: str, n: int, by: Column) -> DataFrame:
@@ -18,12 +21,26 @@ def top(df: DataFrame, kind: str, n: int, by: Column) -> DataFrame:
 
 
 def typical(receipts: DataFrame, least: int = 5) -> DataFrame:
-    """One row of exact medians: over kept commits if there are at least so many, else over all with work."""
-    worked = receipts.where("seen > 0")
-    kept = F.col("status").isin(*KEPT)
-    n = worked.agg(F.count_if(kept).alias("n_kept"))
-    pool = worked.crossJoin(F.broadcast(n)).where((F.col("n_kept") < least) | kept)
-    return pool.agg(F.median("wh_low").alias("wh_low"), F.median("wh_high").alias("wh_high"), F.median("usd").alias("usd"), F.count("*").alias("commits"))
+    """One row of exact medians: over kept commits if there are at least so many, else over all with work.
+
+    Of more than FEW commits, approximate quantiles come first, ten times as far from the middle as they can be wrong; values beyond them
+    count as the nearer one, so the values that are put in order are the different ones next to the middle, one in 500 of all.
+    """
+    worked = receipts.where("seen > 0").withColumn("kept", F.col("status").isin(*KEPT))
+    ends = lambda c, where: F.percentile_approx(F.when(where, F.col(c)), [0.499, 0.501], 10_000)
+    sides = worked.agg(F.count("*").alias("n_all"), F.count_if("kept").alias("n_kept"), *[ends(c, where).alias(f"{c}_{name}") for c in MEDIANS for name, where in (("kept", F.col("kept")), ("all", F.lit(True)))])
+    enough = F.col("n_kept") >= least
+    chosen = sides.select(enough.alias("enough"), F.when(enough, F.col("n_kept")).otherwise(F.col("n_all")).alias("commits"), *[F.when(enough, F.col(f"{c}_kept")).otherwise(F.col(f"{c}_all")).alias(f"{c}_ends") for c in MEDIANS])
+    pool = worked.crossJoin(F.broadcast(chosen)).where(~F.col("enough") | F.col("kept"))  # chosen is one row
+    clamped = lambda c: F.greatest(F.least(F.col(c), F.col(f"{c}_ends")[1]), F.col(f"{c}_ends")[0])
+    near = lambda c: F.when(F.col("commits") <= FEW, F.col(c)).when(F.col(c).isNotNull(), clamped(c))
+    values = pool.select("commits", F.explode(F.array(*[F.struct(F.lit(c).alias("name"), near(c).alias("value")) for c in MEDIANS])).alias("v")).select("commits", "v.*")
+    counts = values.groupBy("commits", "name", "value").agg(F.count("value").alias("n"))
+    every = Window.partitionBy("name")
+    placed = counts.withColumn("upto", F.sum("n").over(every.orderBy("value"))).withColumn("total", F.sum("n").over(every))
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("value")))
+    middle = placed.groupBy("commits", "name").agg(((at(F.ceil(F.col("total") / 2)) + at(F.floor(F.col("total") / 2) + 1)) / 2).alias("median"))
+    return middle.agg(*[F.max(F.when(F.col("name") == c, F.col("median"))).alias(c) for c in MEDIANS], F.coalesce(F.max("commits"), F.lit(0).cast("long")).alias("commits"))
 
 
 def discarded_share(receipts: DataFrame) -> DataFrame:
@@ -89,18 +106,25 @@ def merged_weeks(noted: DataFrame, min_group: int) -> DataFrame:
     """Consecutive weeks of a repo merged until min_group people are in each row; a short tail joins the row before it.
 
     A fold over a repo's weeks, a few hundred at most, numbers the row each belongs to; weeks after the last full row take its number.
+    A week of min_group people is full by itself, so only smaller weeks bring their people along.
     """
-    weeks = noted.groupBy("repo", iso_week(F.col("ts")).alias("week")).agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"), F.collect_set("author").alias("who"))
+    dated = noted.select("repo", iso_week(F.col("ts")).alias("week"), "cents", "author")
+    people = dated.where("author IS NOT NULL").select("repo", "week", "author").distinct()
+    sizes = people.groupBy("repo", "week").agg(F.count("*").alias("n"))
+    few = people.join(sizes.where(F.col("n") < min_group), ["repo", "week"], "left_semi").groupBy("repo", "week").agg(F.collect_set("author").alias("who"))
+    nobody = F.array().cast(few.schema["who"].dataType)
+    totals = dated.groupBy("repo", "week").agg(F.sum("cents").alias("cents"), F.count("*").alias("commits"))
+    weeks = totals.join(sizes, ["repo", "week"], "left").join(few, ["repo", "week"], "left").select("repo", "week", "cents", "commits", F.coalesce(F.col("n") >= min_group, F.lit(False)).alias("alone"), F.coalesce("who", nobody).alias("who"))
     who = weeks.schema["who"].dataType.simpleString()
     nothing = F.struct(F.lit(0).alias("row"), F.lit(True).alias("full"), F.array().cast(who).alias("who"), F.array().cast("array<struct<week:string,cents:bigint,commits:bigint,row:int,full:boolean>>").alias("marks"))
 
     def step(state: Column, week: Column) -> Column:
         people = F.when(state["full"], week["who"]).otherwise(F.array_union(state["who"], week["who"]))
-        row, full = state["row"] + state["full"].cast("int"), F.size(people) >= min_group
+        row, full = state["row"] + state["full"].cast("int"), week["alone"] | (F.size(people) >= min_group)
         mark = F.struct(week["week"].alias("week"), week["cents"].alias("cents"), week["commits"].alias("commits"), row.alias("row"), full.alias("full"))
         return F.struct(row.alias("row"), full.alias("full"), people.alias("who"), F.concat(state["marks"], F.array(mark)).alias("marks"))
 
-    sorted_weeks = F.array_sort(F.collect_list(F.struct("week", "cents", "commits", "who")))
+    sorted_weeks = F.array_sort(F.collect_list(F.struct("week", "cents", "commits", "alone", "who")))
     marks = weeks.groupBy("repo").agg(sorted_weeks.alias("w")).select("repo", F.aggregate("w", nothing, step, lambda s: s["marks"]).alias("marks"))
     last_full = F.array_max(F.transform(F.filter("marks", lambda m: m["full"]), lambda m: m["row"]))
     numbered = marks.select("repo", last_full.alias("last_full"), F.inline("marks"))

@@ -47,7 +47,8 @@ def comparison_sums(runs: DataFrame, comparisons: DataFrame) -> DataFrame:
     """
     commit = arms(runs, ["repo", "commit", "setup"])
     side = lambda p: F.struct(*[F.coalesce(F.sum(F.when(F.col("setup") == F.col(p), F.col(c))), F.lit(0)).alias(c) for c in ("runs", "solved", "cents", "tokens")]).alias(p[0])
-    met = commit.join(F.broadcast(comparisons), (F.col("setup") == F.col("baseline")) | (F.col("setup") == F.col("challenger")))
+    either = comparisons.withColumn("setup", F.explode(F.array_distinct(F.array("baseline", "challenger"))))
+    met = commit.join(either, "setup")
     g = met.groupBy("id", "repo", "commit").agg(side("baseline"), side("challenger"))
     flat = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("b", "c") for c in ("runs", "solved", "cents", "tokens")]
     return g.where("b.runs > 0 AND c.runs > 0").select("id", "repo", "commit", *flat)

@@ -3,16 +3,23 @@
 from __future__ import annotations
 
 import ast
+import symtable
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from agentmeter.functions import text as tx
 
 # Tools that hand work to another agent.
 DELEGATE_TOOLS = ("Agent", "Task")
+# Endings that a script module's name may leave out, the first that fits first, and how scripts import and export.
+SCRIPT_ENDINGS = ("", ".ts", ".tsx", ".js", ".jsx", ".mjs", "/index.ts", "/index.js")
+SCRIPT = r"\.([jt]sx?|mjs)$"
+SCRIPT_IMPORT = r"import\s*\{([^}]*)\}\s*from\s*['\"](\.{1,2}/[^'\"]+)['\"]"
+SCRIPT_EXPORT = r"export\s+(?:default\s+)?(?:async\s+)?(?:function\*?|class|const|let|var|interface|type|enum)\s+([\w$]+)"
+SCRIPT_LIST = r"export\s*\{([^}]*)\}"
 
 
 def delegation(blocks: DataFrame) -> DataFrame:
@@ -48,35 +55,93 @@ def changed_files(snapshots: DataFrame) -> DataFrame:
     return each.select("run", "step", "file", F.when(now.isNull(), "deleted").when(now != F.col("hash"), "changed").alias("change")).where("change IS NOT NULL")
 
 
+def _bound(text: str, path: str) -> set[str] | None:
+    """The names a Python source binds at its top level, branches included; None if it can't be read."""
+    try:
+        top = symtable.symtable(text, path, "exec")
+    except (SyntaxError, ValueError):
+        return None
+    return {s.get_name() for s in top.get_symbols() if s.is_assigned() or s.is_imported() or s.is_namespace()}
+
+
+def _asked(text: str) -> set[tuple[str, str, str]]:
+    """(role, module, name) of what a Python test takes from absolute modules: 'import' for names it imports, 'use' for attributes of modules.
+
+    A name imported from a package may be a module itself, so its attributes are uses too; whether it is one the files decide.
+    """
+    try:
+        nodes = list(ast.walk(ast.parse(text)))
+    except (SyntaxError, ValueError):
+        return set()
+    taken = [(n.module, a) for n in nodes if isinstance(n, ast.ImportFrom) and n.module and not n.level for a in n.names if a.name != "*"]
+    whole = [a for n in nodes if isinstance(n, ast.Import) for a in n.names]
+    stands_for = {a.asname or a.name: {f"{module}.{a.name}"} for module, a in taken}
+    for a in whole:
+        stands_for.setdefault(a.asname or a.name, set()).add(a.name)
+    used = {(module, n.attr) for n in nodes if isinstance(n, ast.Attribute) for module in stands_for.get(ast.unparse(n.value) if isinstance(n.value, ast.Name | ast.Attribute) else "", ())}
+    return {("import", module, a.name) for module, a in taken} | {("use", module, name) for module, name in used}
+
+
 def _python_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
-        for key, text, is_test in zip(pdf["key"], pdf["text"], pdf["is_test"], strict=True):
-            try:
-                tree = ast.parse(text or "")
-            except (SyntaxError, ValueError):
+        for key, path, text, is_test in zip(pdf["key"], pdf["path"], pdf["text"], pdf["is_test"], strict=True):
+            if is_test:
+                out += [(key, role, module, None, name) for role, module, name in sorted(_asked(text or ""))]
                 continue
-            for node in ast.walk(tree):
-                if is_test and isinstance(node, ast.ImportFrom) and node.module:
-                    out += [(key, a.name, True) for a in node.names if a.name != "*"]
-                elif not is_test and isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef):
-                    out.append((key, node.name, False))
-                elif not is_test and isinstance(node, ast.Assign):
-                    out += [(key, t.id, False) for t in node.targets if isinstance(t, ast.Name)]
-        yield pd.DataFrame(out, columns=["key", "name", "wanted"])
-
-
-def missing_names(files: DataFrame) -> DataFrame:
-    """(key, name): names that a task's test files import and its other files don't define.
-
-    files: key, path, text. Python is read by its own parser; script files by patterns, without Python.
+            names = _bound(text or "", path)
+            out += [(key, "unread", None, path, None)] if names is None else [(key, "bound", None, path, name) for name in sorted(names)]
+        yield pd.DataFrame(out, columns=["key", "role", "module", "path", "name"])
+
+
+def _modules(files: DataFrame) -> DataFrame:
+    """(key, module, path) of Python files by the names they are imported by, from the top folder or src; a plain file goes before a package."""
+    bare = F.regexp_replace("path", r"^src/", "")
+    module = F.translate(F.regexp_replace(bare, r"(/__init__)?\.py$", ""), "/", ".")
+    rank = F.struct(F.col("path").startswith("src/"), F.col("path").endswith("/__init__.py"))
+    return files.where(F.col("path").endswith(".py")).groupBy("key", module.alias("module")).agg(F.min_by("path", rank).alias("path"))
+
+
+def _resolved(folder: Column, relative: Column) -> Column:
+    """The path that a relative one names in a folder, its . and .. worked off."""
+    parts = F.filter(F.split(F.concat_ws("/", folder, relative), "/"), lambda x: ~x.isin("", "."))
+    up = lambda acc: F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+    return F.array_join(F.aggregate(parts, F.array().cast("array<string>"), lambda acc, x: F.when(x == "..", up(acc)).otherwise(F.concat(acc, F.array(x)))), "/")
+
+
+def _script_names(files: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, path, name) that script tests import from relative modules among known (key, path) and that files (is_test) don't export."""
+    script = files.where(F.col("path").rlike(SCRIPT))
+    found = [F.regexp_extract_all("text", F.lit(SCRIPT_IMPORT), i) for i in (1, 2)]
+    imports = script.where("is_test").select("key", "path", F.explode(F.arrays_zip(found[0].alias("names"), found[1].alias("source"))).alias("i"))
+    base = _resolved(F.regexp_replace("path", r"[^/]*$", ""), F.col("i.source"))
+    name = F.regexp_extract(F.trim("raw"), r"^(?:type\s+(?!as\b))?([\w$]+)", 1)
+    asked = imports.select("key", base.alias("base"), F.explode(F.split("i.names", ",")).alias("raw")).select("key", "base", name.alias("name")).where("name NOT IN ('', 'type')")
+    bare = lambda ending: F.col("path").substr(F.lit(1), F.length("path") - len(ending))
+    called = F.array_compact(F.array(*[F.when(F.col("path").endswith(e), F.struct(bare(e).alias("base"), F.lit(n).alias("rank"))) for n, e in enumerate(SCRIPT_ENDINGS)]))
+    modules = known.select("key", "path", F.explode(called).alias("c")).groupBy("key", "c.base").agg(F.min_by("path", "c.rank").alias("path"))
+    lists = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(SCRIPT_LIST), 1), lambda x: F.regexp_extract_all(x, F.lit(r"([\w$]+)"), 1)))
+    exported = script.where("NOT is_test").select("key", "path", F.explode(F.concat(F.regexp_extract_all("text", F.lit(SCRIPT_EXPORT), 1), lists)).alias("name"))
+    return asked.join(modules, ["key", "base"]).select("key", "path", "name").distinct().join(exported, ["key", "path", "name"], "left_anti")
+
+
+def missing_names(files: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """(key, path, name): names that a task's test files take from its modules and that its other files don't define.
+
+    files: key, path, text, as they were before the commit but for the test files; added: (key, path) of files that the commit adds. Names are
+    imported from a module, or used as attributes of an imported one. Modules that aren't among the files are others' and ask for
+    nothing; nor does a module that can't be read. Python is read by its own parser; script files by patterns, without Python.
     """
     f = files.withColumn("is_test", F.col("path").rlike(tx.TEST_FILE))
     key = files.schema["key"].dataType.simpleString()
-    python = f.where(F.col("path").endswith(".py")).select("key", "text", "is_test").mapInPandas(_python_names, f"key {key}, name string, wanted boolean")
-    script = f.where(F.col("path").rlike(r"\.[jt]sx?$"))
-    lists = F.flatten(F.transform(F.regexp_extract_all("text", F.lit(r"import\s*\{([^}]*)\}\s*from"), 1), lambda x: F.split(x, r"\s*,\s*")))
-    imported = script.where("is_test").select("key", F.explode(lists).alias("name")).select("key", F.regexp_extract(F.trim("name"), r"^([\w$]+)", 1).alias("name"), F.lit(True).alias("wanted"))
-    defined = script.where("NOT is_test").select("key", F.explode(F.regexp_extract_all("text", F.lit(r"export\s+(?:default\s+)?(?:async\s+)?(?:function|class|const|let|var|interface|type|enum)\s+([\w$]+)"), 1)).alias("name"), F.lit(False).alias("wanted"))
-    names = python.union(imported).union(defined).where("name <> ''")
-    return names.where("wanted").select("key", "name").distinct().join(names.where("NOT wanted").select("key", "name"), ["key", "name"], "left_anti")
+    facts = f.where(F.col("path").endswith(".py")).select("key", "path", "text", "is_test").mapInPandas(_python_names, f"key {key}, role string, module string, path string, name string")
+    known = f.where("NOT is_test").select("key", "path")
+    known = known if added is None else known.unionByName(added.select("key", "path")).distinct()
+    modules = _modules(known)
+    asked = facts.where("role IN ('import', 'use')").drop("path").join(modules, ["key", "module"])
+    itself = modules.select("key", F.col("module").alias("whole"))  # an imported name that is a module
+    whole = F.when(F.col("role") == "import", F.concat_ws(".", "module", "name"))
+    wanted = asked.withColumn("whole", whole).join(itself, ["key", "whole"], "left_anti").select("key", "path", "name").distinct()
+    unread, bound = (facts.where(F.col("role") == role) for role in ("unread", "bound"))
+    python = wanted.join(unread.select("key", "path"), ["key", "path"], "left_anti").join(bound.select("key", "path", "name"), ["key", "path", "name"], "left_anti")
+    return python.select("key", "path", "name").unionByName(_script_names(f, known))

@@ -54,7 +54,7 @@ def o_p32(spark, sf_dir):
     source = F.when(python, F.concat(F.lit("x = 1\ndef other():\n    pass\n"), F.when(there, F.concat(F.lit("def "), name, F.lit("(a):\n    return a\n"))).otherwise(""))).otherwise(F.concat(F.lit("export const other = 1;\n"), F.when(there, F.concat(F.lit("export async function "), name, F.lit("() {}\n"))).otherwise("")))
     test = F.when(python, F.concat(F.lit("from lib import other, "), name, F.lit(" as n\n"))).otherwise(F.concat(F.lit("import { other, "), name, F.lit(" as n } from './lib';\n")))
     files = lambda path, script, text: p.select(F.col("p_partkey").alias("key"), F.when(python, path).otherwise(script).alias("path"), text.alias("text"))
-    return tr.missing_names(files("lib.py", "lib.ts", source).union(files("tests/test_lib.py", "lib.test.ts", test)))
+    return tr.missing_names(files("lib.py", "lib.ts", source).union(files("tests/test_lib.py", "lib.test.ts", test))).select("key", "name")
 
 
 @query("o_s9_upload_scan", "SELECT 's' || (o_custkey % 12) AS submitter, sha256('{\"order\":' || o_orderkey || '}') AS sha256, true AS named_by_hash, o_orderkey AS order_no FROM orders")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from agentmeter import fixtures as fx
 from agentmeter.functions import dims
 from agentmeter.functions import text as tx
-from agentmeter.operators import asof, kept, rollup, stats
+from agentmeter.operators import asof, kept, rollup, stats, transcripts
 from agentmeter.plans import QUERIES
 from agentmeter.operators import attribution as at
 from agentmeter.operators import requests as rq
@@ -268,6 +268,34 @@ def test_streamed_ledger_keeps_the_fuller_record(spark, tmp_path):
     assert got == {"a": (1.0, 1), "c": (0.1, 2)}
 
 
+def test_names_are_looked_for_in_their_modules(spark):
+    before = [
+        ("p", "pkg/__init__.py", ""), ("p", "pkg/store.py", "import os\nif os:\n    LIMIT: int = 3\ndef keep():\n    inner = 1\n"), ("p", "src/deep/old.py", "def a(:\n"), ("p", "app.py", "x = 1\n"),
+        ("p", "tests/test_a.py", "import json\nimport pytest\nimport pkg.fresh as fresh, pkg.store\nfrom unittest.mock import patch\nfrom pkg import store as st, gone\nfrom pkg.store import keep, LIMIT, inner, os\nfrom deep.old import b\nfrom app import x\nfrom . import near\n"
+         "def test():\n    st.keep(); st.cleanup(); fresh.new(); json.dumps(1); pkg.store.swept()\n"),
+        ("p", "tests/test_broken.py", "from app import (\n"), ("p", None, "x"),
+        ("j", "src/num.ts", "export function add(a) {}\nexport { half as twice }\n"), ("j", "src/ui/index.ts", None),
+        ("j", "src/ui/num.test.ts", "import { add, mul as m, half, type Kind } from '../num'\nimport { describe } from 'vitest'\nimport { View } from './../ui'\nimport { lost } from './lost'\n"),
+    ]
+    files = spark.createDataFrame(before, "key string, path string, text string")
+    added = spark.createDataFrame([("p", "pkg/fresh.py"), ("p", "app.py")], "key string, path string")
+    got = {(r.key, r.path, r.name) for r in transcripts.missing_names(files, added).collect()}
+    python = {("p", "pkg/store.py", "cleanup"), ("p", "pkg/store.py", "inner"), ("p", "pkg/store.py", "swept"), ("p", "pkg/fresh.py", "new"), ("p", "pkg/__init__.py", "gone")}
+    assert got == python | {("j", "src/num.ts", "mul"), ("j", "src/num.ts", "Kind"), ("j", "src/ui/index.ts", "View")}
+    assert transcripts.missing_names(files.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [0, 1, 4, 5, 12, 999, 400_000])
+def test_medians_are_exact(spark, n):
+    i = F.col("id")
+    status = F.when(i % 3 == 0, "kept").when(i % 3 == 1, "kept (squash)").otherwise("discarded")
+    rows = spark.range(n).select(status.alias("status"), (i % 7).alias("seen"), F.when(i % 11 > 0, F.pmod(F.xxhash64("id"), F.lit(1000)) / 8.0).alias("wh_low"), (i % 2 / 4.0).alias("wh_high"), F.rand(1).alias("usd"))
+    worked = rows.where("seen > 0")
+    pool = worked.where("status <> 'discarded'") if worked.where("status <> 'discarded'").count() >= 5 else worked
+    want = pool.agg(F.median("wh_low"), F.median("wh_high"), F.median("usd"), F.count("*")).first()
+    assert tuple(rollup.typical(rows).first()) == tuple(want)
+
+
 def test_plans_have_no_nested_loops(spark, sf):
     w = World(spark, sf)
     history = fx.patch_commits(spark, sf)

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
@@ -12,6 +13,7 @@ from agentmeter.operators import requests as rq
 from agentmeter.operators import savings
 from agentmeter.plans.registry import PIECES, query
 from agentmeter.plans.requests import measured
+from agentmeter.sources import shared
 
 PIECES["anchors"] = """SELECT DISTINCT l.session_id, l.repo, c.sha, c.ts AS commit_ts FROM calls l JOIN commits c ON l.repo = c.repo
     AND c.ts BETWEEN l.start_ts - INTERVAL 2 SECOND AND coalesce(l.end_ts, l.start_ts) + INTERVAL 2 SECOND"""
@@ -59,28 +61,72 @@ PIECES["receipts"] = """SELECT n.repo, n.sha, n.tier, coalesce(wh_low, 0) AS wh_
 
 
 class World:
-    """The frames of one attribution, built once."""
+    """The frames of one attribution, each built when it is first asked for. Those that several branches read are written."""
 
     def __init__(self, spark, sf_dir):
         self.spark, self.sf_dir = spark, sf_dir
         self.requests, self.commits, self.calls = fx.requests(spark, sf_dir), fx.commits(spark, sf_dir), fx.commit_calls(spark, sf_dir)
         self.touched, self.files, self.who = fx.touched(spark, sf_dir), fx.commit_files(spark, sf_dir), fx.identities(spark, sf_dir)
-        # Read by several branches of each plan; kept in executors' memory or disk, and worked out again if an executor is lost.
-        self.found = at.anchors(self.calls, self.commits).persist(StorageLevel.MEMORY_AND_DISK)
-        self.placed = at.segments(self.requests, self.found).persist(StorageLevel.MEMORY_AND_DISK)
-        self.exact, self.left = at.exact(self.placed)
-        self.repos = at.session_repos(self.requests.select("session_id", (F.col("session_id") % 8).alias("repo")), self.calls, self.touched)
-        thin = self.left.select("request_id", "session_id", "ts")
-        shown = self.touched.select("session_id").distinct()  # sessions of sources that show files
-        self.fuzzy_left, self.time_left = thin.join(shown, "session_id", "left_semi"), thin.join(shown, "session_id", "left_anti")
-        self.matches = at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found).persist(StorageLevel.MEMORY_AND_DISK)
-        self.time, self.time_rest = at.time_only(self.time_left, self.repos, self.commits, self.who, self.found)
-        rows = self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time)
-        self.rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
-        self.named = at.tasks(self.rows, self.requests, self.found)
+
+    @cached_property
+    def found(self):
+        return shared.written(at.anchors(self.calls, self.commits), "found")
+
+    @cached_property
+    def placed(self):
+        return shared.written(at.segments(self.requests.select("request_id", "session_id", "ts"), self.found), "placed")
+
+    @cached_property
+    def exact(self):
+        return at.exact(self.placed)[0]
+
+    @cached_property
+    def left(self):
+        return at.exact(self.placed)[1]
+
+    @cached_property
+    def repos(self):
+        return at.session_repos(self.requests.select("session_id", (F.col("session_id") % 8).alias("repo")), self.calls, self.touched)
+
+    @cached_property
+    def shown(self):
+        """Sessions of sources that show files."""
+        return self.touched.select("session_id").distinct()
+
+    @cached_property
+    def fuzzy_left(self):
+        return self.left.join(self.shown, "session_id", "left_semi")
+
+    @cached_property
+    def matches(self):
+        return shared.written(at.fuzzy(self.fuzzy_left, self.repos, self.commits, self.files, self.touched, self.who, self.found), "matches")
+
+    @cached_property
+    def timed(self):
+        return at.time_only(self.left.join(self.shown, "session_id", "left_anti"), self.repos, self.commits, self.who, self.found)
+
+    @property
+    def time(self):
+        return self.timed[0]
+
+    @property
+    def time_rest(self):
+        return self.timed[1]
+
+    @cached_property
+    def rows(self):
+        return shared.written(self.exact.unionByName(at.fuzzy_rows(self.fuzzy_left, self.matches)).unionByName(self.time), "rows")
+
+    @cached_property
+    def named(self):
+        return at.tasks(self.rows, self.requests, self.found)
+
+    @cached_property
+    def measured(self):
+        return measured(self.spark, self.sf_dir)
 
     def receipt(self):
-        return at.receipt(self.rows, measured(self.spark, self.sf_dir), self.named)
+        return at.receipt(self.rows, self.measured, self.named)
 
 
 # Sums end in different last bits from run to run; the nudge keeps what lies halfway between two rounded values from falling on either side.
@@ -214,7 +260,7 @@ PIECES["w_totals"] = "SELECT 'matched' AS part, tier AS label, count(*) AS n, su
 def o_a4(spark, sf_dir):
     w = World(spark, sf_dir)
     matched = w.receipt().groupBy(F.lit("matched").alias("part"), F.col("tier").alias("label")).agg(F.count("*").alias("n"), F.sum(F.col("wh_low") + F.col("lead_up_wh_low")).alias("wh_low"), F.sum(F.col("wh_high") + F.col("lead_up_wh_high")).alias("wh_high"))
-    rest = no_match(w).join(measured(spark, sf_dir), "request_id").groupBy(F.lit("unmatched").alias("part"), F.col("reason").alias("label")).agg(F.count("*").alias("n"), F.sum("wh_low").alias("wh_low"), F.sum("wh_high").alias("wh_high"))
+    rest = no_match(w).join(w.measured, "request_id").groupBy(F.lit("unmatched").alias("part"), F.col("reason").alias("label")).agg(F.count("*").alias("n"), F.sum("wh_low").alias("wh_low"), F.sum("wh_high").alias("wh_high"))
     return matched.unionByName(rest).select("part", "label", "n", F.round("wh_low", 4).alias("wh_low"), F.round("wh_high", 4).alias("wh_high"))
 
 

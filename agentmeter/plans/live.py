@@ -2,29 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
 from agentmeter.functions import dims
 from agentmeter.operators import requests as rq
 from agentmeter.plans.registry import PIECES, query
+from agentmeter.sources import shared
 from agentmeter.streaming import live
 
 PARTS = 3
 
 
-def _folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
-        top = tempfile.mkdtemp(prefix="agentmeter-")
-    return f"{top.rstrip('/')}/agentmeter-live-{uuid.uuid4().hex}"
-
-
 def final(spark, sf_dir):
     """The stream of raw rows and commits, in files by time, run to its end. Each commit is seen by a hook, and up to 99 s later in the log."""
     priced = rq.priced(fx.raw_request_rows(spark, sf_dir), dims.prices(spark))
@@ -33,7 +22,7 @@ def final(spark, sf_dir):
     commits = fx.commits(spark, sf_dir).select(F.col("author").alias("session_id"), seen, F.lit("commit").alias("kind"))
     both = rows.unionByName(commits, allowMissingColumns=True)
     both = both.select(*[F.col(c.split()[0]).cast(c.split()[1]).alias(c.split()[0]) for c in live.ROWS.split(", ")])
-    top = _folder(spark)
+    top = shared.folder(spark, "live")
     stamp = F.unix_micros("ts")
     first, last = both.agg(F.min(stamp), F.max(stamp)).first()
     for i in range(PARTS):  # the log grows, and the stream goes on from its checkpoint each time

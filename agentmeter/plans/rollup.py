@@ -140,14 +140,14 @@ PIECES["sci"] = """SELECT wl / 1000 * 498 AS g_low, wh / 1000 * 528 AS g_high, t
 @query("o_a12_carbon_intensity", "SELECT tokens, commits, working, round(g_low, 4) AS g_low, round(g_high, 4) AS g_high, round(g_low / (tokens / 1e6), 6) AS g_per_mtok_low, round(g_high / (tokens / 1e6), 6) AS g_per_mtok_high, round(g_low / commits, 6) AS g_per_commit_low, round(g_high / commits, 6) AS g_per_commit_high, round(jg_low / working, 6) AS g_per_working_low, round(jg_high / working, 6) AS g_per_working_high FROM sci")
 def o_a12(spark, sf_dir):
     w = World(spark, sf_dir)
-    c = rollup.carbon(measured(spark, sf_dir), w.named, noted(w))
+    c = rollup.carbon(w.measured, w.named, noted(w))
     return rounded(rounded(c, 4, "g_low", "g_high"), 6, *[x for x in c.columns if "_per_" in x])
 
 
 @query("o_s8_disclosure", "SELECT to_json({'tokens': tokens, 'commits': commits, 'working': working}) AS disclosure FROM sci")
 def o_s8(spark, sf_dir):
     w = World(spark, sf_dir)
-    return rollup.carbon(measured(spark, sf_dir), w.named, noted(w)).select(F.to_json(F.struct("tokens", "commits", "working")).alias("disclosure"))
+    return rollup.carbon(w.measured, w.named, noted(w)).select(F.to_json(F.struct("tokens", "commits", "working")).alias("disclosure"))
 
 
 @query("o_a36_tips", "SELECT 'smaller model' AS tip, CAST(nano AS BIGINT) AS saved_nano_usd, round(share, 6) AS share FROM model_saving")

@@ -111,11 +111,11 @@ def o_x5(spark, sf_dir):
 @query("o_x6_ledger_stream", "SELECT repo, sha, CASE WHEN sha % 3 = 0 THEN k ELSE k + 1 END AS requests FROM commits")
 def o_x6(spark, sf_dir):
     """A stream of receipts into the ledger, stopped and started again: the second time each has one more request, but a third of them one fewer."""
-    from agentmeter.plans.live import _folder
+    from agentmeter.sources import shared
 
     c = fx.commits(spark, sf_dir)
     receipts = lambda n: c.select("repo", "sha", n.alias("requests"), (n + 1).alias("seen_requests"), F.lit(0.5).alias("usd"), F.lit(1).alias("first_seen"))
-    top = _folder(spark)
+    top = shared.folder(spark, "ledger")
     for n in (F.col("k"), F.when(F.col("sha") % 3 == 0, F.col("k") - 1).otherwise(F.col("k") + 1)):
         rows = receipts(n)
         rows.write.mode("append").parquet(f"{top}/in")

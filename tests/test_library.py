@@ -299,7 +299,7 @@ def test_medians_are_exact(spark, n):
 def test_plans_have_no_nested_loops(spark, sf):
     w = World(spark, sf)
     history = fx.patch_commits(spark, sf)
-    frames = [w.found, w.rows, w.named, kept.squashed(history, fx.commit_lines(spark, sf), history, fx.ref_commits(spark, sf)), rn.paired(fx.runs(spark, sf), ["N", "R"])]
+    frames = [at.anchors(w.calls, w.commits), at.fuzzy(w.fuzzy_left, w.repos, w.commits, w.files, w.touched, w.who, w.found), at.fuzzy_rows(w.fuzzy_left, w.matches), w.time, w.named, w.receipt(), kept.squashed(history, fx.commit_lines(spark, sf), history, fx.ref_commits(spark, sf)), rn.paired(fx.runs(spark, sf), ["N", "R"])]
     for df in frames:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan

@@ -452,6 +452,41 @@ def test_secrets(documents, odd, none, spark):
     assert secrets.find_secrets(none).count() == 0
 
 
+def test_lexer_equals_written_assignments():
+    """Texts written assignment by assignment, whose spans are known as they are written."""
+    rng = np.random.default_rng(5)
+    pick = lambda *of: of[rng.integers(len(of))]
+    found = 0
+    for _ in range(300):
+        text, constants, want = "", {}, set()
+        for _ in range(rng.integers(1, 30)):
+            name, quote, operator = pick("db_password", "authKey", "cookie", "title", "token_count", "v0", "v1", "v2"), pick("'", '"'), pick(" = ", "=", ": ", " := ")
+            literal = "".join(pick(*"abcXYZ0189/+") for _ in range(rng.integers(0, 30)))
+            name_written = pick(name, f'"{name}"')
+            kind = pick("literal", "constant", "words")
+            if kind == "words":
+                text += "plain words, (none of them given)\n"
+                continue
+            text += name_written + operator
+            if kind == "literal":
+                at = (len(text) + 1, len(text) + 1 + len(literal), literal)
+                constants[name] = at
+                text += quote + literal + quote
+            else:
+                source = pick("v0", "v1", "v2")
+                text += source
+                at = constants.get(source)
+                if at and len(at[2]) >= secrets.LEXED_CHARS:
+                    constants[name] = at
+            text += pick("\n", ";\n", ",\n")
+            score = secrets.name_score(name)
+            if at and score >= 2 and secrets.literal_score(at[2]) and score + secrets.literal_score(at[2]) >= secrets.THRESHOLD:
+                want.add(at[:2])
+        assert {(a, b) for a, b, _ in secrets.lexed(text)} == want, text
+        found += len(want)
+    assert found > 300
+
+
 def test_lexer_follows_constants():
     spans = lambda t: [t[a:b] for a, b, _ in secrets.lexed(t)]
     assert spans('K = "Zx81kQpLm2"\ndb_password = K') == ["Zx81kQpLm2"]

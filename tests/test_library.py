@@ -296,6 +296,15 @@ def test_medians_are_exact(spark, n):
     assert tuple(rollup.typical(rows).first()) == tuple(want)
 
 
+def test_weeks_merge_until_enough_people_are_in_them(spark):
+    day = lambda week: dt.datetime(2025, 1, 6) + dt.timedelta(weeks=week)
+    rows = [("r", day(0), 1, None), ("r", day(1), 2, "a"), ("r", day(2), 3, "b"), ("r", day(3), 4, "a"), ("r", day(3), 5, "c"), ("r", day(4), 6, "a"), ("q", day(3), 7, None)]
+    noted = spark.createDataFrame(rows, "repo string, ts timestamp, cents long, author string")
+    got = {(r.repo, r.first_week, r.last_week, r.cents, r.commits) for r in rollup.merged_weeks(noted, 2).collect()}
+    assert got == {("r", "2025-W02", "2025-W04", 6, 3), ("r", "2025-W05", "2025-W06", 15, 3), ("q", "2025-W05", "2025-W05", 7, 1)}
+    assert rollup.merged_weeks(noted.limit(0), 2).count() == 0
+
+
 def test_plans_have_no_nested_loops(spark, sf):
     w = World(spark, sf)
     history = fx.patch_commits(spark, sf)

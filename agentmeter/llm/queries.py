@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from agentmeter.llm import decontaminate, langid, linededup, mixing, quality, secrets, sharding, simhash, topk, toxicity
+from agentmeter.llm import decontaminate, hardnegatives, langid, linededup, mixing, phrases, quality, secrets, sharding, simhash, topk, toxicity, warc
 from agentmeter.llm.common import read
 
 
@@ -52,6 +53,19 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op11_hardnegatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hardnegatives.mine(read(spark, sf_dir, "embeddings").withColumn("label", label))
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(read(spark, sf_dir, "documents"))
+
+
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(read(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
@@ -63,6 +77,9 @@ QUERIES = {
     "op8_linededup": op8_linededup,
     "op9_quality": op9_quality,
     "op10_mixing": op10_mixing,
+    "op11_hardnegatives": op11_hardnegatives,
+    "op12_phrases": op12_phrases,
+    "op13_warc": op13_warc,
 }
 
 ORACLES = {
@@ -70,4 +87,7 @@ ORACLES = {
     "op4_topk": topk.ORACLE,
     "op8_linededup": linededup.ORACLE,
     "op10_mixing": mixing.ORACLE,
+    "op11_hardnegatives": hardnegatives.ORACLE,
+    "op12_phrases": phrases.ORACLE,
+    "op13_warc": warc.ORACLE,
 }

@@ -35,6 +35,8 @@ MIN_COUNT, MAX_WORDS, LIMIT, COVER = 100, 5, 2000, 100
 BURST, DEPTH, ROOM, WORDS = 4096, 2, 400_000, 400_000
 #: Bytes of text split at once, words counted at once, and languages that a task keeps.
 SLICE, BATCH, MANY = 1 << 20, 1 << 18, 64
+#: Phrases of a run, about: subtrees that are spilled together are sorted together.
+RUN = 1 << 16
 #: Size of the bitmap of frequent phrases: 8 MB.
 BITS = 1 << 26
 #: Leading words that choose a phrase's partition.
@@ -210,9 +212,14 @@ class Tally:
         """Sorted runs of whole subtrees, and of all of them where the words are too many; the languages' totals go as the phrase of no word."""
         full = len(self.vocabulary) > WORDS or len(self.good) > 2 * WORDS
         words = self.vocabulary.words
-        for run in self.trie.spill(0 if full else keep):
-            rows = sorted((b" ".join([words[w] for w in phrase]), times) for phrase, times in run)
-            yield self._batch(rows)
+        run: list[tuple[bytes, int]] = []
+        for subtree in self.trie.spill(0 if full else keep):
+            run += [(b" ".join([words[w] for w in phrase]), times) for phrase, times in subtree]
+            if len(run) >= RUN:
+                yield self._batch(sorted(run))
+                run = []
+        if run:
+            yield self._batch(sorted(run))
         if self.total:
             yield self._batch([(b"", self.total)])
             self.total = 0

@@ -156,7 +156,7 @@ class Roll:
         self.name = f"{self.prefix}-{self.shard:06d}-{self.part:04d}-{self.file:05d}.warc.gz"
         self.temp = f"_attempts/{uuid.uuid4().hex}/{self.name}"
         self.fs.create_dir(f"{self.root}/{self.temp}".rpartition("/")[0], recursive=True)
-        self.out = self.fs.open_output_stream(f"{self.root}/{self.temp}")
+        self.out = self.fs.open_output_stream(f"{self.root}/{self.temp}", compression=None)
         self.records, self.bytes, self.sum = 0, 0, hashlib.sha256()
         self.put(record("warcinfo", record_id("file", self.name), {"WARC-Date": DATE, "WARC-Filename": self.name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
 
@@ -326,7 +326,7 @@ def _reader(root: str, with_payload: bool):
         for files in batches:
             for name, sha256 in zip(files.column("name").to_pylist(), files.column("sha256").to_pylist(), strict=True):
                 rows, held = [], 0
-                with fs.open_input_stream(f"{top}/{name}") as stream:
+                with fs.open_input_stream(f"{top}/{name}", compression=None) as stream:
                     summed = _Summed(stream)
                     for offset, data in members(summed):
                         headers, block = parsed(data)

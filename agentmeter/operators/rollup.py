@@ -54,13 +54,16 @@ def discarded_share(receipts: DataFrame) -> DataFrame:
 def ledger_upsert(old: DataFrame, new: DataFrame) -> DataFrame:
     """The ledger after new receipts: for each (repo, sha) the new row, unless the old one saw more requests; first_seen stays.
 
-    seen_requests falls back to requests. New rows without requests are skipped. changed says whether the row differs from the old one.
+    seen_requests falls back to requests. New rows without requests are skipped; of several for one commit the one that saw the most requests counts (of
+    those, one chosen by hash), with the earliest first_seen. changed says whether the row differs from the old one.
     """
-    n = new.where("seen_requests > 0").alias("n")
+    values = [c for c in new.columns if c != "first_seen"]
+    fullest = F.max_by(F.struct(*values), F.struct("seen_requests", F.xxhash64(*values))).alias("s")
+    one_each = new.where("seen_requests > 0").groupBy("repo", "sha").agg(fullest, F.min("first_seen").alias("first_seen"))
+    n = one_each.select("s.*", "first_seen").alias("n")
     o = old.withColumn("seen_requests", F.coalesce("seen_requests", "requests")).alias("o")
     j = o.join(n, (F.col("o.repo") == F.col("n.repo")) & (F.col("o.sha") == F.col("n.sha")), "full")
     keep_old = F.col("n.sha").isNull() | (F.col("o.sha").isNotNull() & (F.col("o.seen_requests") > F.col("n.seen_requests")))
-    values = [c for c in new.columns if c != "first_seen"]
     differs = F.lit(False)
     for c in values:
         differs = differs | ~F.col(f"o.{c}").eqNullSafe(F.col(f"n.{c}"))

@@ -7,14 +7,20 @@ from pyspark.sql import functions as F
 from agentmeter import fixtures as fx
 from agentmeter.functions import dims
 from agentmeter.operators import requests as rq
+from agentmeter.plans.attribution import World
 from agentmeter.plans.registry import PIECES, query
+from agentmeter.plans.rollup import stated
 from agentmeter.sources import shared
 from agentmeter.streaming import live
 
 PARTS = 3
 
 
-def final(spark, sf_dir):
+#: The fixture's people are its sessions and pause for weeks; no state is dropped within its months.
+IDLE_MINUTES = 400 * 24 * 60
+
+
+def final(spark, sf_dir, run=live.run_to_table):
     """The stream of raw rows and commits, in files by time, run to its end. Each commit is seen by a hook, and up to 99 s later in the log."""
     priced = rq.priced(fx.raw_request_rows(spark, sf_dir), dims.prices(spark))
     rows = priced.select("session_id", "ts", F.lit("request").alias("kind"), "request_id", "output", F.coalesce("nano_usd", F.lit(0)).alias("nano_usd"), rq.ctx_len().alias("ctx"), "is_sidechain")
@@ -28,7 +34,7 @@ def final(spark, sf_dir):
     for i in range(PARTS):  # the log grows, and the stream goes on from its checkpoint each time
         lo, hi = first + (last - first) * i // PARTS, first + (last - first) * (i + 1) // PARTS
         both.where((stamp >= lo) & ((stamp < hi) if i < PARTS - 1 else F.lit(True))).write.mode("append").parquet(f"{top}/in")
-        table = live.run_to_table(live.live_states(live.tail(spark, f"{top}/in")), f"{top}/out", f"{top}/check")
+        table = run(live.live_states(live.tail(spark, f"{top}/in"), IDLE_MINUTES), f"{top}/out", f"{top}/check")
     return table
 
 
@@ -48,9 +54,23 @@ def o_x2(spark, sf_dir):
     return live.latest(final(spark, sf_dir)).drop("announced")
 
 
-@query("o_x3_status", "SELECT session_id, task_nano_usd, CASE WHEN task_nano_usd > 3.0::DOUBLE * 10000000 THEN 'red' WHEN task_nano_usd > 1.5::DOUBLE * 10000000 THEN 'amber' ELSE 'plain' END AS colour, CASE WHEN share >= 0.05 THEN CAST(round_even(share * 100, 0) AS INTEGER) END AS carried_percent FROM (SELECT *, least(1.0, CASE WHEN last_ctx > 0 AND commits > 0 THEN greatest(0, after - base_ctx) / last_ctx ELSE 0 END) AS share FROM live_state)")
+PIECES["usual"] = "SELECT CAST(round(median(usd) * 1000000000) AS BIGINT) AS usual FROM (SELECT *, count(*) FILTER (status LIKE 'kept%') OVER () >= 5 AS enough FROM stated WHERE seen > 0) WHERE NOT enough OR status LIKE 'kept%'"
+PIECES["live_share"] = "SELECT *, least(1.0, CASE WHEN last_ctx > 0 AND commits > 0 THEN greatest(0, after - base_ctx) / last_ctx ELSE 0 END) AS share FROM live_state CROSS JOIN usual"
+
+
+@query(
+    "o_x3_status",
+    """SELECT session_id, task_nano_usd,
+      CASE WHEN task_nano_usd > 3.0::DOUBLE * usual THEN 'red' WHEN task_nano_usd > 1.5::DOUBLE * usual THEN 'amber' ELSE 'plain' END AS colour,
+      CASE WHEN share >= 0.05 THEN CAST(round_even(share * 100, 0) AS INTEGER) END AS carried_percent
+    FROM live_share""",
+)
 def o_x3(spark, sf_dir):
-    return live.status(live.latest(final(spark, sf_dir)), F.lit(10_000_000))
+    """Each batch's states against the baseline, which the first batch finds absent and computes from the receipts."""
+    baselines = shared.folder(spark, "baselines")
+    refresh = lambda: stated(World(spark, sf_dir))
+    table = final(spark, sf_dir, lambda states, path, checkpoint: live.run_status(states, path, checkpoint, baselines, refresh))
+    return live.latest(table)
 
 
 @query("o_x4_announcements", "SELECT session_id, ts AS commit_ts FROM announced")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import UTC, datetime
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -105,7 +107,12 @@ def o_x1(spark, sf_dir):
 
 @query("o_x5_baseline", "SELECT round(median(usd), 8) AS usd, count(*) AS commits FROM stated WHERE seen > 0 AND status LIKE 'kept%'")
 def o_x5(spark, sf_dir):
-    return rounded(live.baseline(stated(World(spark, sf_dir))), 8, "usd")
+    """The table of baselines, with its one row read back."""
+    from agentmeter.sources import shared
+
+    path = shared.folder(spark, "baselines")
+    live.write_baseline(stated(World(spark, sf_dir)), path, datetime.now(UTC))
+    return rounded(spark.read.parquet(path).select("usd", "commits"), 8, "usd")
 
 
 @query("o_x6_ledger_stream", "SELECT repo, sha, CASE WHEN sha % 3 = 0 THEN k ELSE k + 1 END AS requests FROM commits")
@@ -117,15 +124,28 @@ def o_x6(spark, sf_dir):
     receipts = lambda n: c.select("repo", "sha", n.alias("requests"), (n + 1).alias("seen_requests"), F.lit(0.5).alias("usd"), F.lit(1).alias("first_seen"))
     top = shared.folder(spark, "ledger")
     for n in (F.col("k"), F.when(F.col("sha") % 3 == 0, F.col("k") - 1).otherwise(F.col("k") + 1)):
-        rows = receipts(n)
+        rows = receipts(n).unionByName(receipts(n - 2))  # two states of each in one batch
         rows.write.mode("append").parquet(f"{top}/in")
         ledger = live.run_ledger(spark.readStream.schema(rows.schema).parquet(f"{top}/in"), f"{top}/ledger", f"{top}/check")
     return ledger.select("repo", "sha", "requests")
 
 
-@query("o_x7_late_rows", "SELECT session_id, count(*) FILTER (late) AS late, count(*) AS n FROM (SELECT session_id, coalesce(ts < max(ts) OVER (PARTITION BY session_id ORDER BY came ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 120 MINUTE, false) AS late FROM (SELECT *, request_id * 7919 % 10007 * 1000000 + request_id AS came FROM requests)) GROUP BY session_id")
+@query(
+    "o_x7_late_rows",
+    """SELECT session_id, count(*) FILTER (late) AS late, count(*) AS n
+    FROM (SELECT session_id, coalesce(ts < max(ts) OVER (PARTITION BY session_id ORDER BY came ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 120 MINUTE, false) AS late
+      FROM (SELECT *, request_id * 7919 % 10007 * 1000000 + request_id AS came FROM requests))
+    GROUP BY session_id""",
+)
 def o_x7(spark, sf_dir):
-    r = fx.requests(spark, sf_dir).withColumn("came", F.col("request_id") * 7919 % 10007 * 1_000_000 + F.col("request_id"))
-    return live.late_rows(r).groupBy("session_id").agg(F.count_if("late").alias("late"), F.count("*").alias("n"))
-
+    """Requests as they come, in another order than that of their times and in three batches; late ones go to a table of their own."""
+    from agentmeter.sources import shared
 
+    came = F.col("request_id") * 7919 % 10007 * 1_000_000 + F.col("request_id")
+    rows = fx.requests(spark, sf_dir).select("session_id", came.alias("came"), "ts", F.timestamp_micros(came + 86_400_000_000).alias("arrived"))
+    top = shared.folder(spark, "late")
+    for i in range(3):
+        rows.where(F.col("came").between(i * 3336 * 1_000_000, (i + 1) * 3336 * 1_000_000 - 1)).write.mode("append").parquet(f"{top}/in")
+        timely, late = live.run_late(live.late_split(spark.readStream.schema(rows.schema).parquet(f"{top}/in")), f"{top}/out", f"{top}/check")
+    both = timely.withColumn("late", F.lit(0)).unionByName(late.withColumn("late", F.lit(1)))
+    return both.groupBy("session_id").agg(F.sum("late").cast("long").alias("late"), F.count("*").alias("n"))

@@ -5,12 +5,15 @@ Input files are read as they come; a producer that appends must write rotated se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
+from datetime import UTC, datetime, timedelta
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from agentmeter.operators.rollup import ledger_upsert, typical
@@ -18,55 +21,214 @@ from agentmeter.operators.rollup import ledger_upsert, typical
 # Microseconds between two sights of one commit, times the usual cost at which a task turns amber and red, and the least carried share shown.
 GUARD_US, AMBER, RED, SHOWN_SHARE = 120_000_000, 1.5, 3.0, 0.05
 LATE, IDLE = "2 hours", "2 hours"
+#: After how long the state of an idle session is dropped, and a baseline is computed anew.
+IDLE_MINUTES, BASELINE_AGE = 7 * 24 * 60, timedelta(days=1)
 #: Parts of the streamed ledger.
 LEDGER_PARTS = 64
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 ROWS = "session_id long, ts timestamp, kind string, request_id long, output long, nano_usd long, ctx long, is_sidechain boolean"
 STATE = "session_id long, task_nano_usd long, task_requests int, commits int, base_ctx long, last_ctx long, carried long, announced array<timestamp>"
+LATENESS = "session_id long, came long, ts timestamp, late boolean"
+#: A request row within a batch.
+REQUEST = np.dtype([("at", "i8"), ("id", "i8"), ("output", "i8"), ("nano", "i8"), ("ctx", "i8"), ("main", "?")])
+
+
+class Batch:
+    """A session's rows of one micro-batch, reduced as they come.
+
+    The batch's last announced commit is at most GUARD_US before its last commit, so requests before that are done with once their context is
+    noted; later ones are kept as numbers, 41 bytes a row, until all commits are known. Nothing needs the rows in order.
+    """
+
+    def __init__(self) -> None:
+        self.first, self.last = None, None
+        self.commits: list[np.ndarray] = []
+        self.newest = -(2**63)
+        self.kept: list[np.ndarray] = []
+
+    def add(self, rows: pd.DataFrame) -> None:
+        at = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
+        commit = (rows["kind"] == "commit").to_numpy()
+        if commit.any():
+            self.commits.append(np.unique(at[commit]))
+            self.newest = max(self.newest, int(self.commits[-1][-1]))
+        own = ~commit
+        out = np.zeros(int(own.sum()), REQUEST)
+        out["at"] = at[own]
+        for name, column in (("id", "request_id"), ("output", "output"), ("nano", "nano_usd"), ("ctx", "ctx")):
+            out[name] = rows[column].to_numpy()[own].astype(np.int64)
+        out["main"] = ~rows["is_sidechain"].to_numpy()[own].astype(bool)
+        self._note(out)
+        self.kept.append(out[out["at"] > self.newest - GUARD_US])
+        if len(self.kept) > 64:
+            self._thin()
+
+    def _thin(self) -> None:
+        kept = np.concatenate(self.kept)
+        self.kept = [kept[kept["at"] > self.newest - GUARD_US]]
+
+    def _note(self, rows: np.ndarray) -> None:
+        """The earliest main request with a context and the latest main one."""
+        main = rows[rows["main"]]
+        if len(main):
+            end = main[np.lexsort((main["output"], main["id"], main["at"]))[-1]]
+            place = tuple(end[_ORDER].tolist())
+            if self.last is None or place > self.last[0]:
+                self.last = place, int(end["ctx"])
+        self.first = _earliest(main, self.first)
+
+    def settle(self, commit_us: int) -> tuple[list[int], np.ndarray]:
+        """The announced commits, and the requests after the last of them (all kept ones, if none is)."""
+        announced = []
+        for at in np.unique(np.concatenate(self.commits)).tolist() if self.commits else []:
+            if commit_us < 0 or commit_us < at - GUARD_US:
+                commit_us = at
+                announced.append(at)
+        self._thin()
+        kept = self.kept[0]
+        return announced, kept[kept["at"] > announced[-1]] if announced else kept
+
+
+_ORDER = ["at", "id", "output"]
+
+
+def _earliest(rows: np.ndarray, so_far: tuple | None = None) -> tuple | None:
+    """(order, context) of the earliest of main rows that has a context."""
+    rows = rows[rows["ctx"] > 0]
+    if not len(rows):
+        return so_far
+    row = rows[np.lexsort((rows["output"], rows["id"], rows["at"]))[0]]
+    found = tuple(row[_ORDER].tolist()), int(row["ctx"])
+    return found if so_far is None or found[0] < so_far[0] else so_far
 
 
 class LiveState(StatefulProcessor):
-    """State of a session: the open task's requests, each with its largest output, and a few numbers."""
+    """State of a session: the open task's requests, each with its largest output, and a few numbers. It goes when the session has been idle."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.task = handle.getMapState("task", "request_id long", "output long, nano long")
-        self.numbers = handle.getValueState("numbers", "base long, last long, after long, commit_us long, commits int")
+        self.numbers = handle.getValueState("numbers", "base long, last long, after long, commit_us long, commits int, seen_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        base, last, after, commit_us, commits = self.numbers.get() if self.numbers.exists() else (0, 0, 0, -1, 0)
-        announced = []
-        batch = pd.concat(list(rows)).sort_values(["ts", "kind", "request_id", "output"], ascending=[True, False, True, True])  # requests before commits
-        for r in batch.itertuples(index=False):
-            at = int(pd.Timestamp(r.ts).value // 1000)
-            if r.kind == "commit":
-                if commit_us < 0 or commit_us < at - GUARD_US:
-                    commit_us, commits, after = at, commits + 1, 0
-                    announced.append(r.ts)
-                    self.task.clear()
-                continue
-            one = (int(r.request_id),)
-            if not self.task.containsKey(one) or self.task.getValue(one)[0] < r.output:
-                self.task.updateValue(one, (int(r.output), int(r.nano_usd)))
-            if not r.is_sidechain:
-                last = int(r.ctx)
-                base = base or last
-                after = after or (last if commits else 0)
-        self.numbers.update((base, last, after, commit_us, commits))
-        nano = [v[1] for v in self.task.values()]
+        base, last, after, commit_us, commits, seen_ms = self.numbers.get() if self.numbers.exists() else (0, 0, 0, -1, 0, 0)
+        batch, latest = Batch(), 0
+        for part in rows:
+            batch.add(part)
+            latest = max(latest, int(part["ts"].max().value // 1_000_000))
+        announced, fresh = batch.settle(commit_us)
+        if announced:
+            commit_us, commits, after = announced[-1], commits + len(announced), 0
+            self.task.clear()
+        last = batch.last[1] if batch.last else last
+        base = base or (batch.first[1] if batch.first else 0)
+        first = _earliest(fresh[fresh["main"]])
+        after = after or (first[1] if commits and first else 0)
+        fullest = fresh[np.lexsort((fresh["at"], -fresh["output"], fresh["id"]))]
+        fullest = fullest[np.append(True, fullest["id"][1:] != fullest["id"][:-1])[: len(fullest)]]
+        for one, output, nano in zip(fullest["id"].tolist(), fullest["output"].tolist(), fullest["nano"].tolist(), strict=True):
+            if not self.task.containsKey((one,)) or self.task.getValue((one,))[0] < output:
+                self.task.updateValue((one,), (output, nano))
+        if latest > seen_ms:
+            if seen_ms:
+                self.handle.deleteTimer(seen_ms + self.idle_ms)
+            seen_ms = latest
+            self.handle.registerTimer(seen_ms + self.idle_ms)
+        self.numbers.update((base, last, after, commit_us, commits, seen_ms))
+        cost = number = 0
+        for _, nano in self.task.values():
+            cost, number = cost + nano, number + 1
         carried = max(0, after - base) if commits else 0
+        times = [pd.Timestamp(us, unit="us") for us in announced]
         yield pd.DataFrame({
-            "session_id": [key[0]], "task_nano_usd": [sum(nano)], "task_requests": [len(nano)], "commits": [commits], "base_ctx": [base], "last_ctx": [last], "carried": [carried], "announced": [announced],
+            "session_id": [key[0]], "task_nano_usd": [cost], "task_requests": [number], "commits": [commits], "base_ctx": [base], "last_ctx": [last], "carried": [carried], "announced": [times],
         })
 
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """The watermark has passed the session's last row by the idle time: its state is dropped, and it begins anew if it comes back."""
+        self.task.clear()
+        self.numbers.clear()
+        return iter(())
+
     def close(self) -> None:
         pass
 
 
-def live_states(rows: DataFrame) -> DataFrame:
-    """A row of STATE for each session and micro-batch that touched it. rows: a stream of ROWS, sorted within a batch by time."""
+def live_states(rows: DataFrame, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
+    """A row of STATE for each session and micro-batch that touched it. rows: a stream of ROWS, in any order within a batch.
+
+    The watermark drops rows that are late by more than LATE (split them off with late_split() to keep them), and the state of sessions
+    that it has passed by idle_minutes.
+    """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=LiveState(), outputStructType=STATE, outputMode="Update", timeMode="None")
+    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=LiveState(idle_minutes * 60_000), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
+
+
+class LateState(StatefulProcessor):
+    """State of a session: its clock, the newest time that has come. It goes when nothing has come for the idle time."""
+
+    def __init__(self, late_us: int, idle_ms: int):
+        self.late_us, self.idle_ms = late_us, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.clock = handle.getValueState("clock", "newest_us long, seen_ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest, seen_ms = self.clock.get() if self.clock.exists() else (-(2**63), 0)
+        parts = [np.stack([r["came"].to_numpy(np.int64), r["ts"].to_numpy("datetime64[us]").astype(np.int64), r["arrived"].to_numpy("datetime64[us]").astype(np.int64)]) for r in rows]
+        came, at, arrived = np.concatenate(parts, axis=1)
+        order = np.lexsort((at, came))
+        came, at = came[order], at[order]
+        before = np.maximum.accumulate(np.append(newest, at))[:-1]
+        late = (before > -(2**63)) & (at < before - self.late_us)
+        latest = max(seen_ms, int(arrived.max()) // 1000)
+        if latest > seen_ms:
+            if seen_ms:
+                self.handle.deleteTimer(seen_ms + self.idle_ms)
+            self.handle.registerTimer(latest + self.idle_ms)
+        self.clock.update((max(newest, int(at.max())), latest))
+        for i in range(0, len(at), 10_000):
+            some = slice(i, i + 10_000)
+            yield pd.DataFrame({"session_id": key[0], "came": came[some], "ts": at[some].astype("datetime64[us]"), "late": late[some]})
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.clock.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def late_split(rows: DataFrame, minutes: int = 120, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
+    """(session_id, came, ts, late) of a stream: a row is late if its session's clock had passed it by minutes when it came.
+
+    rows: session_id, came (the order of arrival within a session, over all batches), ts, and arrived, the time of arrival, which has the watermark: by it no
+    row is late, so none is lost, and the clocks of sessions from which nothing has come for idle_minutes are dropped.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    grouped = rows.withWatermark("arrived", "0 seconds").select("session_id", "came", "ts", "arrived").groupBy("session_id")
+    return grouped.transformWithStateInPandas(statefulProcessor=LateState(minutes * 60_000_000, idle_minutes * 60_000), outputStructType=LATENESS, outputMode="Append", timeMode="EventTime")
+
+
+def run_late(split: DataFrame, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
+    """Runs late_split() over what there is, into a table of the rows in time and one of the late rows; a batch that runs again replaces itself."""
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch = batch.persist()
+        for name, late in (("timely", False), ("late", True)):
+            batch.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{path}/{name}/n={number}")
+        batch.unpersist()
+
+    query = split.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    schema = LATENESS.removesuffix(", late boolean") + ", n long"
+    timely, late = (split.sparkSession.read.schema(schema).parquet(f"{path}/{name}").drop("n") for name in ("timely", "late"))
+    return timely, late
 
 
 def run_to_table(states: DataFrame, path: str, checkpoint: str) -> DataFrame:
@@ -120,54 +282,124 @@ def tail(spark: SparkSession, path: str, files: int | None = None) -> DataFrame:
     return (reader.option("maxFilesPerTrigger", files) if files else reader).parquet(path).withWatermark("ts", LATE)
 
 
-def _latest_parts(ledger: DataFrame, before: int | None = None) -> DataFrame:
-    """The rows of each part's newest version (before a batch), without part and version. Parts are LEDGER_PARTS at most."""
-    seen = ledger if before is None else ledger.where(F.col("v") < before)
-    newest = seen.groupBy("part").agg(F.max("v").alias("v"))
-    return seen.join(F.broadcast(newest), ["part", "v"]).drop("part", "v")
+def _manifest(path: str, before: int | None = None) -> tuple[int, dict[int, int]]:
+    """The newest manifest of a ledger (before a batch): its batch and the version of each part. Parts are LEDGER_PARTS at most."""
+    fs, top = pyarrow.fs.FileSystem.from_uri(path)
+    found = fs.get_file_info(pyarrow.fs.FileSelector(f"{top}/manifests", allow_not_found=True))
+    numbers = [n for n in (int(f.base_name) for f in found if f.base_name.isdigit()) if before is None or n < before]
+    if not numbers:
+        return -1, {}
+    with fs.open_input_stream(f"{top}/manifests/{max(numbers)}") as stream:
+        return max(numbers), {int(p): v for p, v in json.loads(stream.read()).items()}
+
+
+def _commit(path: str, number: int, parts: dict[int, int]) -> None:
+    """Writes a manifest under another name, moves it into place, and removes what neither it nor the one before it names."""
+    fs, top = pyarrow.fs.FileSystem.from_uri(path)
+    fs.create_dir(f"{top}/manifests", recursive=True)
+    with fs.open_output_stream(f"{top}/manifests/_{number}") as stream:
+        stream.write(json.dumps(parts).encode())
+    fs.move(f"{top}/manifests/_{number}", f"{top}/manifests/{number}")
+    last, old = _manifest(path, number)
+    named = {*parts.items(), *old.items()}
+    for folder in fs.get_file_info(pyarrow.fs.FileSelector(f"{top}/data", allow_not_found=True)):
+        version = int(folder.base_name.removeprefix("v="))
+        inside = fs.get_file_info(pyarrow.fs.FileSelector(folder.path))
+        gone = [x for x in inside if x.base_name.startswith("part=") and (int(x.base_name.removeprefix("part=")), version) not in named]
+        for x in gone:
+            fs.delete_dir(x.path)
+        if version < number and not any(v == version for _, v in named):
+            fs.delete_dir(folder.path)
+    for f in fs.get_file_info(pyarrow.fs.FileSelector(f"{top}/manifests")):
+        if f.base_name.isdigit() and int(f.base_name) < last:
+            fs.delete_file(f.path)
+
+
+def _versions(spark: SparkSession, path: str, parts: dict[int, int], schema) -> DataFrame:
+    """The rows of these versions of parts."""
+    folders = [f"{path}/data/v={v}/part={p}" for p, v in sorted(parts.items())]
+    if not folders:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*folders)
 
 
 def upsert_ledger(path: str):
     """A foreachBatch sink: the ledger under path gets each batch's receipts.
 
-    The ledger is kept in parts by the hash of (repo, sha), and a batch writes a new version of the parts that it touches, from what stood there
-    before it. A batch that runs again writes the same versions again.
+    The ledger is kept in parts by the hash of (repo, sha). A batch writes a new version of the parts that it touches, from what the manifest before
+    it names, and then a manifest of its own, which makes them visible at once. A batch that runs again starts from the same manifest and writes the same
+    again. Versions that neither of the last two manifests names are removed, so a reader has the time of a batch to read what it has opened.
     """
 
     def put(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         fields = [c for c in batch.columns if c != "first_seen"] + ["first_seen"]
         part = F.pmod(F.xxhash64("repo", "sha"), F.lit(LEDGER_PARTS)).cast("int")
-        new, old = batch.select(*fields).persist(), batch.select(*fields).limit(0)
-        if number:
-            touched = [r.part for r in new.select(part.alias("part")).distinct().collect()]  # LEDGER_PARTS at most
-            schema = T.StructType([*new.schema.fields, T.StructField("part", T.IntegerType()), T.StructField("v", T.LongType())])
-            old = _latest_parts(spark.read.schema(schema).parquet(path).where(F.col("part").isin(touched)), number)
-        merged = ledger_upsert(old.select(*fields), new).drop("changed").withColumns({"part": part, "v": F.lit(number).cast("long")})
-        merged.repartition("part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part", "v").parquet(path)
+        new = batch.select(*fields).persist()
+        touched = {r.part for r in new.where("seen_requests > 0").select(part.alias("part")).distinct().collect()}  # LEDGER_PARTS at most
+        _, parts = _manifest(path, number)
+        old = _versions(spark, path, {p: v for p, v in parts.items() if p in touched}, new.schema)
+        if touched:
+            merged = ledger_upsert(old, new).drop("changed").withColumn("part", part)
+            merged.select(*fields, "part").repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/v={number}")
         new.unpersist()
+        _commit(path, number, parts | dict.fromkeys(touched, number))
 
     return put
 
 
-def read_ledger(spark: SparkSession, path: str) -> DataFrame:
-    """The ledger that upsert_ledger keeps under path."""
-    return _latest_parts(spark.read.parquet(path))
+def read_ledger(spark: SparkSession, path: str, schema=None) -> DataFrame:
+    """The ledger that upsert_ledger keeps under path, as its newest manifest has it. schema: its columns, which a ledger without rows can't tell."""
+    return _versions(spark, path, _manifest(path)[1], schema)
 
 
 def run_ledger(receipts: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Runs a stream of receipts (repo, sha, requests, seen_requests, usd, first_seen) over what there is into the ledger under path."""
     query = receipts.writeStream.foreachBatch(upsert_ledger(path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return read_ledger(receipts.sparkSession, path)
-
-
-def late_rows(rows: DataFrame, minutes: int = 120) -> DataFrame:
-    """rows with late: whether a session's clock had passed a row by minutes when it came. rows: with came, the order of arrival."""
-    before = Window.partitionBy("session_id").orderBy("came").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("late", F.coalesce(F.col("ts") < F.max("ts").over(before) - F.expr(f"INTERVAL {minutes} MINUTE"), F.lit(False)))
+    return read_ledger(receipts.sparkSession, path, receipts.schema)
 
 
 def baseline(receipts: DataFrame) -> DataFrame:
-    """One row: the median cost of a kept commit, which a daily job writes and each micro-batch reads anew."""
+    """One row: the median cost of a kept commit, or of any with work while fewer than five are kept."""
     return typical(receipts).select("usd", "commits")
+
+
+def write_baseline(receipts: DataFrame, path: str, computed_at: datetime) -> None:
+    """Adds the median of receipts to the table of baselines under path, one row for each time that it was computed; running again replaces the row."""
+    baseline(receipts).write.mode("overwrite").parquet(f"{path}/at={int(computed_at.timestamp() * 1e6)}")
+
+
+def read_baseline(spark: SparkSession, path: str, now: datetime, max_age: timedelta = BASELINE_AGE) -> tuple[float | None, bool]:
+    """The newest usual cost in USD that was computed by now (None: there is none above zero), and whether it is older than max_age or absent."""
+    rows = spark.read.schema("usd double, commits long, at long")
+    fs, top = pyarrow.fs.FileSystem.from_uri(path)
+    if fs.get_file_info(top).type == pyarrow.fs.FileType.NotFound:
+        return None, True
+    limit = int(now.timestamp() * 1e6)
+    newest = rows.parquet(path).where(F.col("at") <= limit).agg(F.max_by(F.struct("at", "usd"), "at").alias("s")).first().s
+    if newest is None:
+        return None, True
+    return newest.usd if newest.usd and newest.usd > 0 else None, limit - newest["at"] > max_age / timedelta(microseconds=1)
+
+
+def run_status(states: DataFrame, path: str, checkpoint: str, baselines: str, refresh: Callable[[], DataFrame] | None = None, clock: Callable[[], datetime] | None = None, max_age: timedelta = BASELINE_AGE) -> DataFrame:
+    """Runs a stream of STATE over what there is into a table of status rows (see status()), each batch a folder of its own.
+
+    Every batch reads the baseline again. One that is too old is computed anew first, from the receipts that refresh gives; without refresh the old one stays in use.
+    """
+    spark = states.sparkSession
+    clock = clock or (lambda: datetime.now(UTC))
+
+    def put(batch: DataFrame, number: int) -> None:
+        now = clock()
+        usual, old = read_baseline(spark, baselines, now, max_age)
+        if old and refresh:
+            write_baseline(refresh(), baselines, now)
+            usual, _ = read_baseline(spark, baselines, now, max_age)
+        nano = F.lit(None).cast("long") if usual is None else F.lit(round(usual * 1e9))
+        status(batch, nano).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/n={number}")
+
+    query = states.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.parquet(path)

@@ -3,7 +3,9 @@
 Benchmark items are cut into pieces of at most PIECE characters, the stride being half of that. A piece of m characters that occurs
 in a text with at most k edits shares at least m - q + 1 - k * q of its q-grams with that place, all of them on diagonals
 (place in the text minus place in the piece) that lie within k of each other. So q-grams that a text shares with a piece
-are counted in overlapping bands of diagonals, bands that reach the bound are kept, and a banded alignment decides.
+are counted in overlapping bands of diagonals, bands that reach the bound are kept, and a banded alignment decides. q is 8, or less for short
+pieces, so that the bound asks for a shared q-gram at the full tenth of edits. Items of fewer than 10 characters have no edits; those of fewer than 8
+match only between characters that don't go on as the item's own words do.
 
 Texts and items are compared with letters lower-cased and each run of white space as one space, so that wrapped and indented copies are
 found; spans point into the text as it is.
@@ -12,7 +14,8 @@ Scale: the benchmark is the query set. It is split into blocks of at most BLOCK_
 broadcast and meets every text in one pass, without a shuffle. A task works on SLICE characters at a time and overlaps
 slices by the longest reach of a match, and counts at most about ENTRIES pairs of a place and an index entry at once, so long texts and
 common q-grams need no more memory than others. q-grams of rulers and padding, which would meet at each place of a run, aren't indexed: a piece
-counts the q-grams it has beside them, and its edits are bounded by these.
+counts the q-grams it has beside them, and its edits are bounded by these. Equal pieces of different items are looked for once. A text that repeats
+itself with some period, a line a thousand times, is searched as if it did so only at the ends of the run: each place in its middle is like one of these.
 """
 
 from __future__ import annotations
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 Q, PIECE, EDITS = 8, 64, 0.1
+#: Items of fewer characters match only as words of their own.
+WORDLIKE = 8
 BLOCK_CHARS, SLICE, ENTRIES = 1_000_000, 1 << 20, 1 << 20
 #: Diagonals a band is moved by; its width is twice that, so any run of BAND diagonals lies inside one band.
 BAND = PIECE // 10 + 4
-#: q-grams that repeat with a period up to this (rulers, padding) say nothing and don't count.
-PERIOD = Q // 2
+#: Shared entries a place, on average, from which a text's repetitions are looked for.
+CROWDED = 16
 _FACTOR = 0x9E3779B97F4A7C15
 _FILTER_BITS = 22
 _OUTSIDE = np.uint32(0x110000)
@@ -69,50 +74,123 @@ def collapsed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
     return points[kept], kept
 
 
-def gram_hashes(points: np.ndarray) -> np.ndarray:
-    """A hash of the Q characters at each place, by doubling."""
-    h, factor, width = points.astype(np.uint64), _FACTOR, 1
-    while width < Q:
-        h = h[: len(h) - width] * np.uint64(factor) + h[width:] if len(h) > width else h[:0]
+def gram_hashes(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """A hash of the q characters at each place, of hashes of 1, 2, 4 and 8 characters."""
+    n = max(0, len(points) - q + 1)
+    block, factor, width, done, out = points.astype(np.uint64), _FACTOR, 1, 0, np.zeros(n, np.uint64)
+    while n:
+        if q & width:
+            out = out * np.uint64(factor) + block[done : done + n]
+            done += width
+        if width * 2 > q:
+            break
+        block = block[:-width] * np.uint64(factor) + block[width:]
         factor, width = factor * factor % 2**64, width * 2
-    return h ^ (h >> np.uint64(29))
+    return out ^ (out >> np.uint64(29))
 
 
-def telling(points: np.ndarray) -> np.ndarray:
-    """Places of the q-grams that count: those that don't repeat with a period up to PERIOD."""
-    windows = np.lib.stride_tricks.sliding_window_view(points, Q) if len(points) >= Q else np.zeros((0, Q), points.dtype)
-    repeats = [(windows[:, p:] == windows[:, :-p]).all(axis=1) for p in range(1, PERIOD + 1)]
-    return np.flatnonzero(~np.any(repeats, axis=0))
+def telling(points: np.ndarray, q: int = Q) -> np.ndarray:
+    """Places of the q-grams that count: those that don't repeat with a period up to q / 2 (rulers, padding)."""
+    windows = np.lib.stride_tricks.sliding_window_view(points, q) if len(points) >= q else np.zeros((0, q), points.dtype)
+    repeats = [(windows[:, p:] == windows[:, :-p]).all(axis=1) for p in range(1, q // 2 + 1)]
+    return np.flatnonzero(~np.any(repeats, axis=0)) if repeats else np.arange(len(windows))
 
 
-def edit_budget(length: int, grams: int, share: float = EDITS) -> int:
+def gram_size(length: int, share: float = EDITS) -> int:
+    """The q of a piece: the largest up to Q at which a place with all its edits still shares a q-gram."""
+    return max(1, min(Q, length // (int(length * share) + 1)))
+
+
+def edit_budget(length: int, grams: int, share: float = EDITS, q: int = Q) -> int:
     """Edits allowed for a piece with so many q-grams: its share of the length, as far as the lemma still asks for at least one shared q-gram."""
-    return max(0, min(int(length * share), (grams - 1) // Q))
+    return max(0, min(int(length * share), (grams - 1) // q))
+
+
+def condensed(points: np.ndarray, reach: int) -> np.ndarray | None:
+    """Places that are left when the middle of each long periodic run is taken out, whole periods of it; None if there is no such run.
+
+    Any reach characters of a run's middle are also found in what is left of it, and runs don't go over the end of a text.
+    """
+    h = gram_hashes(points)
+    if not len(h):
+        return None
+    order = np.argsort(h, kind="stable")
+    back = np.zeros(len(h), np.int64)
+    again = h[order][1:] == h[order][:-1]
+    back[order[1:][again]] = (order[1:] - order[:-1])[again]  # how far back the same characters stood
+    ends = np.concatenate([[0], np.cumsum(points == _OUTSIDE)])
+    at = np.arange(len(h))
+    back[ends[at + Q] > ends[at - back]] = 0
+    edges = np.flatnonzero(np.append(True, back[1:] != back[:-1]))
+    lengths = np.diff(np.append(edges, len(back)))
+    kept = np.ones(len(points), bool)
+    periods = back[edges]
+    long = (periods > 0) & (lengths > 2 * reach + 3 * periods)
+    for a, n, p in zip(edges[long].tolist(), lengths[long].tolist(), periods[long].tolist(), strict=True):
+        side = reach + p
+        kept[a + side : a + side + (n - 2 * side) // p * p] = False
+    return None if kept.all() else np.flatnonzero(kept)
 
 
 class Index:
-    """The pieces of a block of benchmark items, with their q-grams sorted by hash."""
+    """The pieces of a block of benchmark items, in a part for each q."""
 
     def __init__(self, items: list[tuple[int, str]], share: float = EDITS):
-        self.pieces: list[np.ndarray] = []
-        item, hashes, piece, offset, need, edits = [], [], [], [], [], []
+        self.items: list[list[tuple[int, int]]] = []  # (item, its piece's number) of each different piece
+        pieces: dict[bytes, int] = {}
+        sizes: dict[tuple[int, bool], list[tuple[int, np.ndarray]]] = {}
+        number = 0
         for item_id, text in items:
-            points = collapsed(codes(text))[0]
+            points = collapsed(codes(text))[0].astype(np.uint32)
+            if len(points) < Q:  # spaces at its ends would have to stand in the text too
+                points = collapsed(codes(text.strip()))[0].astype(np.uint32)
             ends = [len(points)] if len(points) <= PIECE else [*range(PIECE, len(points), PIECE // 2), len(points)]
-            for end in ends:
+            for end in ends if len(points) else ():
                 part = points[max(0, end - PIECE) : end]
-                at = telling(part)
-                if not len(at):
-                    continue
-                k = edit_budget(len(part), len(at), share)
-                hashes.append(gram_hashes(part)[at])
-                piece.append(np.full(len(at), len(self.pieces), np.int32))
-                offset.append(at.astype(np.int32))
-                need.append(max(1, len(at) - k * Q))
-                edits.append(k)
-                item.append(item_id)
-                self.pieces.append(part)
-        self.item, self.need, self.edits = np.array(item, np.int64), np.array(need, np.int64), np.array(edits, np.int64)
+                key = part.tobytes()
+                if key not in pieces:
+                    pieces[key] = len(self.items)
+                    self.items.append([])
+                    sizes.setdefault((gram_size(len(part), share), len(points) < WORDLIKE), []).append((pieces[key], part))
+                self.items[pieces[key]].append((item_id, number))
+                number += 1
+        self.parts = [Part(q, some, share, wordlike) for (q, wordlike), some in sorted(sizes.items(), key=lambda x: x[0])]
+        self.reach = max((p.reach for p in self.parts), default=2 * BAND)
+
+    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(piece, edits, start, end) for the pieces that occur in points within their budget; starts and ends are those of the band."""
+        return [row for part in self.parts for row in part.find(points, self.reach)]
+
+
+def _goes_on(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether a word goes on between the characters before and at each place."""
+    inside = (at > 0) & (at < len(points))
+    letters = lambda some: np.array([c < 0x110000 and chr(c).isalnum() for c in some.tolist()], bool)
+    out = np.zeros(len(at), bool)
+    out[inside] = letters(points[at[inside] - 1]) & letters(points[at[inside]])
+    return out
+
+
+class Part:
+    """Pieces (number, characters) that have one q, with their q-grams sorted by hash. wordlike: they are of q characters and match as words of their own."""
+
+    def __init__(self, q: int, pieces: list[tuple[int, np.ndarray]], share: float, wordlike: bool):
+        self.wordlike = wordlike
+        self.q, self.pieces = q, []
+        number, hashes, piece, offset, need, edits = [], [], [], [], [], []
+        for n, part in pieces:
+            at = telling(part, q) if int(len(part) * share) else np.arange(len(part) - q + 1)  # without edits a q-gram or two are looked for
+            if not len(at):
+                continue
+            k = edit_budget(len(part), len(at), share, q)
+            hashes.append(gram_hashes(part, q)[at])
+            piece.append(np.full(len(at), len(self.pieces), np.int32))
+            offset.append(at.astype(np.int32))
+            need.append(max(1, len(at) - k * q))
+            edits.append(k)
+            number.append(n)
+            self.pieces.append(part)
+        self.number, self.need, self.edits = np.array(number, np.int64), np.array(need, np.int64), np.array(edits, np.int64)
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
         flat = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(flat, kind="stable")
@@ -129,15 +207,34 @@ class Index:
     def _slot(h: np.ndarray) -> np.ndarray:
         return ((h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)
 
-    def find(self, points: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(piece, edits, start, end) for the pieces that occur in points within their budget; starts and ends are those of the band."""
-        return self._verify(points, *self._bands(len(points), *self._shared(points)))
+    def find(self, points: np.ndarray, reach: int) -> list[tuple[int, int, int, int]]:
+        """As Index.find(). A place that is met across the cut of a condensed run is given at both of its ends."""
+        shared = self._shared(points)
+        if self.wordlike:
+            return self._words(points, shared[0], self.piece[shared[1]])
+        kept = condensed(points, 2 * reach) if shared[2].sum() > CROWDED * len(points) else None
+        if kept is not None:
+            shared = self._shared(points[kept])
+        text = points if kept is None else points[kept]
+        out = []
+        for p, edits, start, end in self._verify(text, *self._bands(len(text), *shared)):
+            first = last = start
+            if kept is not None:
+                first, last = int(kept[min(start, len(kept) - 1)]), int(kept[end - 1]) + 1 - (end - start)
+            out += [(int(self.number[p]), edits, at, at + end - start) for at in {first, last}]
+        return out
+
+    def _words(self, points: np.ndarray, place: np.ndarray, piece: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """Places of whole pieces at whose ends no word goes on."""
+        fine = ~_goes_on(points, place) & ~_goes_on(points, place + self.q)
+        found = zip(place[fine].tolist(), piece[fine].tolist(), strict=True)
+        return [(int(self.number[p]), 0, at, at + self.q) for at, p in found if (points[at : at + self.q] == self.pieces[p]).all()]
 
     def _shared(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Places whose q-gram some piece has, with the first index entry of each and how many it has."""
-        if not len(self.hash) or len(points) < Q:
+        if not len(self.hash) or len(points) < self.q:
             return (np.zeros(0, np.int64),) * 3
-        h = gram_hashes(points)[: len(points) - Q + 1]
+        h = gram_hashes(points, self.q)
         place = np.flatnonzero(self.filter[self._slot(h)])
         at = np.searchsorted(self.distinct, h[place])
         real = at < len(self.distinct)
@@ -224,7 +321,7 @@ def hits(index: Index, texts: Iterator[tuple[int | None, str | None]]) -> Iterat
             a, b = max(0, start - first + offset), end - first + offset
             if stood is not None:
                 a, b = int(stood[a]), int(stood[min(b, len(stood)) - 1]) + 1
-            rows.append((doc, int(index.item[piece]), piece, edits, a, b))
+            rows += [(doc, item, number, edits, a, b) for item, number in index.items[piece]]
         yield rows
 
 

@@ -337,3 +337,130 @@ def test_ids_beyond_doubles_keep_their_shard(spark):
     assert got.where(F.col("page_id").isNotNull()).count() == 50
     spans = got.where("page_id IS NOT NULL").groupBy(F.substring("file", 1, 12)).agg(F.min("page_id").alias("a"), F.max("page_id").alias("b")).orderBy("a").collect()
     assert len(spans) > 3 and all(x["b"] < y["a"] for x, y in itertools.pairwise(spans))
+
+
+# secrets: whole literals
+
+
+def spans(text):
+    from agentmeter.llm import secrets
+
+    return [text[a:b] for k, a, b in secrets.scan(text) if k == "lexed"]
+
+
+def test_literals_are_scored_whole():
+    draw = random.Random(8)
+    noise = "".join(draw.choice("abcXYZ0189+/") for _ in range(5000))
+    assert spans(f'signing_key = "{noise}"') == [noise]
+    assert spans(f'signing_key = "{noise} and then plain words"') == []  # spaces beyond any prefix
+    assert spans(f'signing_key = "{"x" * 5000}"') == spans(f'signing_key = "example {"y" * 70}"') == spans(f'signing_key = "your_{noise}"') == []
+    assert spans(f'a = "{noise[:2500]}"\nb = a + a\nsigning_key = b + b + " "') == []
+
+
+def test_constants_that_double_cost_little():
+    import time
+
+    lines = ['c0 = "Zx81kQ9vLm22pR7t"'] + [f"c{i} = c{i - 1} + c{i - 1}" for i in range(1, 3000)]
+    began = time.time()
+    assert spans("\n".join([*lines, "signing_key = c2999"])) == ["Zx81kQ9vLm22pR7t"]
+    assert time.time() - began < 5
+
+
+def test_values_add_up():
+    from agentmeter.llm import secrets
+
+    draw = random.Random(9)
+    for _ in range(200):
+        parts = ["".join(draw.choice("ab1Z é\n*x.") for _ in range(draw.randrange(60))) for _ in range(3)]
+        value = secrets.Value()
+        for p in parts:
+            value = value.joined(secrets.Value(p))
+        whole = secrets.Value("".join(parts))
+        assert (value.size, value.head, value.counts) == (whole.size, whole.head, whole.counts)
+
+
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("DB_PASS=Zx81kQ9vLm22", ["Zx81kQ9vLm22"]),
+        ("Authorization: Bearer Zx81kQ9vLm22pR7t", ["Zx81kQ9vLm22pR7t"]),
+        ('"Authorization": "Bearer Zx81kQ9vLm22pR7t"', ["Zx81kQ9vLm22pR7t"]),
+        ('<add key="client_secret" value="Zx81kQ9vLm22"/>', ["Zx81kQ9vLm22"]),
+        ("<entry name='db.password'\n   value='Zx81kQ9vLm22'>", ["Zx81kQ9vLm22"]),
+        ('<add key="colour" value="Zx81kQ9vLm22"/>', []),
+        ('password = os.environ["APP_PASSWORD_1"]', []),
+        ("password = load_secret2(9)", []),
+    ],
+)
+def test_forms_of_assignments(text, found):
+    assert spans(text) == found
+
+
+# decontamination: short items, and texts that repeat themselves
+
+
+def found(items, *texts):
+    from agentmeter.llm import decontaminate
+
+    rows = [r for part in decontaminate.hits(decontaminate.Index(items), enumerate(texts)) for r in part]
+    return {(r[0], r[1]) for r in rows}, rows
+
+
+def test_short_items_match_as_words_of_their_own():
+    items = [(1, "2+2=4?!"), (2, "Paris"), (3, "x"), (4, " \n "), (5, "the cat"), (6, "12345678"), (7, "123456789")]
+    texts = ["so 2+2=4?! yes", "paris", "Comparison of parish", "is Paris, x.", "oTHE cats", "a: The\n cat!", "0123456780", "01234567890", "x" * 5000, ""]
+    got, rows = found(items, *texts)
+    assert got == {(0, 1), (1, 2), (3, 2), (3, 3), (5, 5), (6, 6), (7, 6), (7, 7)}
+    assert all(texts[d][a:b].lower().split() == dict(items)[i].lower().split() for d, i, _, _, a, b in rows)
+
+
+@pytest.mark.parametrize("length", [*range(8, 66, 3)])
+def test_pieces_of_any_length_are_found_at_a_tenth_of_edits(length):
+    draw = random.Random(length)
+    item = "".join(draw.choice("abcdefghijklmnopqrstuvw") for _ in range(length))
+    k = length // 10
+    for _ in range(12):
+        noisy = list(item)
+        for at in draw.sample(range(length), k):
+            noisy[at] = draw.choice(["", "#", "#" + item[at]])
+        text = "%" * 30 + "".join(noisy) + "%" * 30
+        assert found([(5, item)], text)[0] == {(0, 5)}
+
+
+def test_repeating_texts_are_searched_at_the_ends_of_their_runs():
+    import time
+
+    from agentmeter.llm import decontaminate
+
+    items = [(i, f"def f{i}(x):\n    return x + 1\n" * 3) for i in range(1000)]
+    line = "    return x + 1\n"
+    began = time.time()
+    long, _ = found(items, line * 60_000)
+    assert time.time() - began < 30
+    assert long == found(items, line * 60)[0]
+    templated = "".join(f"def f{7}(x):\n    return x + 1\n" for _ in range(3000))
+    began = time.time()
+    got, rows = found(items, "begin " + templated + "end")
+    assert time.time() - began < 30 and (0, 7) in got
+    mine = [r for r in rows if r[1] == 7]
+    assert min(r[4] for r in mine) <= 12 and max(r[5] for r in mine) >= len(templated) - 60
+    draw = random.Random(2)
+    for _ in range(20):  # with and without the cut
+        base = "".join(draw.choice("abcdef ") for _ in range(draw.randrange(20, 60)))
+        some = [(i, "".join(draw.choice("abcdef ") for _ in range(40))) for i in range(3)] + [(9, (base * 3)[7:77])]
+        text = "start of it " + base * draw.randrange(20, 60) + some[1][1] + base * 40
+        index = decontaminate.Index(some)
+        plain = [r for part in decontaminate.hits(index, [(1, text)]) for r in part]
+        decontaminate.CROWDED, before = -1, decontaminate.CROWDED
+        cut = [r for part in decontaminate.hits(index, [(1, text)]) for r in part]
+        decontaminate.CROWDED = before
+        ends = lambda rows: {i: (min(r[3] for r in rows if r[1] == i), min(r[4] for r in rows if r[1] == i), max(r[5] for r in rows if r[1] == i)) for i in {r[1] for r in rows}}
+        assert ends(cut).keys() == ends(plain).keys() and {1, 9} <= ends(cut).keys()
+        for i, (edits, a, b) in ends(plain).items():
+            assert ends(cut)[i][0] == edits and abs(ends(cut)[i][1] - a) <= 6 and abs(ends(cut)[i][2] - b) <= 6
+
+
+def test_runs_do_not_go_over_the_ends_of_texts():
+    copies = ["a text that many documents hold, word for word, each of them once; "] * 400
+    got, _ = found([(1, "that many documents hold, word for word")], *copies)
+    assert got == {(i, 1) for i in range(400)}

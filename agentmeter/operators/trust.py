@@ -13,6 +13,11 @@ OUTCOMES = ("passed", "tests_failed", "timeout", "budget_hit", "agent_error")
 ANSWERS = ("SUPPORTED", "NOT SUPPORTED", "NOT PROVEN")
 PRIVATE_NAME = r"^(custom|cmd)(-[12])?$"
 RATIO_TOLERANCE = 0.05
+REQUEST_BUCKETS = ("1-5", "6-20", "21-50", "51+")
+NAME, WEEK = r"^[\w.+@\-]{1,60}$", r"^\d{4}-W(0[1-9]|[1-4]\d|5[0-3])$"
+SHA, HASH, REPO_ID = "^[0-9a-f]{40}$", "^[0-9a-f]{64}$", "^[0-9a-f]{24}$"
+PRIVATE_TEXT = r"https?://|\b[0-9a-fA-F]{40}\b"
+CONTROL = r"[\x00-\x08\x0b-\x1f\x7f\u200e\u200f\u202a-\u202e\u2066-\u2069]"
 
 
 def published(runs: DataFrame, urls: DataFrame, home: str) -> DataFrame:
@@ -38,29 +43,27 @@ def run_rules() -> dict[str, Column]:
         "bad wall time or repeat": (c("wall_s") >= 0) & (c("repeat") >= 0),
         "bad tokens": c("tokens").isNull() | ((F.size("tokens") == 4) & F.forall("tokens", lambda t: t >= 0)),
         "bad energy": c("wh").isNull() | ((F.size("wh") == 2) & (F.get("wh", F.lit(0)) >= 0) & (F.get("wh", F.lit(0)) <= F.get("wh", F.lit(1)))),
-        "unknown request bucket": c("requests").isNull() | c("requests").isin("1-5", "6-20", "21-50", "51+"),
-        "commit isn't of its kind": F.when(c("public"), c("commit").rlike("^[0-9a-f]{40}$")).otherwise(c("commit").rlike("^[0-9]+$")),
+        "unknown request bucket": c("requests").isNull() | c("requests").isin(*REQUEST_BUCKETS),
+        "commit isn't of its kind": F.when(c("public"), c("commit").rlike(SHA)).otherwise(c("commit").rlike("^[0-9]+$")),
     }
 
 
 def upload_rules() -> dict[str, Column]:
     """What the head of an upload must keep."""
     c = F.col
-    name = r"^[\w.+@\-]{1,60}$"
-    control = r"[\x00-\x08\x0b-\x1f\x7f‎‏‪-‮⁦-⁩]"
     text = F.concat_ws(" ", "baseline", "challenger", F.coalesce("affiliation", F.lit("")))
     return {
         "too large": c("size") <= MAX_BYTES,
         "file name isn't the hash": c("file_name") == c("sha256"),
         "under another submitter": c("author").isNull() | (c("author") == c("submitter")),
         "public isn't said": c("public").isNotNull(),
-        "control characters": ~text.rlike(control),
-        "private record with address or commit": c("public") | ~text.rlike(r"https?://|\b[0-9a-fA-F]{40}\b"),
-        "repo_id": F.when(c("repo_id").isNull(), c("public")).otherwise(c("repo_id").rlike("^[0-9a-f]{24}$")),
-        "setup name": c("baseline").rlike(name) & c("challenger").rlike(name),
-        "week": c("week").rlike(r"^\d{4}-W(0[1-9]|[1-4]\d|5[0-3])$"),
+        "control characters": ~text.rlike(CONTROL),
+        "private record with address or commit": c("public") | ~text.rlike(PRIVATE_TEXT),
+        "repo_id": F.when(c("repo_id").isNull(), c("public")).otherwise(c("repo_id").rlike(REPO_ID)),
+        "setup name": c("baseline").rlike(NAME) & c("challenger").rlike(NAME),
+        "week": c("week").rlike(WEEK),
         "affiliation too long": c("affiliation").isNull() | (F.length("affiliation") <= 100),
-        "rerun_of": c("rerun_of").isNull() | (c("rerun_of").rlike("^[0-9a-f]{64}$") & c("public")),
+        "rerun_of": c("rerun_of").isNull() | (c("rerun_of").rlike(HASH) & c("public")),
         "claim or task mode": c("claim_kind").isin("agent", "model", "setup") & c("task_mode").isin("hint", "tests"),
         "counts": (c("superseded_attempts") >= 0) & (c("excluded_commits") >= 0),
         "answer": c("answer").isin(*ANSWERS),
@@ -71,16 +74,19 @@ def upload_rules() -> dict[str, Column]:
 def validated(uploads: DataFrame, runs: DataFrame) -> DataFrame:
     """(sha256, problems): broken rules of each upload's head, of its runs, and what its runs leave out.
 
-    runs: sha256 and the fields of run_rules. Runs are checked as rows; a complete upload has every commit, setup and repeat once.
+    runs: sha256 and the fields of run_rules. Runs are checked as rows; a complete upload has every commit and repeat once on both sides. Raw files are
+    for operators.uploads, which sees fields and types that columns can't show.
     """
     head = uploads.select("sha256", problems(upload_rules()).alias("head"))
     sides = uploads.select("sha256", "baseline", "challenger", "public")
     joined = runs.join(sides, "sha256").withColumn("broken", problems(run_rules()))
     key = ["sha256", "commit", "setup", "repeat"]
-    once = joined.groupBy(*key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("broken")).alias("broken"))
+    ours = F.coalesce(F.col("setup").isin(F.col("baseline"), F.col("challenger")), F.lit(False))
+    sides_of = F.when(F.col("baseline") == F.col("challenger"), 1).otherwise(2)
+    once = joined.groupBy(*key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("broken")).alias("broken"), F.max(ours).alias("ours"), F.max(sides_of).alias("sides"))
     per = once.groupBy("sha256").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("broken")))).alias("broken"), F.max("n").alias("most"), F.count("*").alias("keys"),
-        (F.count_distinct("commit") * F.count_distinct("setup") * F.count_distinct("repeat")).alias("full"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("broken")))).alias("broken"), F.max("n").alias("most"), F.count_if("ours").alias("keys"),
+        (F.count_distinct("commit") * F.max("sides") * F.count_distinct("repeat")).alias("full"),
     )
     of_runs = F.array_union("broken", F.array_compact(F.array(F.when(F.col("most") > 1, "duplicate run"), F.when(F.col("keys") < F.col("full"), "incomplete"))))
     return head.join(per, "sha256", "left").select("sha256", F.array_union("head", F.coalesce(of_runs, F.array(F.lit("no runs")))).alias("problems"))
@@ -116,17 +122,20 @@ def integrity(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded
     return out.fillna(0, ["missing", "redone", "excluded"]).withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
 
 
-def record(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded: DataFrame, salt: str) -> DataFrame:
+def record(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded: DataFrame, secret: str) -> DataFrame:
     """records (sha256, public, ...) with runs, superseded_attempts and excluded_commits as arrays, as they may be published.
 
-    Private fields of runs (run_id, note, repo) are dropped, and commits of private records are hashed with the salt, which stays with the submitter.
+    Private fields of runs (run_id, note, repo) are dropped, and commits of private records are hashed with a key of the record's own, derived from the
+    submitter's secret and the record's sha256: within a record equal commits have equal hashes, but not across records. The secret is never written.
     Attempts that were made again and commits left out stay visible. A record's runs are a few hundred. Records without any have empty arrays.
     """
-    shown = F.when(F.col("public"), F.col("commit").cast("string")).otherwise(F.substring(F.sha2(F.concat(F.lit(salt), F.col("commit").cast("string")).cast("binary"), 256), 1, 16))
+    digest = lambda *parts: F.sha2(F.concat_ws(":", *parts).cast("binary"), 256)
+    keys = records.select("sha256", "public", F.when(~F.col("public"), digest(F.lit(secret), "sha256")).alias("__key"))
+    shown = F.when(F.col("public"), F.col("commit").cast("string")).otherwise(F.substring(digest("__key", F.col("commit").cast("string")), 1, 16))
     out = records
     for rows, name in ((runs, "runs"), (attempts, "superseded_attempts"), (excluded, "excluded_commits")):
         fields = [x for x in rows.columns if x not in ("sha256", "commit", "run_id", "note", "repo")]
-        hidden = rows.join(records.select("sha256", "public"), "sha256").select("sha256", F.struct(shown.alias("commit"), *fields).alias("r"))
+        hidden = rows.join(keys, "sha256").select("sha256", F.struct(shown.alias("commit"), *fields).alias("r"))
         listed = hidden.groupBy("sha256").agg(F.sort_array(F.collect_list("r")).alias(name))
         out = out.join(listed, "sha256", "left").withColumn(name, F.coalesce(name, F.array().cast(listed.schema[name].dataType)))
     return out

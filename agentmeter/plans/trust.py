@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
 from agentmeter.operators import trust
+from agentmeter.operators import uploads as upload_ops
 from agentmeter.plans.registry import PIECES, query
 from agentmeter.plans.rollup import rounded
 
@@ -60,7 +61,7 @@ def uploads(spark, sf_dir):
 # What is wrong with an upload, by its number: each rule is broken by some.
 PIECES["upload_problems"] = """SELECT n, sha256, list_filter([CASE WHEN n % 29 = 0 THEN 'too large' END, CASE WHEN n % 31 = 0 THEN 'file name isn''t the hash' END, CASE WHEN NOT public AND n % 37 = 0 THEN 'private record with address or commit' END, CASE WHEN n % 41 = 0 THEN 'week' END,
     CASE WHEN rerun_of IS NOT NULL AND NOT public THEN 'rerun_of' END, CASE WHEN n % 43 = 0 THEN 'counts' END], lambda x: x IS NOT NULL) AS head FROM uploads"""
-PIECES["run_problems"] = """SELECT sha256, list_sort(list_distinct(flatten(list(broken)))) AS broken, max(n) AS most, count(*) AS keys, count(DISTINCT commit) * count(DISTINCT setup) * count(DISTINCT repeat) AS full_ FROM (
+PIECES["run_problems"] = """SELECT sha256, list_sort(list_distinct(flatten(list(broken)))) AS broken, max(n) AS most, count(*) AS keys, count(DISTINCT commit) * 2 * count(DISTINCT repeat) AS full_ FROM (
     SELECT sha256, commit, setup, repeat, count(*) AS n, flatten(list(list_filter([CASE WHEN tokens % 900 = 0 THEN 'bad cost' END, CASE WHEN cents % 10 = 3 THEN 'unknown outcome' END, CASE WHEN cents % 10 = 3 AND passed THEN 'passed doesn''t match outcome' END], lambda x: x IS NOT NULL))) AS broken
     FROM (SELECT *, pos % 2 AS repeat FROM upload_runs) GROUP BY ALL) GROUP BY sha256"""
 
@@ -81,6 +82,75 @@ def o_q1(spark, sf_dir):
     return trust.validated(u, r).select("sha256", F.array_join("problems", ";").alias("problems"))
 
 
+# Uploads as files, with what is put in the place of what, so that every rule is broken by some: (divisor of n, remainder for private ones only, text, its
+# replacement, rule). Rules of heads stand in their order.
+HEAD_BREAKS = [
+    (67, True, '"public":false', '"public":0', "public isn't said"), (47, False, '{"usage_upload"', '{"home":"x","usage_upload"', "other fields"),
+    (101, False, '"affiliation":"a', '"affiliation":"\u202e', "control characters"), (37, True, '"affiliation":"', '"affiliation":"https://a.example ', "private record with address or commit"),
+    (3, True, '"baseline":{', '"baseline":{"command":"x",', "private side's fields"), (149, False, '"repo_id":"', '"repo_id":"Z', "repo_id"), (139, False, '"claude-code', '"claude code', "setup name"),
+    (109, False, '"week":"', '"week":"x', "week"), (151, False, '"affiliation":"', '"affiliation":"' + "long " * 20, "affiliation"), (137, False, '"claim_kind":"model"', '"claim_kind":"idea"', "claim or task mode"),
+    (113, False, '"superseded_attempts":0', '"superseded_attempts":0.5', "counts"), (53, False, '"versions":{', '"versions":{"shell":"zsh",', "versions"), (103, False, '"answer":"', '"answer":"MAYBE ', "answer"),
+    (107, False, '"cost_ratio":', '"cost_ratio":-', "cost ratio"), (71, False, '"energy":{"verdict"', '"energy":{"said"', "energy verdict"),
+]
+RUN_BREAKS = [
+    (61, '"outcome":', '"note":"x","outcome":', "other fields"), (73, '"agent":"claude"', '"agent":7', "agent or model"), (59, '"cost_known":true', '"cost_known":"true"', "bad cost"),
+    (89, '"tokens_check":"ok"', '"tokens_check":3', "requests or tokens check"), (97, '"repeat":0', '"repeat":"0"', "bad wall time or repeat"), (43, '"wh":[0.1', '"wh":[0.3', "bad energy"), (41, '"tokens":[', '"tokens":[1.5,', "bad tokens"),
+]
+OTHER_BREAKS = [(79, '"kind":"verify"', '"kind":"other"'), (83, '"kind":"verify",', '"kind":"verify"')]
+
+
+def upload_files(spark, sf_dir):
+    """(submitter, file_name, sha256, size, text, author) of the uploads, some of them spoilt."""
+    n, c = F.col("n"), F.col
+    run = lambda commit: F.to_json(F.struct(
+        commit.alias("commit"), "setup", (c("pos") % 2).cast("long").alias("repeat"), F.when(c("cents") % 10 == 3, "lost").when(c("passed"), "passed").otherwise("timeout").alias("outcome"), "passed", F.lit("m").alias("model"), F.lit("claude").alias("agent"),
+        F.lit(True).alias("cost_known"), F.when(c("tokens") % 900 == 0, -1.0).otherwise(1.0).alias("cost_usd"), F.lit(5.5).alias("wall_s"), F.array_repeat("tokens", 4).alias("tokens"), F.array(F.lit(0.1), F.lit(0.2)).alias("wh"), F.lit("1-5").alias("requests"), F.lit("ok").alias("tokens_check"),
+    ))
+    told = F.when(n % 5 != 0, run(F.lpad(c("commit").cast("string"), 40, "0"))).otherwise(run(c("commit").cast("long")))
+    runs = upload_runs(spark, sf_dir).select("n", F.struct("pos", told.alias("text")).alias("r")).groupBy("n").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"])).alias("runs"))
+    rows = uploads(spark, sf_dir).join(runs, "n", "left")
+    side = lambda name: F.struct(c(name).alias("name"), F.lit("m").alias("model"))
+    head = F.to_json(F.struct(
+        F.lit(1).alias("usage_upload"), F.lit("verify").alias("kind"), "week", F.lit("model").alias("claim_kind"), "task_mode", "public", "repo_id", F.struct(F.lit("1").alias("agentmeter"), F.lit("2").alias("prices")).alias("versions"), side("baseline").alias("baseline"),
+        side("challenger").alias("challenger"), F.struct("answer", F.lit(0.8).alias("cost_ratio"), F.struct(F.lit("uses less").alias("verdict")).alias("energy")).alias("verdict"), F.lit(0).alias("superseded_attempts"), F.lit(0).alias("excluded_commits"), "rerun_of", F.lit("a lab").alias("affiliation"),
+    ))
+    text = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"runs":['), F.coalesce("runs", F.lit("")), F.lit("]}"))
+    for every, private, old, new, _ in HEAD_BREAKS:
+        text = F.replace(text, F.lit(old), F.when((n % every == 0) & (~c("public") | F.lit(not private)), new).otherwise(old))
+    for every, old, new, *_ in [*RUN_BREAKS, *OTHER_BREAKS]:
+        text = F.replace(text, F.lit(old), F.when(n % every == 0, new).otherwise(old))
+    rows = rows.withColumn("head", head).select("*", F.explode(F.array(text)).alias("text"))
+    return rows.select(
+        "submitter", F.when(n % 127 == 0, "x").otherwise(c("sha256")).alias("file_name"), "sha256", F.when(n % 29 == 0, trust.MAX_BYTES + 1).otherwise(F.octet_length("text")).alias("size"), "text", F.when(n % 131 == 0, "zz").otherwise(c("submitter")).alias("author"),
+    )
+
+
+_quoted = lambda text: "'" + text.replace("'", "''") + "'"
+_head_sql = [f"CASE WHEN n % {every} = 0{' AND NOT public' * private} THEN {_quoted(rule)} END" for every, private, _, _, rule in HEAD_BREAKS]
+_head_sql.insert(9, "CASE WHEN rerun_of IS NOT NULL AND NOT public THEN 'rerun_of' END")
+_run_sql = [f"CASE WHEN n % {every} = 0{' AND pos % 2 = 0' * (every == 97)}{' OR tokens % 900 = 0' * (every == 59)} THEN {_quoted(rule)} END" for every, _, _, rule in RUN_BREAKS]
+_listed = lambda cases: f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
+PIECES["json_runs"] = f"""SELECT n, rule, rule || ' (runs ' || string_agg(CAST(place AS VARCHAR), ', ' ORDER BY place) || ')' AS text FROM (
+    SELECT n, place, unnest({_listed([*_run_sql, "CASE WHEN cents % 10 = 3 THEN 'unknown outcome' END", "CASE WHEN cents % 10 = 3 AND passed THEN 'passed doesn''t match outcome' END"])}) AS rule
+    FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) - 1 AS place FROM upload_runs)) GROUP BY n, rule"""
+PIECES["json_sets"] = """SELECT n, max(times) AS most, count(DISTINCT commit) * 2 * count(DISTINCT repeat) - count(*) AS missing
+    FROM (SELECT n, commit, setup, pos % 2 AS repeat, count(*) AS times FROM upload_runs GROUP BY ALL) GROUP BY n"""
+PIECES["json_uploads"] = f"""SELECT u.*, {_listed(["CASE WHEN u.n % 127 = 0 THEN 'file name isn''t the hash' END", "CASE WHEN u.n % 131 = 0 THEN 'under another submitter' END"])} AS of_file, {_listed(_head_sql).replace("n %", "u.n %")} AS of_head,
+    coalesce((SELECT list(text ORDER BY text) FROM json_runs j WHERE j.n = u.n), []) AS of_runs, {_listed(["CASE WHEN most > 1 THEN 'duplicate run' END", "CASE WHEN missing > 0 THEN 'incomplete' END"])} AS of_set, s.n IS NULL AS bare
+    FROM uploads u LEFT JOIN json_sets s ON s.n = u.n"""
+
+
+@query(
+    "o_q1_upload_json",
+    """SELECT sha256, array_to_string(CASE WHEN n % 29 = 0 THEN ['too large'] WHEN n % 83 = 0 THEN list_concat(of_file, ['not JSON']) WHEN n % 79 = 0 THEN list_concat(of_file, ['not an upload'])
+      WHEN bare THEN list_concat(of_file, list_filter(of_head, lambda x: x IN ('public isn''t said', 'other fields')), ['no runs'])
+      ELSE list_concat(of_file, of_head, of_runs, of_set) END, ';') AS problems
+    FROM json_uploads""",
+)
+def o_q1_json(spark, sf_dir):
+    return upload_ops.validate(upload_files(spark, sf_dir)).select("sha256", F.array_join("problems", ";").alias("problems"))
+
+
 @query("o_q2_verdict_recheck", """SELECT sha256, array_to_string(list_filter([CASE WHEN same_model THEN 'energy verdict of other models' END, CASE WHEN answer = 'SUPPORTED' AND NOT (c_solved > 0 AND coalesce(b_rate - c_rate <= 0.10, false)) THEN 'supported but solves fewer' END,
     CASE WHEN b_per IS NOT NULL AND c_per IS NOT NULL AND NOT abs(c_per / b_per - claimed) <= greatest(1.0, claimed) * 0.05 THEN 'cost ratio doesn''t match' END, CASE WHEN answer = 'SUPPORTED' AND same_model THEN 'supported without less energy' END,
     CASE WHEN answer = 'SUPPORTED' AND NOT same_model AND NOT coalesce(claimed <= 0.9, false) THEN 'supported without lower cost' END], lambda x: x IS NOT NULL), ';') AS problems FROM (SELECT *, n % 3 = 0 AS same_model, CASE WHEN n % 7 = 0 THEN cost_ratio * 1.5 ELSE cost_ratio END AS claimed FROM uploads)""")
@@ -187,7 +257,7 @@ def o_a31(spark, sf_dir):
     return trust.evidence(u, u)
 
 
-_HIDE = "CASE WHEN public THEN CAST(commit AS VARCHAR) ELSE substr(sha256('salt' || commit), 1, 16) END"
+_HIDE = "CASE WHEN public THEN CAST(commit AS VARCHAR) ELSE substr(sha256(sha256('salt:' || s.sha256) || ':' || commit), 1, 16) END"
 PIECES["hidden_runs"] = f"SELECT s.sha256, r.*, {_HIDE} AS shown FROM sides s JOIN (SELECT sha256 AS h, * EXCLUDE (sha256) FROM record_runs) r ON r.h = s.sha256"
 
 

@@ -107,7 +107,7 @@ def upload_files(spark, sf_dir):
         F.lit(True).alias("cost_known"), F.when(c("tokens") % 900 == 0, -1.0).otherwise(1.0).alias("cost_usd"), F.lit(5.5).alias("wall_s"), F.array_repeat("tokens", 4).alias("tokens"), F.array(F.lit(0.1), F.lit(0.2)).alias("wh"), F.lit("1-5").alias("requests"), F.lit("ok").alias("tokens_check"),
     ))
     told = F.when(n % 5 != 0, run(F.lpad(c("commit").cast("string"), 40, "0"))).otherwise(run(c("commit").cast("long")))
-    runs = upload_runs(spark, sf_dir).select("n", F.struct("pos", told.alias("text")).alias("r")).groupBy("n").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"])).alias("runs"))
+    runs = upload_runs(spark, sf_dir).select("n", F.struct("pos", "cents", "commit", "tokens", "setup", "passed", told.alias("text")).alias("r")).groupBy("n").agg(F.concat_ws(",", F.transform(F.array_sort(F.collect_list("r")), lambda r: r["text"])).alias("runs"))
     rows = uploads(spark, sf_dir).join(runs, "n", "left")
     side = lambda name: F.struct(c(name).alias("name"), F.lit("m").alias("model"))
     head = F.to_json(F.struct(
@@ -132,7 +132,7 @@ _run_sql = [f"CASE WHEN n % {every} = 0{' AND pos % 2 = 0' * (every == 97)}{' OR
 _listed = lambda cases: f"list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)"
 PIECES["json_runs"] = f"""SELECT n, rule, rule || ' (runs ' || string_agg(CAST(place AS VARCHAR), ', ' ORDER BY place) || ')' AS text FROM (
     SELECT n, place, unnest({_listed([*_run_sql, "CASE WHEN cents % 10 = 3 THEN 'unknown outcome' END", "CASE WHEN cents % 10 = 3 AND passed THEN 'passed doesn''t match outcome' END"])}) AS rule
-    FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos) - 1 AS place FROM upload_runs)) GROUP BY n, rule"""
+    FROM (SELECT *, row_number() OVER (PARTITION BY n ORDER BY pos, cents, commit, tokens, setup, passed) - 1 AS place FROM upload_runs)) GROUP BY n, rule"""
 PIECES["json_sets"] = """SELECT n, max(times) AS most, count(DISTINCT commit) * 2 * count(DISTINCT repeat) - count(*) AS missing
     FROM (SELECT n, commit, setup, pos % 2 AS repeat, count(*) AS times FROM upload_runs GROUP BY ALL) GROUP BY n"""
 PIECES["json_uploads"] = f"""SELECT u.*, {_listed(["CASE WHEN u.n % 127 = 0 THEN 'file name isn''t the hash' END", "CASE WHEN u.n % 131 = 0 THEN 'under another submitter' END"])} AS of_file, {_listed(_head_sql).replace("n %", "u.n %")} AS of_head,

@@ -1,10 +1,12 @@
 """Uploads as raw JSON, and hashes of private records."""
 
 import json
+import re
 
 import pytest
 
 from agentmeter.operators import trust, uploads
+from agentmeter.operators.transcripts import SCRIPT_EXPORT
 
 RUN = {"commit": "a" * 40, "setup": "one", "repeat": 0, "outcome": "passed", "passed": True, "model": None, "agent": "claude", "cost_known": True, "cost_usd": 0.5, "wall_s": 3, "tokens": [1, 2, 3, 4], "wh": [0.1, 0.2], "requests": "1-5", "tokens_check": "ok"}
 GOOD = {
@@ -89,3 +91,15 @@ def test_one_side_alone_is_incomplete(spark):
     head = spark.createDataFrame([("u", 1, "u", "a", "a", True, "b" * 24, "one", "two", "2026-W01", None, None, "model", "hint", 0, 0, "SUPPORTED", None)], "sha256 string, size long, file_name string, author string, submitter string, public boolean, repo_id string, baseline string, challenger string, week string, affiliation string, rerun_of string, claim_kind string, task_mode string, superseded_attempts int, excluded_commits int, answer string, cost_ratio double")
     run = spark.createDataFrame([("u", "a" * 40, "one", 0, "passed", True, 1.0, 1.0, [1, 1, 1, 1], [0.1, 0.2], "1-5")], "sha256 string, commit string, setup string, repeat int, outcome string, passed boolean, cost_usd double, wall_s double, tokens array<long>, wh array<double>, requests string")
     assert trust.validated(head, run).first().problems == ["incomplete"]
+
+
+@pytest.mark.parametrize(
+    ("line", "name"),
+    [
+        ("export default async function go() {", "go"), ("export function* gen() {", "gen"), ("export abstract class A {", "A"), ("export const enum E {", "E"), ("export * as ns from './x'", "ns"),
+        ("export declare const y: number", "y"), ("export namespace N {", "N"), ("export type T = 1", "T"), ("export { x }", None), ("export default 3", None),
+    ],
+)
+def test_export_forms(line, name):
+    found = re.findall(SCRIPT_EXPORT, line)
+    assert found == ([name] if name else [])

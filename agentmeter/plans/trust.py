@@ -96,7 +96,7 @@ RUN_BREAKS = [
     (61, '"outcome":', '"note":"x","outcome":', "other fields"), (73, '"agent":"claude"', '"agent":7', "agent or model"), (59, '"cost_known":true', '"cost_known":"true"', "bad cost"),
     (89, '"tokens_check":"ok"', '"tokens_check":3', "requests or tokens check"), (97, '"repeat":0', '"repeat":"0"', "bad wall time or repeat"), (43, '"wh":[0.1', '"wh":[0.3', "bad energy"), (41, '"tokens":[', '"tokens":[1.5,', "bad tokens"),
 ]
-OTHER_BREAKS = [(79, '"kind":"verify"', '"kind":"other"'), (83, '"kind":"verify",', '"kind":"verify"')]
+OTHER_BREAKS = [(79, '"kind":"verify"', '"kind":"other"'), (83, '"task_mode":"hint"', '"task_mode":"hint')]
 
 
 def upload_files(spark, sf_dir):

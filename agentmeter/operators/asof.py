@@ -18,9 +18,9 @@ def forward(rows: DataFrame, marks: DataFrame, keys: list[str], at: Column, mark
     mark is what is carried (a struct, say). tie orders fields of mark among marks of one time.
     """
     line = _line(rows, marks, keys, at, mark_at, mark)
-    order = [F.col("__at"), F.col("__row").desc(), *[F.col(f"__mark.{t}") for t in tie or []]]
-    following = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    out = line.withColumn(name, F.first("__mark", ignorenulls=True).over(following)).where("__row")
+    order = [F.col("__at").desc(), F.col("__row"), *[F.col(f"__mark.{t}").desc() for t in tie or []]]
+    after = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # backwards in time: a frame that grows is kept up, one that shrinks is read anew for each row
+    out = line.withColumn(name, F.last("__mark", ignorenulls=True).over(after)).where("__row")
     return out.drop("__at", "__mark", "__row")
 
 

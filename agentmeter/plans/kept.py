@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from agentmeter import fixtures as fx
 from agentmeter.operators import kept
 from agentmeter.plans.registry import PIECES, query
+from agentmeter.sources import shared
 
 _NOW = f"TIMESTAMP '{fx.NOW}'"
 PIECES["patch_base"] = "SELECT * FROM patch_commits WHERE sha < 1000000"
@@ -44,7 +46,7 @@ def now():
 
 class History:
     def __init__(self, spark, sf_dir):
-        self.all, self.lines = fx.patch_commits(spark, sf_dir), fx.commit_lines(spark, sf_dir).persist(StorageLevel.MEMORY_AND_DISK)  # read by every branch
+        self.all, self.lines = fx.patch_commits(spark, sf_dir), fx.commit_lines(spark, sf_dir)
         self.base, self.on_ref, self.refs = self.all.where("sha < 1000000"), fx.ref_commits(spark, sf_dir), fx.repo_refs(spark, sf_dir)
         digest = F.md5(F.col("sha").cast("string"))
         self.hashed = self.base.withColumn("hash", F.substring(F.concat(digest, digest), 1, 40))
@@ -52,11 +54,19 @@ class History:
         self.bodies = self.hashed.where("sha % 13 = 5").select("repo", F.concat(F.lit("Back out.\nThis reverts commit "), "hash", F.lit(". See "), F.upper("hash")).alias("body"))
         self.ledger = self.hashed.select("repo", "sha", "hash", "ts", (F.col("sha") % 97 + 1).alias("cents"), (F.col("sha") % 7).alias("author"))
 
+    @cached_property
+    def rows(self):
+        return shared.written(kept.keyed(self.lines, self.all, self.on_ref), "keyed")
+
+    @cached_property
+    def read(self):
+        return self.rows, shared.written(kept.facts(self.rows), "facts")
+
     def statuses(self):
-        return kept.statuses(self.base, self.all, self.lines, self.on_ref, self.refs, now())
+        return kept.statuses(self.base, self.all, self.lines, self.on_ref, self.refs, now(), self.read)
 
     def outcomes(self):
-        return kept.judged(self.ledger, self.statuses(), kept.reverted(self.bodies), kept.rework_share(self.all, self.lines, self.on_ref), now())
+        return kept.judged(self.ledger, self.statuses(), kept.reverted(self.bodies), kept.rework_share(self.all, self.lines, self.on_ref, self.read), now())
 
 
 @query("o_j10_reachable", "SELECT p.repo, p.sha, r.sha IS NOT NULL AS on_ref FROM patch_commits p LEFT JOIN ref_commits r ON r.repo = p.repo AND r.sha = p.sha")
@@ -68,13 +78,13 @@ def o_j10(spark, sf_dir):
 @query("o_j11_patch_id_match", "SELECT repo, sha FROM picks")
 def o_j11(spark, sf_dir):
     h = History(spark, sf_dir)
-    return kept.picked(h.candidates, h.lines, h.on_ref)
+    return kept.picked(h.candidates, h.rows)
 
 
 @query("o_j12_squash_containment", "SELECT repo, sha FROM squashes")
 def o_j12(spark, sf_dir):
     h = History(spark, sf_dir)
-    return kept.squashed(h.candidates, h.lines, h.all, h.on_ref)
+    return kept.squashed(h.candidates, h.lines, h.all, h.on_ref, h.read)
 
 
 @query("o_j13_reverts", "SELECT repo, hash FROM reverts")
@@ -85,7 +95,7 @@ def o_j13(spark, sf_dir):
 @query("o_j14_rework_share", "SELECT repo, sha, added, gone FROM rework")
 def o_j14(spark, sf_dir):
     h = History(spark, sf_dir)
-    return kept.rework_share(h.all, h.lines, h.on_ref)
+    return kept.rework_share(h.all, h.lines, h.on_ref)  # one pass: nothing to write
 
 
 @query("o_a34_kept_status", "SELECT repo, sha, status FROM statuses")

@@ -2,6 +2,7 @@
 
 import datetime as dt
 import hashlib
+import random
 import hmac
 import json
 
@@ -305,6 +306,35 @@ def test_weeks_merge_until_enough_people_are_in_them(spark):
     assert rollup.merged_weeks(noted.limit(0), 2).count() == 0
 
 
+def test_forward_asof_equals_a_search(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice("aab"), ts(rng.randrange(60))) for i in range(200)]
+    marks = [(rng.choice("ab"), ts(rng.randrange(60)), i) for i in range(25)]
+    got = asof.forward(spark.createDataFrame(rows, "i long, k string, ts timestamp"), spark.createDataFrame(marks, "k string, at timestamp, n long"), ["k"], F.col("ts"), F.col("at"), F.struct("at", "n"), ["n"])
+    want = {i: min(((at, n) for key, at, n in marks if key == k and at >= t), default=None) for i, k, t in rows}
+    assert {r.i: r.mark and tuple(r.mark) for r in got.collect()} == want
+
+
+def test_lines_of_commits_equal_brute_force(spark):
+    rng, day = random.Random(5), 86_400
+    commits = [(f"r{i % 2}", f"c{i}", rng.randrange(100) * day) for i in range(120)]
+    lines = {(r, c, rng.choice("fg"), rng.choice("++-"), rng.choice(["}", "x = 1", "y"]) if rng.random() < 0.7 else f"line {rng.randrange(12)}") for r, c, _ in commits[1:] for _ in range(rng.randrange(5))}
+    lines |= {("r0", "c0", "f", "+", f"long {i}") for i in range(300)} | {("r0", "late", "f", "+", f"long {i}") for i in range(301)} | {("r0", "short", "f", "+", f"long {i}") for i in range(299)}
+    commits += [("r0", "late", commits[0][2] + 30 * day), ("r0", "short", commits[0][2] + day)]
+    on = {(r, c) for r, c, _ in commits if c in ("late", "short") or c != "c0" and rng.random() < 0.6}
+    plus = {(r, c): {x[2::2] for x in lines if x[:2] == (r, c) and x[3] == "+"} for r, c, _ in commits}
+    minus = {(r, c): {x[2::2] for x in lines if x[:2] == (r, c) and x[3] == "-"} for r, c, _ in commits}
+    near = lambda r, t, least: [(r, c) for q, c, at in commits if q == r and (r, c) in on and least <= at - t <= 30 * day]
+    squash = {(r, c) for r, c, t in commits if (r, c) not in on and plus[r, c] and any(plus[r, c] <= plus[u] for u in near(r, t, 0))}
+    rework = {(r, c, len(plus[r, c]), sum(any(x in minus[u] for u in near(r, t, 1)) for x in plus[r, c])) for r, c, t in commits if plus[r, c]}
+    df = spark.createDataFrame([(r, c, ts(t)) for r, c, t in commits], "repo string, sha string, ts timestamp")
+    patch, ref = spark.createDataFrame(list(lines), "repo string, sha string, path string, side string, line string"), spark.createDataFrame(list(on), "repo string, sha string")
+    off = df.join(ref, ["repo", "sha"], "left_anti")
+    assert {tuple(r) for r in kept.squashed(off, patch, df, ref).collect()} == squash and ("r0", "c0") in squash and len(squash) > 5
+    assert {tuple(r) for r in kept.rework_share(df, patch, ref).collect()} == rework and any(r[3] for r in rework)
+    assert kept.squashed(off, patch.limit(0), df, ref).count() == 0
+
+
 def test_plans_have_no_nested_loops(spark, sf):
     w = World(spark, sf)
     history = fx.patch_commits(spark, sf)

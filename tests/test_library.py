@@ -2,9 +2,10 @@
 
 import datetime as dt
 import hashlib
-import random
 import hmac
 import json
+import random
+import time
 
 import numpy as np
 import pytest
@@ -306,6 +307,15 @@ def test_weeks_merge_until_enough_people_are_in_them(spark):
     assert rollup.merged_weeks(noted.limit(0), 2).count() == 0
 
 
+def test_texts_given_in_place(spark):
+    assert tx.without_heres("cat <<A >f\nrm x\n\tA\ntouch y") == "cat <<A >f\n\ntouch y"
+    assert tx.without_heres("cat <<'A B'\nA\n") == "cat <<'A B'\nA\n" and tx.without_heres("cat <<AB\nA\n<<A\nx\nA") == "cat <<AB\nA\n<<A\n"
+    for many in ("cat <<EOF >f\n", "cat <<EOF ", "cat <<EOF\nx\nEOF\n"):
+        began = time.time()
+        tx.without_heres(many * 50_000)
+        assert time.time() - began < 5
+
+
 def test_forward_asof_equals_a_search(spark):
     rng = random.Random(3)
     rows = [(i, rng.choice("aab"), ts(rng.randrange(60))) for i in range(200)]

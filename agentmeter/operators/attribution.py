@@ -60,7 +60,7 @@ def session_repos(requests_in: DataFrame, calls: DataFrame, touched: DataFrame)
     return pairs.distinct()
 
 
-def _near(own: DataFrame, commits: DataFrame) -> DataFrame:
+def own_commits_near(own: DataFrame, commits: DataFrame) -> DataFrame:
     """own (repo, author, first_ts, last_ts) with the person's commits from PAD before the first to GRACE after the last, met by the day."""
     day = lambda ts: F.floor(F.unix_seconds(ts) / 86_400)
     entered = own.withColumn("day", F.explode(F.sequence(day(F.col("first_ts") - _seconds(PAD)), day(F.col("last_ts") + _seconds(GRACE)))))
@@ -77,7 +77,7 @@ def fuzzy(left: DataFrame, repos: DataFrame, commits: DataFrame, files: DataFram
     window = left.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     own = window.join(repos, "session_id").join(who.where("author IS NOT NULL"), ["session_id", "repo"])
     c = commits.select("repo", "sha", F.col("ts").alias("commit_ts"), "author").join(taken.select("repo", "sha").distinct(), ["repo", "sha"], "left_anti")
-    near = _near(own, c)
+    near = own_commits_near(own, c)
     # Files are looked at only for pairs that are near in time, so a file that everybody edits costs its pairs and no more.
     theirs = near.select("session_id", "repo", "sha").join(files.select("repo", "sha", "path").distinct(), ["repo", "sha"])
     edited = theirs.join(touched.select("session_id", "repo", "path"), ["session_id", "repo", "path"], "left_semi").select("session_id", "repo", "sha").distinct()
@@ -103,7 +103,7 @@ def time_only(left: DataFrame, repos: DataFrame, commits: DataFrame, who: DataFr
     first = repos.groupBy("session_id").agg(F.min("repo").alias("repo"))
     window = left.groupBy("session_id").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
     c = commits.select("repo", "sha", F.col("ts").alias("commit_ts"), "author").join(taken.select("repo", "sha").distinct(), ["repo", "sha"], "left_anti")
-    near = _near(window.join(first, "session_id").join(who.where("author IS NOT NULL"), ["session_id", "repo"]), c)
+    near = own_commits_near(window.join(first, "session_id").join(who.where("author IS NOT NULL"), ["session_id", "repo"]), c)
     placed = segments(left, near.select("session_id", "repo", "sha", "commit_ts"))
     inside = placed.where("anchor IS NOT NULL").select("*", "anchor.repo", "anchor.sha", "anchor.commit_ts").drop("anchor")
     last = F.max("ts").over(Window.partitionBy("session_id", "repo", "sha"))

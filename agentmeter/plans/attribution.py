@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from agentmeter import fixtures as fx
 from agentmeter.functions import dims
 from agentmeter.operators import attribution as at
+from agentmeter.operators import incremental
 from agentmeter.operators import requests as rq
 from agentmeter.operators import savings
 from agentmeter.plans.registry import PIECES, query
@@ -195,6 +196,28 @@ def o_a3(spark, sf_dir):
     return r.select("repo", "sha", "tier", *[F.round(F.col(c) + _NUDGE, 9).alias(c) for c in _MONEY], "requests", "seen")
 
 
+def by_batches(spark, sf_dir, days=3):
+    """The tables as two batches, cut before the last days; sessions' files come with their first requests. Copies of a request are dealt to both."""
+    raw, commits, calls = fx.raw_request_rows(spark, sf_dir), fx.commits(spark, sf_dir), fx.commit_calls(spark, sf_dir)
+    last = F.broadcast(raw.agg((F.max("ts") - F.expr(f"INTERVAL {days} DAY")).alias("__cut")))  # one row
+    begun = raw.groupBy("session_id").agg(F.min("ts").alias("began"))
+    when = commits.select("repo", "sha", F.col("ts").alias("at"))
+    frames = {
+        "requests": (raw, F.col("ts")), "ran": (raw.select("session_id", (F.col("session_id") % 8).alias("repo"), "ts").groupBy("session_id", "repo").agg(F.min("ts").alias("at")), F.col("at")), "commits": (commits, F.col("ts")), "calls": (calls, F.col("start_ts")),
+        "touched": (fx.touched(spark, sf_dir).join(begun, "session_id"), F.col("began")), "files": (fx.commit_files(spark, sf_dir).join(when, ["repo", "sha"]), F.col("at")),
+    }
+    sides = {name: df.crossJoin(last).withColumn("__new", t >= F.col("__cut")).drop("__cut", "at", "began") for name, (df, t) in frames.items()}
+    return [{name: df.where(F.col("__new") == new).drop("__new") for name, df in sides.items()} for new in (False, True)]
+
+
+@query("o_a3_receipts_by_batch", f"SELECT repo, sha, tier, {', '.join(_R.format(c) for c in _MONEY)}, requests, seen FROM receipts")
+def o_a3_batches(spark, sf_dir):
+    store = incremental.Store(spark, shared.folder(spark, "receipts"))
+    for number, new in enumerate(by_batches(spark, sf_dir)):
+        store.add(number, new, fx.identities(spark, sf_dir), dims.prices(spark), dims.ends(spark))
+    return store.receipts().select("repo", "sha", "tier", *[F.round(F.col(c) + _NUDGE, 9).alias(c) for c in _MONEY], "requests", "seen")
+
+
 @query("o_w5_base_context", "SELECT session_id, min(ctx) AS base FROM (SELECT session_id, fresh_in + cache_write + cache_read AS ctx, row_number() OVER (PARTITION BY session_id ORDER BY ts, request_id) AS n FROM requests WHERE NOT is_sidechain) WHERE n <= 3 GROUP BY session_id")
 def o_w5(spark, sf_dir):
     return savings.base_context(fx.requests(spark, sf_dir))

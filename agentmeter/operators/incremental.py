@@ -206,7 +206,7 @@ def _receipts(changed: DataFrame, valid: DataFrame, anchors: DataFrame) -> DataF
     return r.select(
         "repo", "sha", F.when(F.col("anchored"), "exact").otherwise(F.col("given")).alias("tier"), *[n(F.col(c)).alias(c) for c in _SUMS[:4]],
         (n(F.col("nano")) / 1e9).alias("usd"), (n(F.col("lead_up_nano")) / 1e9).alias("lead_up_usd"),
-        F.coalesce(F.bround("weight", 0).cast("long"), F.lit(0)).cast("long").alias("requests"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"),
+        F.coalesce(at.counted(F.col("weight")), F.lit(0)).cast("long").alias("requests"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"),
     )
 
 

@@ -353,3 +353,9 @@ def test_plans_have_no_nested_loops(spark, sf):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "BroadcastNestedLoopJoin" not in plan and "CartesianProduct" not in plan
     spark.catalog.clearCache()
+
+
+def test_counts_of_weights_keep_their_halves(spark):
+    """Seven times nine fourteenths are 4.5 in any order of the sum, and halves go to even."""
+    sums = spark.createDataFrame([(4.500000000000001,), (4.499999999999999,), (5.499999999999999,), (4.51,)], "w double")
+    assert [r.n for r in sums.select(at.counted(F.col("w")).alias("n")).collect()] == [4, 4, 6, 5]

@@ -89,11 +89,25 @@ def measured(requests: DataFrame, prices: DataFrame, ends: DataFrame) -> DataFra
     return with_energy(priced(requests, prices), ends)
 
 
+#: What W is made of, in the order of e_pre, e_kv, e_dec and e_ctx.
+SUMS = ("pre", "kv", "dec", "ctx")
+
+
+def token_sums(requests: DataFrame, by: list[str]) -> DataFrame:
+    """By group and class the sums of tokens that joules() multiplies with a coefficient each. They are whole numbers and the same for every corner."""
+    parts = (F.col("fresh_in") + F.col("cache_write"), F.col("cache_read"), F.col("output"), F.col("output") * ctx_len())
+    r = requests.select(*by, model_class(F.col("model")).alias("class"), *[x.alias(n) for n, x in zip(SUMS, parts, strict=True)])
+    return r.groupBy(*by, "class").agg(*[F.sum(n).alias(n) for n in SUMS])
+
+
 def weighted_tokens(requests: DataFrame, corners: DataFrame, by: list[str]) -> DataFrame:
-    """W for each group and corner: joules over the joules of a prefilled token, so that only ratios matter."""
-    r = requests.withColumn("class", model_class(F.col("model"))).join(F.broadcast(corners), "class")
-    w = joules(*[F.col(c) for c in ("e_pre", "e_dec", "e_ctx", "e_kv")]) / F.col("e_pre")
-    return r.groupBy(*by, "class", "corner").agg(F.sum(w).alias("w"))
+    """W for each group and corner: joules over the joules of a prefilled token, so that only ratios matter.
+
+    Tokens are summed before they meet the corners, so that no request is shuffled once a corner.
+    """
+    r = token_sums(requests, by).join(F.broadcast(corners), "class")
+    w = sum((F.col(n) * F.col(f"e_{n}") for n in SUMS[1:]), F.col("pre") * F.col("e_pre")) / F.col("e_pre")
+    return r.select(*by, "class", "corner", w.alias("w"))
 
 
 def everyday(df: DataFrame) -> DataFrame:

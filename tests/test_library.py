@@ -359,3 +359,36 @@ def test_counts_of_weights_keep_their_halves(spark):
     """Seven times nine fourteenths are 4.5 in any order of the sum, and halves go to even."""
     sums = spark.createDataFrame([(4.500000000000001,), (4.499999999999999,), (5.499999999999999,), (4.51,)], "w double")
     assert [r.n for r in sums.select(at.counted(F.col("w")).alias("n")).collect()] == [4, 4, 6, 5]
+
+
+def test_states_of_a_range_are_all_that_draw_from_it(monkeypatch):
+    """The states found backwards, and sums of a range over all repetitions, against every draw made forwards; one run of states goes on from 0."""
+    monkeypatch.setattr(stats, "RANGE_BITS", 16)
+    n, part, starts = 300_000, 32_767, np.array([5, 1_000_000_007, stats.PRIME - 1000], np.int64)
+    states = stats.states_of(part)
+    s, low = states >> 16, part << 16
+    assert len(np.unique(s)) == min(stats.PRIME, low + 65_536) - low
+    assert (stats.power((stats.power(s) + stats.LAST) % stats.PRIME) == (states & 65_535) + low).all()
+    first = low * n >> 31
+    values = np.arange(1, 2 * (n - first) + 1, dtype=np.int64).reshape(-1, 2)
+    rep = np.array([0, 2, 2])
+    want = np.zeros((3, 2), np.int64)
+    for r, state in zip(rep, starts, strict=True):
+        u = stats.power((stats.mixed(state, np.arange(n, dtype=np.int64)) + stats.LAST) % stats.PRIME)
+        want[r] += values[(u[u >= low] * n >> 31) - first].sum(axis=0)
+    assert want[2].sum() and stats._summed_by_rep(states, part, n, first, values, 3, rep, starts).tolist() == want.tolist()
+
+
+def test_effects_are_shuffled_once_a_commit(spark, sf):
+    """Corners are met after the sums, and give the effects of W computed request by request."""
+    from agentmeter.plans import runs as plans
+
+    r = plans.run_usage(fx.runs(spark, sf).where("passed AND setup IN ('A', 'R')")).withColumn("commit", F.concat_ws(":", "repo", "commit")).limit(400)
+    r = r.withColumn("model", F.when(F.col("repeat") % 2 == 0, "claude-opus-5").otherwise(F.col("model"))).localCheckpoint()
+    corners = dims.corners(spark)
+    w = r.withColumn("class", rq.model_class(F.col("model"))).join(corners, "class")
+    w = w.groupBy("commit", "setup", "repeat", "class", "corner").agg(F.sum(rq.joules(*[F.col(c) for c in ("e_pre", "e_dec", "e_ctx", "e_kv")]) / F.col("e_pre")).alias("w"))
+    want = {(x.commit, x.corner): x.effect for x in stats.paired_effects(w, "A", "R").collect()}
+    got = {(x.commit, x.corner): x.effect for x in stats.corner_effects(r, corners, "A", "R").select("commit", F.posexplode("e").alias("corner", "effect")).collect()}
+    assert want and got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert "corner" not in stats.corner_effects(r, corners, "A", "R")._jdf.queryExecution().optimizedPlan().toString().split("MapInArrow")[-1]

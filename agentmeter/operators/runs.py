@@ -43,12 +43,12 @@ def arms(runs: DataFrame, by: list[str]) -> DataFrame:
 def comparison_sums(runs: DataFrame, comparisons: DataFrame) -> DataFrame:
     """For each comparison (id, baseline, challenger) and commit that both sides attempted: sums of each side in b_ and c_ columns.
 
-    All comparisons go through one join and one aggregation.
+    All comparisons go through one join and one aggregation. They are a dimension table and are broadcast: a shuffle by setup would give each of the few setups to one task.
     """
     commit = arms(runs, ["repo", "commit", "setup"])
     side = lambda p: F.struct(*[F.coalesce(F.sum(F.when(F.col("setup") == F.col(p), F.col(c))), F.lit(0)).alias(c) for c in ("runs", "solved", "cents", "tokens")]).alias(p[0])
     either = comparisons.withColumn("setup", F.explode(F.array_distinct(F.array("baseline", "challenger"))))
-    met = commit.join(either, "setup")
+    met = commit.join(F.broadcast(either), "setup")
     g = met.groupBy("id", "repo", "commit").agg(side("baseline"), side("challenger"))
     flat = [F.col(f"{p}.{c}").alias(f"{p}_{c}") for p in ("b", "c") for c in ("runs", "solved", "cents", "tokens")]
     return g.where("b.runs > 0 AND c.runs > 0").select("id", "repo", "commit", *flat)

@@ -1,11 +1,14 @@
 """Validation of submitted records as they come: raw JSON, so that fields nobody declared and values of a wrong type are seen.
 
 Texts are parsed once, as VARIANT. Objects' keys are held against closed lists; a value counts only if it has the right type, so a number written as text
-is no number. Rules of runs name the places of the runs that break them. All groups are of one upload, whose size is bounded.
+is no number. Rules of runs name the places of the runs that break them. A file is looked at within its row, whose size is bounded: nothing is shuffled, and
+files alike in hash are rows of their own.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +25,11 @@ VERSION_FIELDS = ("agentmeter", "factors", "prices", "claude", "codex")
 VERSION, VERSION_CHARS, AFFILIATION_CHARS = 1, 40, 100
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is worked out once however often it is mentioned."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 class Json:
     """Typed looks into a VARIANT column; what isn't of the type asked for is null."""
 
@@ -38,8 +46,11 @@ class Json:
     def absent(self, path: str) -> Column:
         return F.coalesce(self.kind(path) == "VOID", F.lit(True))
 
+    def _value(self, path: str, target: str) -> Column:
+        return F.try_variant_get(self.column, f"$.{path}", target)
+
     def _typed(self, path: str, fits: Column, target: str) -> Column:
-        return F.when(fits, F.try_variant_get(self.column, f"$.{path}", target))
+        return F.when(fits, self._value(path, target))
 
     def text(self, path: str) -> Column:
         return self._typed(path, self.kind(path) == "STRING", "string")
@@ -49,23 +60,50 @@ class Json:
 
     def count(self, path: str) -> Column:
         """A whole number of at least 0."""
-        n = self._typed(path, self.kind(path) == "BIGINT", "long")
-        return F.when(n >= 0, n)
+        return _with(self._typed(path, self.kind(path) == "BIGINT", "long"), lambda n: F.when(n >= 0, n))
 
     def number(self, path: str) -> Column:
-        n = self._typed(path, self.kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "double")
-        return F.when(F.abs(n) < float("inf"), n)
+        return _with(self._typed(path, self.kind(path).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)"), "double"), lambda n: F.when(F.abs(n) < float("inf"), n))
 
     def numbers(self, path: str, whole: bool) -> Column:
         """An array of numbers, of whole ones of at least 0."""
-        each = F.try_variant_get(self.column, f"$.{path}", "array<variant>")
+        each = self._value(path, "array<variant>")
         fits = lambda v: F.schema_of_variant(v).rlike("^BIGINT" if whole else "^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
-        return F.when(F.forall(each, fits), F.transform(each, lambda v: F.try_variant_get(v, "$", "long" if whole else "double")))
+        return _with(each, lambda e: F.when(F.forall(e, fits), F.transform(e, lambda v: F.try_variant_get(v, "$", "long" if whole else "double"))))
 
     def other_keys(self, path: str | None, allowed: tuple[str, ...] | Column) -> Column:
         """An object's keys beyond the allowed ones; null for what is no object."""
-        keys = F.json_object_keys(F.to_json(self.at(path) if path else self.column))
-        return F.array_except(keys, allowed if isinstance(allowed, Column) else F.array(*map(F.lit, allowed)))
+        return F.array_except(self._keys(path), allowed if isinstance(allowed, Column) else F.array(*map(F.lit, allowed)))
+
+    def _keys(self, path: str | None) -> Column:
+        return F.json_object_keys(F.to_json(self.at(path) if path else self.column))
+
+    def written(self, path: str) -> Column:
+        """The value as JSON; empty where there is nothing."""
+        plain = _with(self.text(path), lambda t: F.when(t.rlike("^[A-Za-z0-9_.+@-]*$"), F.concat(F.lit('"'), t, F.lit('"'))))  # needs no escapes
+        return F.coalesce(F.when(self.kind(path) == "BIGINT", self._value(path, "long").cast("string")), plain, F.to_json(self.at(path)), F.lit(""))
+
+
+class Fields(Json):
+    """The same looks into one of fields(), whose values are taken out and told apart once each."""
+
+    def at(self, path: str) -> Column:
+        return self.column["value"][path]
+
+    def kind(self, path: str) -> Column:
+        return self.column["kind"][path]
+
+    def _value(self, path: str, target: str) -> Column:
+        return F.try_variant_get(self.at(path), "$", target)
+
+    def _keys(self, path: str | None) -> Column:
+        return super()._keys(path) if path else self.column["keys"]
+
+
+def fields(maps: Column, names: tuple[str, ...]) -> Column:
+    """An array of maps of VARIANT as structs of their keys and of the named fields' values and types."""
+    values = F.transform(maps, lambda m: F.struct(F.map_keys(m).alias("keys"), F.struct(*[F.try_element_at(m, F.lit(n)).alias(n) for n in names]).alias("value")))
+    return F.transform(values, lambda x: F.struct(x["keys"].alias("keys"), x["value"].alias("value"), F.struct(*[F.schema_of_variant(x["value"][n]).alias(n) for n in names]).alias("kind")))
 
 
 def _no_more(keys: Column) -> Column:
@@ -86,7 +124,7 @@ def head_rules(u: Json) -> dict[str, Column]:
     rerun, ratio, energy = u.text("rerun_of"), u.number("verdict.cost_ratio"), u.at("verdict.energy")
     return {
         "public isn't said": u.flag("public").isNotNull(),
-        "other fields": _no_more(u.other_keys(None, allowed)),
+        "other fields": F.size(F.array_except(F.json_object_keys("said"), allowed)) == 0,
         "control characters": ~F.col("said").rlike(CONTROL),
         "private record with address or commit": public | ~F.col("said").rlike(PRIVATE_TEXT),
         "private side's fields": public | (_no_more(u.other_keys("baseline", SIDE_FIELDS)) & _no_more(u.other_keys("challenger", SIDE_FIELDS))),
@@ -108,7 +146,8 @@ def head_rules(u: Json) -> dict[str, Column]:
 def run_rules(r: Json) -> dict[str, Column]:
     """What a run must keep; public, baseline and challenger are its upload's."""
     c = F.col
-    tokens, wh = r.numbers("tokens", True), r.numbers("wh", False)
+    four = lambda t: (F.size(t) == 4) & F.forall(t, lambda x: x >= 0)
+    ends = lambda w: (F.size(w) == 2) & (F.get(w, F.lit(0)) >= 0) & (F.get(w, F.lit(0)) <= F.get(w, F.lit(1)))
     return {
         "other fields": _no_more(r.other_keys(None, RUN_FIELDS)),
         "unknown outcome": r.text("outcome").isin(*OUTCOMES),
@@ -117,8 +156,8 @@ def run_rules(r: Json) -> dict[str, Column]:
         "agent or model": r.text("agent").isNotNull() & (r.absent("model") | r.text("model").isNotNull()),
         "bad cost": r.flag("cost_known").isNotNull() & (r.number("cost_usd") >= 0),
         "bad wall time or repeat": (r.number("wall_s") >= 0) & r.count("repeat").isNotNull(),
-        "bad tokens": r.absent("tokens") | ((F.size(tokens) == 4) & F.forall(tokens, lambda t: t >= 0)),
-        "bad energy": r.absent("wh") | ((F.size(wh) == 2) & (F.get(wh, F.lit(0)) >= 0) & (F.get(wh, F.lit(0)) <= F.get(wh, F.lit(1)))),
+        "bad tokens": r.absent("tokens") | _with(r.numbers("tokens", True), four),
+        "bad energy": r.absent("wh") | _with(r.numbers("wh", False), ends),
         "requests or tokens check": (r.absent("requests") | r.text("requests").isin(*REQUEST_BUCKETS)) & (r.kind("tokens_check").isNull() | r.text("tokens_check").isNotNull()),
         "commit isn't of its kind": F.when(c("public"), r.text("commit").rlike(SHA)).otherwise(r.count("commit").isNotNull()),
     }
@@ -139,8 +178,8 @@ def validate(files: DataFrame) -> DataFrame:
     u = Json(F.col("v"))
     upload = F.coalesce((u.count("usage_upload") == VERSION) & (u.text("kind") == "verify"), F.lit(False))
     sides = u.kind("baseline").startswith("OBJECT") & u.kind("challenger").startswith("OBJECT")
-    runs = F.try_variant_get(u.at("runs"), "$", "array<variant>")
-    has_runs = F.coalesce((F.size(runs) > 0) & F.forall(runs, lambda r: F.schema_of_variant(r).startswith("OBJECT")), F.lit(False))
+    parsed = _once(parsed, F.try_variant_get("v", "$.runs", "array<map<string,variant>>"), "runs")
+    has_runs = F.coalesce((F.size("runs") > 0) & F.forall("runs", lambda r: r.isNotNull()), F.lit(False))
     verdict = u.kind("verdict").startswith("OBJECT") & (u.absent("verdict.energy") | u.kind("verdict.energy").startswith("OBJECT"))
     stop = (
         F.when(F.col("size") > MAX_BYTES, "too large").when(F.col("v").isNull(), "not JSON").when(~upload, "not an upload")
@@ -150,19 +189,25 @@ def validate(files: DataFrame) -> DataFrame:
     of_file = F.when(F.col("stop") == "too large", F.array().cast("array<string>")).otherwise(problems(file_rules()))
     late = F.col("stop").isin("no runs", "sides must be objects", "verdict must be an object")
     early = F.when(late, problems({k: v for k, v in head_rules(u).items() if k in ("public isn't said", "other fields")})).when(F.col("stop").isNull(), problems(head_rules(u))).otherwise(F.array().cast("array<string>"))
-    head = heads.select("sha256", "stop", F.concat(of_file, early, F.array_compact(F.array("stop"))).alias("head"))
-
-    public = F.coalesce(u.flag("public"), F.lit(False)).alias("public")
-    each = heads.where("stop IS NULL").select("sha256", public, u.text("baseline.name").alias("baseline"), u.text("challenger.name").alias("challenger"), F.posexplode(runs).alias("pos", "run"))
-    r = Json(F.col("run"))
-    key = F.struct(*[F.coalesce(F.to_json(r.at(name)), F.lit("")).alias(name) for name in ("commit", "setup", "repeat")])
-    rows = _once(each, problems(run_rules(r)), "broken").select("sha256", "pos", "broken", key.alias("key"), r.text("setup").isin(F.col("baseline"), F.col("challenger")).alias("ours"), F.when(F.col("baseline") == F.col("challenger"), 1).otherwise(2).alias("sides"))
-    listed = rows.select("sha256", "pos", F.posexplode("broken").alias("turn", "rule")).groupBy("sha256", "rule").agg(F.sort_array(F.collect_list("pos")).alias("places"))
-    placed = F.concat("rule", F.lit(" (runs "), F.array_join(F.transform("places", lambda p: p.cast("string")), ", "), F.lit(")"))
-    told = listed.groupBy("sha256").agg(F.sort_array(F.collect_list(placed)).alias("of_runs"))
-    keys = rows.groupBy("sha256", "key").agg(F.count("*").alias("n"), F.max(F.coalesce("ours", F.lit(False))).alias("ours"), F.max("sides").alias("sides"))
-    whole = keys.groupBy("sha256").agg(F.max("n").alias("most"), (F.count_distinct("key.commit") * F.max("sides") * F.count_distinct("key.repeat") - F.count_if("ours")).alias("missing"))
-    of_set = F.array_compact(F.array(F.when(F.col("most") > 1, "duplicate run"), F.when(F.col("missing") > 0, "incomplete")))
-    none = F.array().cast("array<string>")
-    out = head.join(told, "sha256", "left").join(whole, "sha256", "left")
-    return out.select("sha256", F.concat("head", F.coalesce("of_runs", none), F.coalesce(of_set, none)).alias("problems"))
+    head = heads.select("sha256", "stop", "v", "runs", F.concat(of_file, early, F.array_compact(F.array("stop"))).alias("head"))
+
+    public, baseline, challenger = F.coalesce(u.flag("public"), F.lit(False)), u.text("baseline.name"), u.text("challenger.name")
+    own = head.select("sha256", "stop", "head", public.alias("public"), baseline.alias("baseline"), challenger.alias("challenger"), fields(F.when(F.col("stop").isNull(), F.col("runs")), RUN_FIELDS).alias("runs"))
+
+    def looked_at(run: Column) -> Column:
+        r = Fields(run)
+        key = [r.written(name) for name in ("commit", "setup", "repeat")]
+        ours = F.coalesce(r.text("setup").isin(F.col("baseline"), F.col("challenger")), F.lit(False))
+        return F.struct(problems(run_rules(r)).alias("broken"), key[0].alias("commit"), key[2].alias("repeat"), F.concat_ws("\n", *key).alias("key"), ours.alias("ours"))  # JSON has no line ends
+
+    rows = _once(own, F.transform("runs", looked_at), "told")
+    told = F.col("told")
+    broken = F.array_distinct(F.flatten(told["broken"]))
+    places = lambda rule: F.filter(F.sequence(F.lit(0), F.size(told) - 1), lambda p: F.array_contains(F.get(told, p)["broken"], rule))
+    placed = lambda rule: F.concat(rule, F.lit(" (runs "), F.array_join(F.transform(places(rule), lambda p: p.cast("string")), ", "), F.lit(")"))
+    of_runs = F.sort_array(F.transform(broken, placed))
+    times = lambda x: F.size(F.array_distinct(x))
+    sides_of = F.when(F.col("baseline") == F.col("challenger"), 1).otherwise(2)
+    missing = times(told["commit"]) * sides_of * times(told["repeat"]) - times(F.filter(told, lambda r: r["ours"])["key"])
+    of_set = F.array_compact(F.array(F.when(times(told["key"]) < F.size(told), "duplicate run"), F.when(missing > 0, "incomplete")))
+    return rows.select("sha256", F.concat("head", F.when(F.col("stop").isNull(), F.concat(of_runs, of_set)).otherwise(F.array().cast("array<string>"))).alias("problems"))

@@ -115,10 +115,10 @@ def upload_files(spark, sf_dir):
         side("challenger").alias("challenger"), F.struct("answer", F.lit(0.8).alias("cost_ratio"), F.struct(F.lit("uses less").alias("verdict")).alias("energy")).alias("verdict"), F.lit(0).alias("superseded_attempts"), F.lit(0).alias("excluded_commits"), "rerun_of", F.lit("a lab").alias("affiliation"),
     ))
     text = F.concat(F.expr("substring(head, 1, length(head) - 1)"), F.lit(',"runs":['), F.coalesce("runs", F.lit("")), F.lit("]}"))
-    for every, private, old, new, _ in HEAD_BREAKS:
-        text = F.replace(text, F.lit(old), F.when((n % every == 0) & (~c("public") | F.lit(not private)), new).otherwise(old))
-    for every, old, new, *_ in [*RUN_BREAKS, *OTHER_BREAKS]:
-        text = F.replace(text, F.lit(old), F.when(n % every == 0, new).otherwise(old))
+    swap = lambda met, old, new: F.when(met, F.struct(F.lit(old).alias("old"), F.lit(new).alias("new")))
+    swaps = [swap((n % every == 0) & (~c("public") | F.lit(not private)), old, new) for every, private, old, new, _ in HEAD_BREAKS]
+    swaps += [swap(n % every == 0, old, new) for every, old, new, *_ in [*RUN_BREAKS, *OTHER_BREAKS]]
+    text = F.aggregate(F.array_compact(F.array(*swaps)), text, lambda t, x: F.replace(t, x["old"], x["new"]))  # only what is spoilt is searched
     rows = rows.withColumn("head", head).select("*", F.explode(F.array(text)).alias("text"))
     return rows.select(
         "submitter", F.when(n % 127 == 0, "x").otherwise(c("sha256")).alias("file_name"), "sha256", F.when(n % 29 == 0, trust.MAX_BYTES + 1).otherwise(F.octet_length("text")).alias("size"), "text", F.when(n % 131 == 0, "zz").otherwise(c("submitter")).alias("author"),

@@ -1,6 +1,10 @@
 """What round 3 found: steps that gave one task too much, and work done several times."""
 
+import json
+
 from agentmeter.operators import runs as rn
+from agentmeter.operators import uploads
+from tests import test_uploads as given
 
 
 def plan(df):
@@ -13,3 +17,12 @@ def test_no_task_takes_a_whole_setup(spark):
     pairs = spark.createDataFrame([("N-A", "N", "A"), ("N-R", "N", "R")], "id string, baseline string, challenger string")
     sums = rn.comparison_sums(runs, pairs)
     assert "hashpartitioning(setup" not in plan(sums) and sums.count() == 40
+
+
+def test_files_alike_in_hash_are_looked_at_in_their_own_rows(spark):
+    text = json.dumps(given.GOOD | {"runs": [given.RUN, given.RUN | {"setup": "two", "wh": [0.3, 0.2]}]})
+    rows = [("a", "x", "x", 100, text, "a"), ("b", "x", "x", 100, text, "b")]
+    files = spark.createDataFrame(rows, "submitter string, file_name string, sha256 string, size long, text string, author string")
+    found = uploads.validate(files)
+    assert [r.problems for r in found.collect()] == [["bad energy (runs 1)"]] * 2
+    assert "Exchange" not in plan(found)  # nothing is gone through twice

@@ -79,14 +79,17 @@ def validated(uploads: DataFrame, runs: DataFrame) -> DataFrame:
     """
     head = uploads.select("sha256", problems(upload_rules()).alias("head"))
     sides = uploads.select("sha256", "baseline", "challenger", "public")
-    joined = runs.join(sides, "sha256").withColumn("broken", problems(run_rules()))
+    rules = run_rules()
+    late = {name: rules.pop(name) for name in ("setup of neither side", "commit isn't of its kind")}  # what the sides decide
+    told = runs.select("sha256", "commit", "setup", "repeat", problems(rules).alias("early"))  # the other fields aren't shuffled
+    joined = told.join(sides, "sha256").withColumn("broken", F.concat("early", problems(late)))
     key = ["sha256", "commit", "setup", "repeat"]
     ours = F.coalesce(F.col("setup").isin(F.col("baseline"), F.col("challenger")), F.lit(False))
     sides_of = F.when(F.col("baseline") == F.col("challenger"), 1).otherwise(2)
     once = joined.groupBy(*key).agg(F.count("*").alias("n"), F.flatten(F.collect_list("broken")).alias("broken"), F.max(ours).alias("ours"), F.max(sides_of).alias("sides"))
     per = once.groupBy("sha256").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("broken")))).alias("broken"), F.max("n").alias("most"), F.count_if("ours").alias("keys"),
-        (F.count_distinct("commit") * F.max("sides") * F.count_distinct("repeat")).alias("full"),
+        (F.size(F.collect_set("commit")) * F.max("sides") * F.size(F.collect_set("repeat"))).alias("full"),  # distinct counts would shuffle once more
     )
     of_runs = F.array_union("broken", F.array_compact(F.array(F.when(F.col("most") > 1, "duplicate run"), F.when(F.col("keys") < F.col("full"), "incomplete"))))
     return head.join(per, "sha256", "left").select("sha256", F.array_union("head", F.coalesce(of_runs, F.array(F.lit("no runs")))).alias("problems"))
@@ -109,15 +112,19 @@ def integrity(records: DataFrame, runs: DataFrame, attempts: DataFrame, excluded
         "solved without tokens": (c("agent") != "claude") | ~c("passed") | (F.size("requests") > 0),
         "duplicate run": c("copy") == 1,
     }
+    late = {name: rules.pop(name) for name in ("setup of neither side", "duplicate run")}  # what the record decides
+    broken = lambda fine: ~F.coalesce(fine, F.lit(False))
+    flags = {name: f"__broken{i}" for i, name in enumerate(rules)}
+    told = runs.select("sha256", "commit", "setup", "repeat", "outcome", *[broken(fine).alias(flags[name]) for name, fine in rules.items()])  # the other fields aren't shuffled
     copy = F.row_number().over(Window.partitionBy("sha256", "commit", "setup", "repeat").orderBy("outcome"))
-    joined = runs.join(records.select("sha256", *names), "sha256").withColumn("copy", copy).withColumn("broken", problems(rules))
-    times = joined.select("sha256", F.explode("broken").alias("rule")).groupBy("sha256", "rule").agg(F.count("*").alias("n"))
-    listed = times.groupBy("sha256").agg(F.sort_array(F.collect_list(F.concat_ws(": ", "rule", "n"))).alias("problems"))  # one a rule at most
-    planned = F.count_distinct("commit") * 2 * F.count_distinct("repeat")
-    there = joined.groupBy("sha256").agg((planned - F.count_if((c("copy") == 1) & c("setup").isin(*names))).alias("missing"))
+    joined = told.join(records.select("sha256", *names), "sha256").withColumn("copy", copy)
+    planned = F.size(F.collect_set("commit")) * 2 * F.size(F.collect_set("repeat"))  # distinct counts would shuffle once more
+    times = {name: F.count_if(flags[name]) for name in rules} | {name: F.count_if(broken(fine)) for name, fine in late.items()}
+    listed = F.array_compact(F.array(*[F.when(n > 0, F.concat_ws(": ", F.lit(name), n)) for name, n in times.items()]))
+    there = joined.groupBy("sha256").agg(F.sort_array(listed).alias("problems"), (planned - F.count_if((c("copy") == 1) & c("setup").isin(*names))).alias("missing"))
     counted = lambda df, name: df.groupBy("sha256").agg(F.count("*").alias(name))
     out = records.select("sha256")
-    for part in (listed, there, counted(attempts, "redone"), counted(excluded, "excluded")):
+    for part in (there, counted(attempts, "redone"), counted(excluded, "excluded")):
         out = out.join(part, "sha256", "left")
     return out.fillna(0, ["missing", "redone", "excluded"]).withColumn("problems", F.coalesce("problems", F.array().cast("array<string>")))
 
@@ -218,9 +225,9 @@ def scoreboard(tiered: DataFrame, vendors: DataFrame) -> DataFrame:
 
 
 def upload_view(records: DataFrame) -> DataFrame:
-    """Runs of private records as others may see them: rounded, named from the catalog, commits numbered as they first come."""
+    """Runs of private records as others may see them: rounded, named from the catalog, commits numbered as they first come. One shuffle by record serves both windows."""
     first = Window.partitionBy("sha256", "commit")
-    numbered = records.withColumn("__first", F.min("pos").over(first)).withColumn("commit_no", F.dense_rank().over(Window.partitionBy("sha256").orderBy("__first")).cast("long") - 1)
+    numbered = records.repartition("sha256").withColumn("__first", F.min("pos").over(first)).withColumn("commit_no", F.dense_rank().over(Window.partitionBy("sha256").orderBy("__first")).cast("long") - 1)
     return numbered.select(
         "sha256", "pos", "commit_no", tx.public_name(F.col("setup"), F.col("agent")).alias("setup"), tx.two_figures(F.col("tokens")).alias("tokens"), (F.bround(F.col("wall_s") / 10, 0) * 10).cast("long").alias("wall_s"), F.bround("cost_usd", 2).alias("cost_usd"), tx.count_bucket(F.col("requests")).alias("requests")
     )

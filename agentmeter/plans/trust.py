@@ -21,29 +21,40 @@ PIECES["uploads"] = """SELECT s.*, substr(md5('r' || coalesce(r.repo, 0)), 1, 24
     FROM upload_runs GROUP BY n) r ON r.n = s.n"""
 
 
+def _sha(k):
+    return F.sha2(k.cast("string").cast("binary"), 256)
+
+
+def _challenger(k):
+    of = k - (k % 34 == 0).cast("int")  # every 34th order runs again what the one before it ran
+    return F.when(of % 23 == 0, "custom").otherwise(F.concat(F.lit("claude-code@m"), (of % 4).cast("string")))
+
+
 def sides(spark, sf_dir):
     o = fx.table(spark, sf_dir, "orders")
     k = F.col("o_orderkey")
-    of = k - (k % 34 == 0).cast("int")  # every 34th order runs again what the one before it ran
     from agentmeter.operators.rollup import iso_week
 
-    sha = lambda x: F.sha2(x.cast("string").cast("binary"), 256)
     return o.select(
-        k.alias("n"), sha(k).alias("sha256"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("submitter"), F.lit("claude-code").alias("baseline"),
-        F.when(of % 23 == 0, "custom").otherwise(F.concat(F.lit("claude-code@m"), (of % 4).cast("string"))).alias("challenger"), iso_week(F.col("o_orderdate").cast("timestamp")).alias("week"), (k % 5 != 0).alias("public"),
-        F.when(k % 17 == 0, sha(k - 1)).alias("rerun_of"), F.lit("hint").alias("task_mode"),
+        k.alias("n"), _sha(k).alias("sha256"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("submitter"), F.lit("claude-code").alias("baseline"),
+        _challenger(k).alias("challenger"), iso_week(F.col("o_orderdate").cast("timestamp")).alias("week"), (k % 5 != 0).alias("public"),
+        F.when(k % 17 == 0, _sha(k - 1)).alias("rerun_of"), F.lit("hint").alias("task_mode"),
     )
 
 
 def upload_runs(spark, sf_dir):
+    """The runs of orders that are there. Only numbers are shuffled; hashes and names, which follow from the order's number, are made after the join."""
     base = F.col("l_returnflag") == "N"
     line = fx.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "n")
     dearer = F.when((F.col("n") % 68 == 33) & ~base, F.col("l_extendedprice") * 3).otherwise(F.col("l_extendedprice"))
     line = line.where("n % 34 <> 0").unionByName(line.where("n % 34 = 33").withColumns({"l_extendedprice": dearer, "n": F.col("n") + 1}))
-    return line.join(sides(spark, sf_dir).select("n", "sha256", "baseline", "challenger"), "n").select(
-        "sha256", "n", F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 50).alias("commit"), F.when(base, F.col("baseline")).otherwise(F.col("challenger")).alias("setup"), base.alias("is_base"), (F.col("l_linestatus") == "F").alias("passed"),
+    line = line.select(
+        "n", F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 50).alias("commit"), base.alias("is_base"), (F.col("l_linestatus") == "F").alias("passed"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") * 100).cast("long").alias("tokens"),
     )
+    n = F.col("n")
+    setup = F.when(F.col("is_base"), F.lit("claude-code")).otherwise(_challenger(n))
+    return line.join(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")), "n").select(_sha(n).alias("sha256"), "n", "pos", "commit", setup.alias("setup"), "is_base", "passed", "cents", "tokens")
 
 
 def uploads(spark, sf_dir):

@@ -4,6 +4,7 @@ import json
 
 from agentmeter.operators import runs as rn
 from agentmeter.operators import uploads
+from agentmeter.plans import QUERIES
 from tests import test_uploads as given
 
 
@@ -26,3 +27,13 @@ def test_files_alike_in_hash_are_looked_at_in_their_own_rows(spark):
     found = uploads.validate(files)
     assert [r.problems for r in found.collect()] == [["bad energy (runs 1)"]] * 2
     assert "Exchange" not in plan(found)  # nothing is gone through twice
+
+
+def test_rules_of_uploads_and_records_shuffle_no_row_three_times(spark, sf):
+    for name in ("o_q1_upload_validation", "o_q3_record_integrity"):
+        assert "Expand" not in plan(QUERIES[name](spark, sf))
+
+
+def test_one_shuffle_serves_both_windows_of_the_view(spark, sf):
+    assert "hashpartitioning(sha256#" in (found := plan(QUERIES["o_q6_upload_view"](spark, sf)))
+    assert not [line for line in found.splitlines() if "Exchange hashpartitioning(sha256" in line and "commit" in line.split("),")[0]]

@@ -29,13 +29,18 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 ROWS = "session_id long, ts timestamp, kind string, request_id long, output long, nano_usd long, ctx long, is_sidechain boolean"
 STATE = "session_id long, task_nano_usd long, task_requests int, commits int, base_ctx long, last_ctx long, carried long, announced array<timestamp>"
+_STATE = [c.split()[0] for c in STATE.split(", ")]
 LATENESS = "session_id long, came long, ts timestamp, late boolean"
 #: A request row within a batch.
 REQUEST = np.dtype([("at", "i8"), ("id", "i8"), ("output", "i8"), ("nano", "i8"), ("ctx", "i8"), ("main", "?")])
+#: Buckets of sessions, and sessions of a frame that leaves one.
+BUCKETS, OUT = 1024, 10_000
+#: A request of the open task in the state.
+OPEN = np.dtype([("id", "i8"), ("output", "i8"), ("nano", "i8")])
 
 
 class Batch:
-    """A session's rows of one micro-batch, reduced as they come.
+    """A session's rows of one micro-batch, reduced as they come in parts.
 
     The batch's last announced commit is at most GUARD_US before its last commit, so requests before that are done with once their context is
     noted; later ones are kept as numbers, 41 bytes a row, until all commits are known. Nothing needs the rows in order.
@@ -47,20 +52,13 @@ class Batch:
         self.newest = -(2**63)
         self.kept: list[np.ndarray] = []
 
-    def add(self, rows: pd.DataFrame) -> None:
-        at = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)
-        commit = (rows["kind"] == "commit").to_numpy()
-        if commit.any():
-            self.commits.append(np.unique(at[commit]))
+    def add(self, commits: np.ndarray, requests: np.ndarray) -> None:
+        """commits: their times; requests: rows of REQUEST."""
+        if len(commits):
+            self.commits.append(np.unique(commits))
             self.newest = max(self.newest, int(self.commits[-1][-1]))
-        own = ~commit
-        out = np.zeros(int(own.sum()), REQUEST)
-        out["at"] = at[own]
-        for name, column in (("id", "request_id"), ("output", "output"), ("nano", "nano_usd"), ("ctx", "ctx")):
-            out[name] = rows[column].to_numpy()[own].astype(np.int64)
-        out["main"] = ~rows["is_sidechain"].to_numpy()[own].astype(bool)
-        self._note(out)
-        self.kept.append(out[out["at"] > self.newest - GUARD_US])
+        self._note(requests)
+        self.kept.append(requests[requests["at"] > self.newest - GUARD_US])
         if len(self.kept) > 64:
             self._thin()
 
@@ -103,55 +101,106 @@ def _earliest(rows: np.ndarray, so_far: tuple | None = None) -> tuple | None:
     return found if so_far is None or found[0] < so_far[0] else so_far
 
 
+def _fullest(task: np.ndarray, fresh: np.ndarray) -> np.ndarray:
+    """The task's requests (OPEN) with those of fresh (REQUEST): of each the largest output, what was there or is earlier first."""
+    if not len(fresh):
+        return task
+    new = fresh[np.argsort(fresh["at"], kind="stable")]
+    both = np.empty(len(task) + len(new), OPEN)
+    for name in OPEN.names:
+        both[name][: len(task)] = task[name]
+        both[name][len(task) :] = new[name]
+    both = both[np.lexsort((-both["output"], both["id"]))]  # stable: equal outputs stay in order
+    return both[np.append(True, both["id"][1:] != both["id"][:-1])]
+
+
+def _by_session(rows: pd.DataFrame) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(session, newest time, times of commits, requests) of each session in rows."""
+    order = np.argsort(rows["session_id"].to_numpy(np.int64), kind="stable")
+    session = rows["session_id"].to_numpy(np.int64)[order]
+    at = rows["ts"].to_numpy("datetime64[us]").astype(np.int64)[order]
+    commit = (rows["kind"].to_numpy() == "commit")[order]
+    own = order[~commit]
+    requests = np.zeros(len(own), REQUEST)
+    requests["at"] = at[~commit]
+    for name, column in (("id", "request_id"), ("output", "output"), ("nano", "nano_usd"), ("ctx", "ctx")):
+        requests[name] = rows[column].to_numpy()[own].astype(np.int64)
+    requests["main"] = ~rows["is_sidechain"].to_numpy()[own].astype(bool)
+    before = np.concatenate([[0], np.cumsum(~commit)])
+    starts = np.flatnonzero(np.append(True, session[1:] != session[:-1])[: len(session)])
+    for i, j in zip(starts.tolist(), np.append(starts[1:], len(session)).tolist(), strict=True):
+        yield int(session[i]), int(at[i:j].max()), at[i:j][commit[i:j]], requests[before[i] : before[j]]
+
+
 class LiveState(StatefulProcessor):
-    """State of a session: the open task's requests, each with its largest output, and a few numbers. It goes when the session has been idle."""
+    """State of sessions: the open task's requests, each with its largest output, and a few numbers. A session's goes when it has been idle.
+
+    The key is a bucket of sessions, so that frames, both ways, hold many sessions; one of a session each costs milliseconds, whatever is in it. A session is an
+    entry of the bucket's map, its requests 24 bytes each, read and written once a batch that touches it. A bucket has one timer, for the session that
+    is idle first, rounded up to a sixteenth of the idle time; what is idle when it fires is dropped.
+    """
 
     def __init__(self, idle_ms: int):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.task = handle.getMapState("task", "request_id long", "output long, nano long")
-        self.numbers = handle.getValueState("numbers", "base long, last long, after long, commit_us long, commits int, seen_ms long")
+        self.sessions = handle.getMapState("sessions", "session_id long", "session_id long, base long, last long, after long, commit_us long, commits int, seen_ms long, open binary")
+        self.timer = handle.getValueState("timer", "at_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        base, last, after, commit_us, commits, seen_ms = self.numbers.get() if self.numbers.exists() else (0, 0, 0, -1, 0, 0)
-        batch, latest = Batch(), 0
+        batches: dict[int, Batch] = {}
+        latest: dict[int, int] = {}
         for part in rows:
-            batch.add(part)
-            latest = max(latest, int(part["ts"].max().value // 1_000_000))
+            for session, newest, commits, requests in _by_session(part):
+                batches.setdefault(session, Batch()).add(commits, requests)
+                latest[session] = max(latest.get(session, 0), newest // 1000)
+        self._timed(min(latest.values()))
+        out = []
+        for session in list(batches):
+            out.append(self._next(session, batches.pop(session), latest[session]))
+            if len(out) == OUT or not batches:
+                yield pd.DataFrame(out, columns=_STATE)
+                out = []
+
+    def _next(self, session: int, batch: Batch, latest: int) -> tuple:
+        """The session's new state, which is stored, as a row of STATE."""
+        stored = self.sessions.getValue((session,)) if self.sessions.containsKey((session,)) else (session, 0, 0, 0, -1, 0, 0, b"")
+        _, base, last, after, commit_us, commits, seen_ms, held = stored
         announced, fresh = batch.settle(commit_us)
         if announced:
-            commit_us, commits, after = announced[-1], commits + len(announced), 0
-            self.task.clear()
+            commit_us, commits, after, held = announced[-1], commits + len(announced), 0, b""
         last = batch.last[1] if batch.last else last
         base = base or (batch.first[1] if batch.first else 0)
         first = _earliest(fresh[fresh["main"]])
         after = after or (first[1] if commits and first else 0)
-        fullest = fresh[np.lexsort((fresh["at"], -fresh["output"], fresh["id"]))]
-        fullest = fullest[np.append(True, fullest["id"][1:] != fullest["id"][:-1])[: len(fullest)]]
-        for one, output, nano in zip(fullest["id"].tolist(), fullest["output"].tolist(), fullest["nano"].tolist(), strict=True):
-            if not self.task.containsKey((one,)) or self.task.getValue((one,))[0] < output:
-                self.task.updateValue((one,), (output, nano))
-        if latest > seen_ms:
-            if seen_ms:
-                self.handle.deleteTimer(seen_ms + self.idle_ms)
-            seen_ms = latest
-            self.handle.registerTimer(seen_ms + self.idle_ms)
-        self.numbers.update((base, last, after, commit_us, commits, seen_ms))
-        cost = number = 0
-        for _, nano in self.task.values():
-            cost, number = cost + nano, number + 1
+        task = _fullest(np.frombuffer(held, OPEN), fresh)
+        self.sessions.updateValue((session,), (session, base, last, after, commit_us, commits, max(seen_ms, latest), task.tobytes()))
         carried = max(0, after - base) if commits else 0
-        times = [pd.Timestamp(us, unit="us") for us in announced]
-        yield pd.DataFrame({
-            "session_id": [key[0]], "task_nano_usd": [cost], "task_requests": [number], "commits": [commits], "base_ctx": [base], "last_ctx": [last], "carried": [carried], "announced": [times],
-        })
+        return session, int(task["nano"].sum()), len(task), commits, base, last, carried, [pd.Timestamp(us, unit="us") for us in announced]
+
+    def _timed(self, seen_ms: int) -> None:
+        """Has the timer fire by the time that a session seen then is idle."""
+        step = max(1, self.idle_ms // 16)
+        at = -(-(seen_ms + self.idle_ms) // step) * step
+        now = self.timer.get()
+        if now is None or at < now[0]:
+            if now is not None:
+                self.handle.deleteTimer(now[0])
+            self.handle.registerTimer(at)
+            self.timer.update((at,))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        """The watermark has passed the session's last row by the idle time: its state is dropped, and it begins anew if it comes back."""
-        self.task.clear()
-        self.numbers.clear()
+        """The watermark has passed a session's last row by the idle time: its state is dropped, and it begins anew if it comes back."""
+        self.timer.clear()
+        limit, oldest = timerValues.getCurrentWatermarkInMs() - self.idle_ms, None
+        for session, *_, seen_ms, _ in list(self.sessions.values()):
+            if seen_ms <= limit:
+                self.sessions.removeKey((session,))
+            else:
+                oldest = seen_ms if oldest is None else min(oldest, seen_ms)
+        if oldest is not None:
+            self._timed(oldest)
         return iter(())
 
     def close(self) -> None:
@@ -165,7 +214,8 @@ def live_states(rows: DataFrame, idle_minutes: int = IDLE_MINUTES) -> DataFrame:
     that it has passed by idle_minutes.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return rows.groupBy("session_id").transformWithStateInPandas(statefulProcessor=LiveState(idle_minutes * 60_000), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").transformWithStateInPandas(statefulProcessor=LiveState(idle_minutes * 60_000), outputStructType=STATE, outputMode="Update", timeMode="EventTime")
 
 
 class LateState(StatefulProcessor):

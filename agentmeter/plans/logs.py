@@ -18,7 +18,10 @@ _COMMANDS = """CASE {k} % 6 WHEN 0 THEN 'git log | grep commit' WHEN 1 THEN conc
 
 
 def log_lines(spark, sf_dir):
-    """One JSON line a raw row, with a shell call and its result in the content."""
+    """One JSON line a raw row, with a shell call and its result in the content.
+
+    The line is a generated column, as one read from a file would be there: else Catalyst makes its JSON again for each mention in a filter.
+    """
     raw = fx.raw_request_rows(spark, sf_dir).withColumn("command", F.expr(_COMMANDS.format(k="k", u="session_id")))
     bad, synthetic = F.col("request_id") % 50 == 2, F.col("request_id") % 50 == 1
     text = lambda c: F.col(c).cast("string")
@@ -35,10 +38,11 @@ def log_lines(spark, sf_dir):
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
     row = F.to_json(F.struct(F.lit("assistant").alias("type"), text("session_id").alias("sessionId"), "cwd", stamp.alias("timestamp"), F.col("is_sidechain").alias("isSidechain"), F.concat(F.lit("2."), (F.col("k") % 3).cast("string")).alias("version"), F.when(F.col("k") % 4 != 0, text("request_id")).alias("requestId"), message.alias("message")))
     cut = F.when(F.col("request_id") % 50 == 0, F.substring(row, 1, 200)).otherwise(row)
-    call = raw.select(cut.alias("value"), "file_path")
+    call = raw.select(F.explode(F.array(cut)).alias("value"), "file_path")
     block = F.array(F.struct(F.lit("tool_result").alias("type"), F.concat(F.lit("t"), text("request_id")).alias("tool_use_id")))
     late = F.date_format(F.col("ts") + F.expr("INTERVAL 3 SECOND"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")
-    results = raw.where("copy = 1 AND k % 5 <> 0").select(F.to_json(F.struct(F.lit("user").alias("type"), text("session_id").alias("sessionId"), "cwd", late.alias("timestamp"), F.struct(F.lit("user").alias("role"), block.alias("content")).alias("message"))).alias("value"), "file_path")
+    results = raw.where("copy = 1 AND k % 5 <> 0").select(F.to_json(F.struct(F.lit("user").alias("type"), text("session_id").alias("sessionId"), "cwd", late.alias("timestamp"), F.struct(F.lit("user").alias("role"), block.alias("content")).alias("message"))).alias("line"), "file_path")
+    results = results.select(F.explode(F.array("line")).alias("value"), "file_path")
     return call.unionByName(results)
 
 

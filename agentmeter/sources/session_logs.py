@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from agentmeter.functions import text as tx
@@ -60,20 +60,29 @@ def blocks(rows: DataFrame) -> DataFrame:
 
 
 def commit_calls(content: DataFrame) -> DataFrame:
-    """(session_id, cwd, start_ts, end_ts): shell calls that commit, with the first result after them; null if none came."""
-    call = content.where("type = 'tool_use' AND name = 'Bash'").where(tx.is_commit(F.col("input.command")))
-    starts = call.groupBy("session_id", "id").agg(F.min("ts").alias("start_ts"), F.min_by(tx.commit_dir(F.col("input.command"), F.col("cwd")), "ts").alias("cwd"))
-    ends = content.where("type = 'tool_result'").select("session_id", F.col("tool_use_id").alias("id"), F.col("ts").alias("end_ts"))
-    joined = starts.join(ends, ["session_id", "id"], "left")
-    return joined.groupBy("session_id", "id", "cwd", "start_ts").agg(F.min(F.when(F.col("end_ts") >= F.col("start_ts"), F.col("end_ts"))).alias("end_ts")).drop("id")
+    """(session_id, cwd, start_ts, end_ts): shell calls that commit, with the first result after them; null if none came.
+
+    Calls and results are taken out in one pass and meet in one shuffle.
+    """
+    call, result = (F.col("type") == "tool_use") & (F.col("name") == "Bash") & tx.is_commit(F.col("input.command")), F.col("type") == "tool_result"
+    own = content.where(call | (result & F.col("tool_use_id").isNotNull() & F.col("session_id").isNotNull()))
+    own = own.select("session_id", F.when(result, F.col("tool_use_id")).otherwise(F.col("id")).alias("id"), "ts", (~result).alias("call"), F.when(~result, tx.commit_dir(F.col("input.command"), F.col("cwd"))).alias("cwd"))
+    both = Window.partitionBy("session_id", "id")
+    met = own.withColumns({"start_ts": F.min(F.when(F.col("call"), F.col("ts"))).over(both), "calls": F.max("call").over(both)}).where("calls")
+    met = met.groupBy("session_id", "id").agg(F.min("start_ts").alias("start_ts"), F.min_by("cwd", F.when(F.col("call"), F.col("ts"))).alias("cwd"), F.min(F.when(~F.col("call") & (F.col("ts") >= F.col("start_ts")), F.col("ts"))).alias("end_ts"))
+    return met.select("session_id", "cwd", "start_ts", "end_ts")
 
 
 def touched(content: DataFrame) -> DataFrame:
-    """Distinct (session_id, cwd, path) of files that tools edit and shell commands write."""
+    """Distinct (session_id, cwd, path) of files that tools edit and shell commands write.
+
+    One pass; a command that a session repeats is read once.
+    """
     use = content.where("type = 'tool_use'")
-    edits = use.select("session_id", "cwd", tx.edit_target(F.col("name"), F.col("input.file_path"), F.col("input.notebook_path")).alias("path")).where("path IS NOT NULL")
-    shell = use.where("name = 'Bash'").select("session_id", "cwd", F.explode(tx.written_paths(F.col("input.command"))).alias("path"))
-    return edits.union(shell).distinct()
+    edit, command = tx.edit_target(F.col("name"), F.col("input.file_path"), F.col("input.notebook_path")), F.when(F.col("name") == "Bash", F.col("input.command"))
+    use = use.select("session_id", "cwd", edit.alias("edit"), command.alias("command")).where("edit IS NOT NULL OR command IS NOT NULL").distinct()
+    shell = F.coalesce(tx.written_paths(F.col("command")), F.array().cast("array<string>"))
+    return use.select("session_id", "cwd", F.explode(F.concat(F.array_compact(F.array("edit")), shell)).alias("path")).distinct()
 
 
 def parse_stats(rows: DataFrame) -> DataFrame:

@@ -14,7 +14,7 @@ cut into blocks and each pair of blocks is a unit of work; near copies of each o
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -66,12 +66,13 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.slice(i, _ROWS)
 
 
-def _signed(width: int):
+def _signed(width: int, mark: Callable[[str | None], int] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            sets = [shingles(x.as_py(), width) for x in batch.column("text")]
-            new = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("same"), batch.column("doc_id"), *new], ["row", "same", "doc_id", "n", "bands"])
+            texts = [x.as_py() for x in batch.column("text")]
+            sets = [shingles(x, width) for x in texts]
+            new = [pa.array([len(s) for s in sets], pa.int64()), pa.array([bands(s) for s in sets], pa.list_(pa.int64())), pa.array([mark(x) if mark else None for x in texts], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("same"), batch.column("doc_id"), *new], ["row", "same", "doc_id", "n", "bands", "print"])
 
     return run
 
@@ -168,16 +169,26 @@ def refined(texts: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY
     return written(components(stars.select(F.col("node").alias("a"), "b").where("a <> b").distinct()), "neardup-refined")
 
 
-def first_rows(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
-    """row, the digest of id and text of the row with the smallest id of each class; rows with a null id come last."""
-    signed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _same().alias("same"), _row().alias("row")).mapInArrow(_signed(width), "row string, same string, doc_id long, n long, bands array<long>"), "neardup-bands")
+def first_rows(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, mark: Callable[[str | None], int] | None = None, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """row, the digest of id and text of the row with the smallest id of each class; rows with a null id come last.
+
+    mark and classes bring further candidates: mark gives a text a print, and classes puts distinct prints (print) into classes (print, class: one of
+    its prints), those that it leaves out being alone; texts of one print are in one class.
+    """
+    signed = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _same().alias("same"), _row().alias("row")).mapInArrow(_signed(width, mark), "row string, same string, doc_id long, n long, bands array<long>, print long"), "neardup-bands")
     order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")
-    texts = signed.groupBy("same").agg(F.min(order).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
+    texts = signed.groupBy("same").agg(F.min(order).alias("first"), F.any_value("n").alias("n"), F.any_value("bands").alias("bands"), F.any_value("print").alias("print"))
     texts = written(texts.withColumn("node", F.monotonically_increasing_id()), "neardup-texts")
 
     entered = texts.select("node", F.explode("bands").alias("value"))
     met = written(entered.groupBy("value").agg(F.min("node").alias("b"), F.count(F.lit(1)).alias("m")).where("m > 1").select("value", "b"), "neardup-met")
-    groups = written(components(entered.join(met, "value").select(F.col("node").alias("a"), "b").where("a <> b").distinct()), "neardup-groups")
+    candidates = entered.join(met, "value").select(F.col("node").alias("a"), "b")
+    if classes:
+        owned = texts.where("n > 0").select("node", "print")
+        named = owned.join(classes(owned.select("print").distinct()), "print", "left").select("node", F.coalesce("class", "print").alias("class"))
+        named = written(named, "neardup-classes")
+        candidates = candidates.unionByName(named.join(named.groupBy("class").agg(F.min("node").alias("b")), "class").select(F.col("node").alias("a"), "b"))
+    groups = written(components(candidates.where("a <> b").distinct()), "neardup-groups")
 
     whole = docs.select(_row().alias("row"), F.col("text").cast("string").alias("text"))
     members = texts.select("node", F.col("first.row").alias("row"), "n").join(groups, "node")
@@ -200,14 +211,14 @@ def first_rows(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARI
     return written(named.agg(F.min("first").alias("first")).select("first.row"), "neardup-first")
 
 
-def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
+def keep_one(docs: DataFrame, width: int = WIDTH, similarity: float = SIMILARITY, mark: Callable[[str | None], int] | None = None, classes: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """docs with one row of each class of near copies, the one of the smallest id, in the columns of docs.
 
     docs: doc_id, text; other columns are kept. Words are runs without ASCII white space, A-Z lower-cased; shingles are width words,
     each counted once (fewer words: the whole sequence). Texts link if the shared part of their shingles is similarity or more;
     classes are what links reach. Texts without words, null ones too, are one class. Ids don't decide: different texts under one id,
-    or without an id, are rows of their own, and a class without any id keeps one row. An empty table gives no rows.
+    or without an id, are rows of their own, and a class without any id keeps one row. An empty table gives no rows. mark, classes: see first_rows.
     """
     (name,) = fresh(docs, "row")
-    keep = first_rows(docs, width, similarity).withColumnRenamed("row", name)
+    keep = first_rows(docs, width, similarity, mark, classes).withColumnRenamed("row", name)
     return docs.withColumn(name, _row()).join(keep, name, "left_semi").dropDuplicates([name]).select(*[F.col(f"`{c}`") for c in docs.columns])

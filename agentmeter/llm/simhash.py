@@ -158,6 +158,12 @@ def links(prints: DataFrame) -> DataFrame:
     return met.where("b IS NOT NULL").select("a", "b").unionByName(stars).distinct()
 
 
+def near_prints(prints: DataFrame) -> DataFrame:
+    """(node, root) of each fingerprint that has another within 2 bits. prints: print, distinct; read twice."""
+    spread = max(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), prints.count() // SPREAD)
+    return written(components(links(prints.repartition(spread, "print"))), "simhash-roots")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint and class.
 
@@ -169,8 +175,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """
     rows = written(fingerprints(docs), "simhash-prints")
     least = written(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    spread = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), least.count() // SPREAD)
-    roots = written(components(links(least.select("print").repartition(spread, "print"))), "simhash-roots")
+    roots = near_prints(least.select("print"))
     names = roots.join(least, roots.node == least.print).groupBy("root").agg(F.min("least").alias("name"))
     named = roots.join(names, "root").select(F.col("node").alias("print"), "name")
     named = written(least.join(named, "print", "left").select("print", F.coalesce("name", "least").alias("component_id")), "simhash-names")
@@ -180,8 +185,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, width: int = neardup.WIDTH, similarity: float = neardup.SIMILARITY) -> DataFrame:
     """docs with one row of each class of near copies by word shingles, the one of the smallest id, in the columns of docs.
 
-    Near copies are texts that share the given part of their shingles, which is exact in neardup. Fingerprints can't find them: at a similarity of
-    0.8 two fingerprints differ in about 10 of 64 bits, and a grid for such distances would enter each in millions of cells.
-    Nulls, repeated rows and the like: see neardup.keep_one.
+    Candidates are the classes of fingerprints within 2 bits, found by the grid, and what shares a band of min-hashes; an exact check of every pair of a group
+    follows in neardup. Fingerprints alone can't do: at a similarity of 0.8 two of them differ in about 10 of 64 bits, and a grid for such
+    distances would enter each in millions of cells. Nulls, repeated rows and the like: see neardup.keep_one.
     """
-    return neardup.keep_one(docs, width, similarity)
+    classes = lambda prints: near_prints(prints).select(F.col("node").alias("print"), F.col("root").alias("class"))
+    return neardup.keep_one(docs, width, similarity, fingerprint, classes)

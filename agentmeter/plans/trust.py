@@ -30,41 +30,57 @@ def _challenger(k):
     return F.when(of % 23 == 0, "custom").otherwise(F.concat(F.lit("claude-code@m"), (of % 4).cast("string")))
 
 
-def sides(spark, sf_dir):
-    o = fx.table(spark, sf_dir, "orders")
-    k = F.col("o_orderkey")
+def _named(orders, *more):
+    """What orders (n, o_custkey, o_orderdate) say of their uploads, and their columns more. Hashes and names are long and made last, so that joins by the order's number go without them."""
     from agentmeter.operators.rollup import iso_week
 
-    return o.select(
-        k.alias("n"), _sha(k).alias("sha256"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("submitter"), F.lit("claude-code").alias("baseline"),
+    k = F.col("n")
+    return orders.select(
+        k, _sha(k).alias("sha256"), F.concat(F.lit("s"), (F.col("o_custkey") % 12).cast("string")).alias("submitter"), F.lit("claude-code").alias("baseline"),
         _challenger(k).alias("challenger"), iso_week(F.col("o_orderdate").cast("timestamp")).alias("week"), (k % 5 != 0).alias("public"),
-        F.when(k % 17 == 0, _sha(k - 1)).alias("rerun_of"), F.lit("hint").alias("task_mode"),
+        F.when(k % 17 == 0, _sha(k - 1)).alias("rerun_of"), F.lit("hint").alias("task_mode"), *more,
     )
 
 
-def upload_runs(spark, sf_dir):
-    """The runs of orders that are there. Only numbers are shuffled; hashes and names, which follow from the order's number, are made after the join."""
+def _orders(spark, sf_dir):
+    return fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n"), "o_custkey", "o_orderdate")
+
+
+def sides(spark, sf_dir):
+    return _named(_orders(spark, sf_dir))
+
+
+def _lines(spark, sf_dir):
+    """Runs by their order's number, of orders that are there or not."""
     base = F.col("l_returnflag") == "N"
     line = fx.table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "n")
     dearer = F.when((F.col("n") % 68 == 33) & ~base, F.col("l_extendedprice") * 3).otherwise(F.col("l_extendedprice"))
     line = line.where("n % 34 <> 0").unionByName(line.where("n % 34 = 33").withColumns({"l_extendedprice": dearer, "n": F.col("n") + 1}))
-    line = line.select(
+    return line.select(
         "n", F.col("l_linenumber").alias("pos"), (F.col("l_partkey") % 50).alias("commit"), base.alias("is_base"), (F.col("l_linestatus") == "F").alias("passed"),
         F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"), (F.col("l_quantity") * 100).cast("long").alias("tokens"),
     )
+
+
+def upload_runs(spark, sf_dir):
+    """The runs of orders that are there. Only numbers are shuffled; hashes and names, which follow from the order's number, are made after the join."""
     n = F.col("n")
     setup = F.when(F.col("is_base"), F.lit("claude-code")).otherwise(_challenger(n))
-    return line.join(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")), "n").select(_sha(n).alias("sha256"), "n", "pos", "commit", setup.alias("setup"), "is_base", "passed", "cents", "tokens")
+    return _lines(spark, sf_dir).join(fx.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("n")), "n").select(_sha(n).alias("sha256"), "n", "pos", "commit", setup.alias("setup"), "is_base", "passed", "cents", "tokens")
 
 
-def uploads(spark, sf_dir):
-    r = upload_runs(spark, sf_dir)
+def uploads(spark, sf_dir, **more):
+    """Uploads with what their runs come to; more: further columns, of runs. Lines go to their order as they are: its few lines lie apart, so sums of each task would be longer."""
     b, c, p = F.col("is_base"), ~F.col("is_base"), F.col("passed")
     cost = lambda side: F.try_divide(F.sum(F.when(side, F.col("cents"))), F.count_if(side & p))
     rate = lambda side: F.try_divide(F.count_if(side & p), F.count_if(side))
-    g = r.groupBy("n").agg(F.count("*").alias("n_runs"), F.min("commit").alias("repo"), cost(b).alias("b_per"), cost(c).alias("c_per"), rate(b).alias("b_rate"), rate(c).alias("c_rate"), F.count_if(c & p).alias("c_solved"))
+    g = _lines(spark, sf_dir).repartition("n").groupBy("n").agg(
+        F.count("*").alias("n_runs"), F.min("commit").alias("repo"), cost(b).alias("b_per"), cost(c).alias("c_per"), rate(b).alias("b_rate"), rate(c).alias("c_rate"), F.count_if(c & p).alias("c_solved"),
+        *[x.alias(name) for name, x in more.items()],
+    )
     ratio = F.col("c_per") / F.col("b_per")
-    j = sides(spark, sf_dir).join(g, "n", "left").withColumns({"cost_ratio": ratio, "solve_diff": F.coalesce("c_rate", F.lit(0.0)) - F.coalesce("b_rate", F.lit(0.0)), "n_runs": F.coalesce("n_runs", F.lit(0)), "c_solved": F.coalesce("c_solved", F.lit(0))})
+    found = _orders(spark, sf_dir).join(g, "n", "left")
+    j = _named(found, *[x for x in g.columns if x != "n"]).withColumns({"cost_ratio": ratio, "solve_diff": F.coalesce("c_rate", F.lit(0.0)) - F.coalesce("b_rate", F.lit(0.0)), "n_runs": F.coalesce("n_runs", F.lit(0)), "c_solved": F.coalesce("c_solved", F.lit(0))})
     repo = F.substring(F.md5(F.concat(F.lit("r"), F.coalesce("repo", F.lit(0)).cast("string"))), 1, 24)
     return j.withColumns({"repo_id": repo, "answer": F.when(F.col("cost_ratio") <= 0.9, "SUPPORTED").when(F.col("cost_ratio") >= 1.1, "NOT SUPPORTED").otherwise("NOT PROVEN")}).drop("repo")
 
@@ -215,7 +231,7 @@ PIECES["rerun_pairs"] = """SELECT a.rerun_of AS target, a.sha256, a.answer FROM
 
 
 def keyed(spark, sf_dir):
-    return trust.rerun_key(uploads(spark, sf_dir), upload_runs(spark, sf_dir))
+    return trust.with_key(uploads(spark, sf_dir, commits=trust.commit_set("commit")))
 
 
 @query("o_j19_reruns", "SELECT target, sha256, answer FROM rerun_pairs")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 NOW = "2024-04-02 00:00:00"
@@ -68,11 +68,9 @@ def identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return requests(spark, sf_dir).select("session_id", (F.col("session_id") % 8).alias("repo"), F.col("session_id").alias("author")).distinct()
 
 
-def _doc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    lines = docs.select("doc_id", "source", "lang", F.explode(F.split("text", "\n")).alias("line")).withColumn("line", F.expr("trim(BOTH ' ' FROM line)"))
-    distinct = lines.where(F.length("line") >= 4).distinct()
-    return distinct.withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("line")))
+def _different_lines() -> Column:
+    """A document's different lines. doc_id is a key, so they are compared within its row and no text is shuffled."""
+    return F.array_distinct(F.filter(F.transform(F.split("text", "\n"), lambda x: F.btrim(x, F.lit(" "))), lambda x: F.length(x) >= 4))
 
 
 def patch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -84,12 +82,16 @@ def patch_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def commit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = _doc_lines(spark, sf_dir)
-    plus = lines.select(F.col("source").alias("repo"), F.col("doc_id").alias("sha"), F.col("lang").alias("path"), F.lit("+").alias("side"), "line")
+    docs = table(spark, sf_dir, "documents")
+    added = [F.col("source").alias("repo"), F.col("doc_id").alias("sha"), F.col("lang").alias("path"), F.lit("+").alias("side")]
+    # Arrays are made within the generators: from a column below, Spark would make them twice.
+    plus = docs.select(*added, F.explode(_different_lines()).alias("line"))
     moved = lambda df, add: df.withColumn("sha", F.col("sha") + add)
     squash = plus.where("sha % 16 = 0")
-    extra = squash.select("repo", "sha", "path", "side").distinct().withColumn("line", F.concat(F.lit("squash of "), F.col("sha").cast("string")))
-    minus = lines.where("doc_id % 3 = 1 AND pos % 5 < doc_id % 5").select(
+    any_line = F.exists(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(" "))) >= 4)
+    extra = docs.where("doc_id % 16 = 0").where(any_line).select(*added, F.concat(F.lit("squash of "), F.col("doc_id").cast("string")).alias("line"))
+    placed = docs.where("doc_id % 3 = 1").select("doc_id", "source", "lang", F.posexplode(F.sort_array(_different_lines())).alias("pos", "line"))
+    minus = placed.where("(pos + 1) % 5 < doc_id % 5").select(
         F.col("source").alias("repo"), (F.col("doc_id") + 2_000_000).alias("sha"), F.col("lang").alias("path"), F.lit("-").alias("side"), "line"
     )
     return plus.unionByName(moved(squash.unionByName(extra), 1_000_000)).unionByName(moved(plus.where("sha % 16 = 4"), 3_000_000)).unionByName(minus)

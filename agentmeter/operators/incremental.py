@@ -164,7 +164,7 @@ class Store:
         usd = F.coalesce("nano_usd", F.lit(0)) * w
         part = lambda cond, x, name: F.coalesce(F.sum(F.when(cond, x)), F.lit(0.0)).alias(name)
         parts = [part(c, x, f"{p}{n}") for c, p in ((~lead, ""), (lead, "lead_up_")) for n, x in (("wh_low", F.col("wh_low") * w), ("wh_high", F.col("wh_high") * w), ("nano", usd))]
-        by = rows.join(measured, "request_id").groupBy("repo", "sha", "session_id").agg(F.max("tier").alias("tier"), *parts, F.sum(w).alias("weight"), F.count_distinct("request_id").alias("seen"))
+        by = rows.join(measured, "request_id").groupBy("repo", "sha", "session_id").agg(F.max("tier").alias("tier"), *parts, F.sum(w).alias("weight"), F.min(w).alias("low"), F.max(w).alias("high"), F.count("*").alias("n"), F.count_distinct("request_id").alias("seen"))
         return by.join(slim.groupBy("session_id").agg(F.min("ts").alias("began")), "session_id")
 
 
@@ -199,14 +199,15 @@ def _receipts(changed: DataFrame, valid: DataFrame, anchors: DataFrame) -> DataF
     """Receipts of changed commits from the sums of their sessions; a commit that lost its last row gets a null tier."""
     total = lambda c: F.sum(c).alias(c)
     first = F.min_by("tier", F.struct("began", "session_id"))
-    sums = valid.groupBy("repo", "sha").agg(F.when(F.max(F.col("tier") == "exact"), "exact").otherwise(first).alias("given"), *[total(c) for c in (*_SUMS, "weight", "seen")])
+    sums = valid.groupBy("repo", "sha").agg(F.when(F.max(F.col("tier") == "exact"), "exact").otherwise(first).alias("given"), *[total(c) for c in (*_SUMS, "weight", "seen", "n")], F.min("low").alias("low"), F.max("high").alias("high"))
     anchored = anchors.select("repo", "sha").distinct().withColumn("anchored", F.lit(True))
     r = changed.join(sums, ["repo", "sha"], "left").join(anchored, ["repo", "sha"], "left")
     n = lambda c: F.coalesce(c, F.lit(0.0))
+    requests = at.counted_rows(F.col("low"), F.col("high"), F.col("n"), F.col("weight"))
     return r.select(
         "repo", "sha", F.when(F.col("anchored"), "exact").otherwise(F.col("given")).alias("tier"), *[n(F.col(c)).alias(c) for c in _SUMS[:4]],
         (n(F.col("nano")) / 1e9).alias("usd"), (n(F.col("lead_up_nano")) / 1e9).alias("lead_up_usd"),
-        F.coalesce(at.counted(F.col("weight")), F.lit(0)).cast("long").alias("requests"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"),
+        F.coalesce(requests, F.lit(0)).cast("long").alias("requests"), F.coalesce("seen", F.lit(0)).cast("long").alias("seen"),
     )
 
 

@@ -4,6 +4,8 @@ import duckdb
 from pyspark.sql import functions as F
 
 from agentmeter.operators import attribution as at
+from agentmeter.operators import incremental
+from tests import test_incremental as batches
 
 WEIGHTS = [(54, 5, 12), (50, 9, 20), (9, 5, 18), (15, 7, 10), (9_000, 1, 36), (20_001, 1, 2), (8_192, 1, 3), (7, 1, 1)]
 
@@ -20,3 +22,19 @@ def test_counts_of_equal_weights_are_those_of_the_sql(spark):
     measured = df.select("request_id", F.lit(1.0).alias("wh_low"), F.lit(2.0).alias("wh_high"), F.lit(3).cast("long").alias("nano_usd"))
     got = at.receipt(df, measured, df.select("repo", "sha", "tier").distinct()).orderBy("sha").collect()
     assert [r.requests for r in got] == want and want[0] == 23 and [r.seen for r in got] == [n for n, _, _ in WEIGHTS]
+
+
+def test_counts_of_equal_weights_are_the_same_by_batches(spark, tmp_path):
+    """54 requests of one session on two commits, 5 lines and 7: 22.5 and a bit are 23, wherever the batches are cut."""
+    requests = [batches.request(i, 1, i) for i in range(54)]
+    rows = {"ran": [(1, 0)], "touched": [(1, 0, "a")], "commits": [(0, s, batches.at_minute(60 + s), 1) for s in (5, 7)], "files": [(0, s, "a", s) for s in (5, 7)]}
+    who, store = batches.people(spark, [1]), incremental.Store(spark, str(tmp_path / "store"))
+    batches.add(spark, store, 0, {"requests": requests[:30], **rows}, who)
+    batches.add(spark, store, 1, {"requests": requests[30:]}, who)
+    want = []
+    for lines in (5, 7):
+        total = 0.0
+        for _ in requests:
+            total += lines / 12
+        want.append((lines, round(total)))
+    assert [(r.sha, r.requests) for r in store.receipts().orderBy("sha").collect()] == want and want[0][1] == 23

@@ -4,7 +4,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from agentmeter.operators import attribution as at
-from agentmeter.operators import incremental
+from agentmeter.operators import incremental, rollup
 from tests import test_incremental as batches
 
 WEIGHTS = [(54, 5, 12), (50, 9, 20), (9, 5, 18), (15, 7, 10), (9_000, 1, 36), (20_001, 1, 2), (8_192, 1, 3), (7, 1, 1)]
@@ -38,3 +38,12 @@ def test_counts_of_equal_weights_are_the_same_by_batches(spark, tmp_path):
             total += lines / 12
         want.append((lines, round(total)))
     assert [(r.sha, r.requests) for r in store.receipts().orderBy("sha").collect()] == want and want[0][1] == 23
+
+
+def test_exported_counts_are_those_of_the_sql(spark):
+    rows = [(0, 1, 1, k, 5 / 12, False, "fuzzy") for k in range(54)]
+    df = spark.createDataFrame(rows, "repo long, sha long, session_id long, request_id long, weight double, lead_up boolean, tier string").repartition(5)
+    measured = df.select("request_id", F.lit(1.0).alias("wh_low"), F.lit(2.0).alias("wh_high"), F.lit(3).cast("long").alias("nano_usd"))
+    receipt = at.receipt(df, measured, df.select("repo", "sha", "tier").distinct())
+    commits = spark.createDataFrame([(0, 1, batches.at_minute(0), 1, "s")], "repo long, sha long, ts timestamp, author long, subject string")
+    assert [r.ai_requests for r in rollup.export(receipt, commits, subjects=False).collect()] == [23]

@@ -120,7 +120,12 @@ def fields(maps: Column, names: tuple[str, ...]) -> Column:
 
 
 class Plain(Json):
-    """The same looks into a struct of what is of the declared types throughout, so that nothing is told apart again."""
+    """The same looks into a struct of what is of the declared types throughout, so that nothing is told apart again. Unless strict, there may be other
+    keys, which whole, the looks into everything, is asked for."""
+
+    def __init__(self, column: Column, whole: Json | None = None, strict: Column | None = None):
+        super().__init__(column)
+        self.whole, self.strict = whole, strict
 
     def at(self, path: str) -> Column:
         found = self.column
@@ -155,7 +160,9 @@ class Plain(Json):
         return F.map_values(self.at(path))
 
     def other_keys(self, path: str | None, allowed: tuple[str, ...] | Column) -> Column:
-        return F.array().cast("array<string>") if path is None else F.when(self.is_object(path), F.array().cast("array<string>"))
+        none = F.array().cast("array<string>")
+        here = none if path is None else F.when(self.is_object(path), none)
+        return here if self.whole is None else F.when(self.strict, here).otherwise(self.whole.other_keys(path, allowed))
 
     def written(self, path: str) -> Column:
         t = self.at(path).cast("string")
@@ -166,9 +173,12 @@ class Plain(Json):
 _NUMBER, _SOME = r"(?:BIGINT|DOUBLE|DECIMAL\(\d+,\d+\))", r"[A-Z]+(?:\(\d+,\d+\))?"
 
 
-def _told(fields: Mapping[str, str]) -> str:
-    """Objects of these fields, each of which may be missing or null."""
-    return "OBJECT<" + "".join(f"(?:{name}: (?:{fields[name]}|VOID)(?:, |(?=>)))?" for name in sorted(fields)) + ">"
+def _told(fields: Mapping[str, str], more: str | None = None) -> str:
+    """Objects of these fields, each of which may be missing or null; more: and of any others, of that type."""
+    known = [f"{name}: (?:{fields[name]}|VOID)" for name in sorted(fields)]
+    if more is None:
+        return "OBJECT<" + "".join(f"(?:{x}(?:, |(?=>)))?" for x in known) + ">"
+    return f"OBJECT<(?:(?:{'|'.join([*known, f'(?!(?:{"|".join(fields)}):)\\w+: {more}'])})(?:, |(?=>)))*>"
 
 
 def _any(depth: int) -> str:
@@ -176,12 +186,15 @@ def _any(depth: int) -> str:
     return f"(?:{_SOME}|ARRAY<{_any(depth - 1)}>|OBJECT<(?:\\w+: {_any(depth - 1)}(?:, |(?=>)))*>)" if depth else _SOME
 
 
-_TEXT_SIDE = _told(dict.fromkeys(SIDE_FIELDS, "STRING"))
-_HEAD = _told(
-    dict.fromkeys(("kind", "week", "claim_kind", "task_mode", "repo_id", "rerun_of", "affiliation"), "STRING") | dict.fromkeys(("usage_upload", "superseded_attempts", "excluded_commits"), "BIGINT")
-    | {"public": "BOOLEAN", "versions": _told(dict.fromkeys(VERSION_FIELDS, "STRING")), "baseline": _TEXT_SIDE, "challenger": _TEXT_SIDE, "runs": _any(3)}
-    | {"verdict": _told({"answer": "STRING", "cost_ratio": _NUMBER, "energy": _told({"verdict": "STRING"})})}
-)
+def _head(more: tuple[str | None, str | None] = (None, None)) -> str:
+    """Heads, with other keys of these types in them and in the objects that they hold."""
+    top, below = more
+    side, energy = _told(dict.fromkeys(SIDE_FIELDS, "STRING"), below), _told({"verdict": "STRING"}, below)
+    said = dict.fromkeys(("kind", "week", "claim_kind", "task_mode", "repo_id", "rerun_of", "affiliation"), "STRING") | dict.fromkeys(("usage_upload", "superseded_attempts", "excluded_commits"), "BIGINT")
+    said |= {"public": "BOOLEAN", "versions": _told(dict.fromkeys(VERSION_FIELDS, "STRING"), below), "baseline": side, "challenger": side, "runs": _any(3)}
+    return f"^{_told(said | {'verdict': _told({'answer': 'STRING', 'cost_ratio': _NUMBER, 'energy': energy}, below)}, top)}$"
+
+
 HEAD_STRUCT = (
     "struct<kind:string,week:string,claim_kind:string,task_mode:string,repo_id:string,rerun_of:string,affiliation:string,usage_upload:bigint,superseded_attempts:bigint,excluded_commits:bigint,public:boolean,"
     "versions:map<string,string>,baseline:struct<name:string>,challenger:struct<name:string>,verdict:struct<answer:string,cost_ratio:double,energy:struct<verdict:string>>>"
@@ -198,7 +211,7 @@ def _runs(commit: str) -> str:
     return rf"^OBJECT<(?:\w+: {_any(3)}, )*?runs: ARRAY<{_told(run)}>(?:, \w+: {_any(3)})*>$"
 
 
-PLAIN_HEAD, PLAIN_RUNS, PRIVATE_RUNS = f"^{_HEAD}$", _runs("STRING"), _runs("BIGINT")
+STRICT_HEAD, PLAIN_HEAD, PLAIN_RUNS, PRIVATE_RUNS = _head(), _head((_any(2), _any(1))), _runs("STRING"), _runs("BIGINT")
 
 
 def plain_runs(kinds: Column, public: Column) -> Column:
@@ -281,10 +294,11 @@ def validate(files: DataFrame) -> DataFrame:
     JSON, isn't an upload or has no runs is told so and not looked at further. Complete uploads have each commit, both sides and each repeat.
     """
     parsed = _once(_once(files, F.try_parse_json("text"), "v"), F.schema_of_variant("v"), "kinds")
-    parsed = _once(parsed, F.when(F.col("kinds").rlike(PLAIN_HEAD), F.try_variant_get("v", "$", HEAD_STRUCT)), "plain")
+    parsed = _once(parsed, F.col("kinds").rlike(STRICT_HEAD), "strict")
+    parsed = _once(parsed, F.when(F.col("strict") | F.col("kinds").rlike(PLAIN_HEAD), F.try_variant_get("v", "$", HEAD_STRUCT)), "plain")
 
     def both(look: Callable[[Json], Column]) -> Column:
-        return F.when(F.col("plain").isNotNull(), look(Plain(F.col("plain")))).otherwise(look(Json(F.col("v"))))
+        return F.when(F.col("plain").isNotNull(), look(Plain(F.col("plain"), Json(F.col("v")), F.col("strict")))).otherwise(look(Json(F.col("v"))))
 
     upload = both(lambda u: F.coalesce((u.count("usage_upload") == VERSION) & (u.text("kind") == "verify"), F.lit(False)))
     sides = both(lambda u: u.is_object("baseline") & u.is_object("challenger"))

@@ -74,7 +74,7 @@ def test_files_of_declared_types_are_told_the_same(spark, monkeypatch):
     rows = [("a", str(i), str(i), 100, text, "a") for i, text in enumerate(spoilt())]
     files = spark.createDataFrame(rows, "submitter string, file_name string, sha256 string, size long, text string, author string").repartition(4)
     got = {r.sha256: r.problems for r in uploads.validate(files).collect()}
-    for name in ("PLAIN_HEAD", "PLAIN_RUNS", "PRIVATE_RUNS"):
+    for name in ("STRICT_HEAD", "PLAIN_HEAD", "PLAIN_RUNS", "PRIVATE_RUNS"):
         monkeypatch.setattr(uploads, name, "^none$")
     want = {r.sha256: r.problems for r in uploads.validate(files).collect()}
     assert {i: (rows[int(i)][4], got[i], want[i]) for i in want if got[i] != want[i]} == {}
@@ -86,5 +86,5 @@ def test_good_files_are_read_as_structs(spark):
     good = given.GOOD | {"runs": [given.RUN, given.RUN | {"setup": "two"}]}
     near = [good | {"x: STRING, week": "x"}, good | {"home": "x"}, {k: v for k, v in good.items() if k != "runs"} | {"x": {"runs": good["runs"]}}]
     df = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate([good, *near])], "i int, text string").withColumn("k", F.schema_of_variant(F.try_parse_json("text")))
-    found = df.select(F.col("k").rlike(uploads.PLAIN_HEAD).alias("head"), F.col("k").rlike(uploads.PLAIN_RUNS).alias("runs")).collect()
-    assert [tuple(r) for r in found] == [(True, True), (False, False), (False, True), (False, False)]
+    found = df.select(F.col("k").rlike(uploads.STRICT_HEAD).alias("strict"), F.col("k").rlike(uploads.PLAIN_HEAD).alias("head"), F.col("k").rlike(uploads.PLAIN_RUNS).alias("runs")).collect()
+    assert [tuple(r) for r in found] == [(True, True, True), (False, False, False), (False, True, True), (False, False, False)]
